@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegate.llm import encoding, mixing, packing, token_counts
+from tidegate.llm import encoding, mixing, packing, pii, quality_model, quality_rules, token_counts
 from tidegate.llm.common import table
 
 
@@ -14,6 +15,23 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), encoding.vocabulary(), capacity=2048)
 
 
+def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"), sample_rows=6000, folds=3, fold=1)
+    scored = quality_model.score(docs, model)
+    return scored.select("doc_id", quality_model.held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages")
+
+
+def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+def op9_line_labelling_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = quality_rules.train_field(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.apply_rules(docs.select("doc_id", "text"), field).drop("text")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), most=3.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
