@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import encoding, mixing, packing, pii, quality_model, quality_rules, token_counts
+from tidegate.llm import encoding, mixing, packing, pii, quality_model, quality_rules, token_counts, topk
 from tidegate.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", scale=64)
+    return topk.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_line_labelling_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = quality_rules.train_field(docs, table(spark, sf_dir, "labels"))
@@ -47,7 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": MIXING_SQL}
+    return {"op5_source_mixing": MIXING_SQL, "op7_threshold_topk": TOPK_SQL}
 
 
 #: Sources' targets: those that stop at three times their size are a prefix in the order of size per weight.
@@ -67,3 +72,13 @@ c AS (SELECT d.*, b.source_size, b.target, b.whole, b.target - b.whole * b.sourc
       FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, (size * least(3, whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """
+
+
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
