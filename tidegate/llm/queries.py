@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import encoding, mixing, packing, pii, quality_model, quality_rules, token_counts, topk
+from tidegate.llm import encoding, mixing, packing, pii, quality_model, quality_rules, substrings, token_counts, topk
 from tidegate.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op6_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"), window=35)
+
+
 def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", scale=64)
     return topk.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
