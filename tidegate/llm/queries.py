@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import encoding, mixing, packing, pii, quality_model, quality_rules, substrings, token_counts, topk
+from tidegate.llm import encoding, katz, mixing, packing, pii, quality_model, quality_rules, substrings, token_counts, topk
 from tidegate.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), quality_model.held_out("doc_id", 5, 1))
+
+
 def op9_line_labelling_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = quality_rules.train_field(docs, table(spark, sf_dir, "labels"))
