@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import encoding, katz, mixing, packing, pii, quality_model, quality_rules, substrings, token_counts, topk
+from tidegate.llm import encoding, jaccard, katz, mixing, packing, pii, quality_model, quality_rules, substrings, token_counts, topk
 from tidegate.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_model.held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_passages")
 
 
+def op3_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), words=3, part=90, whole=100)
+
+
 def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
