@@ -58,17 +58,20 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], most: float) -> DataFr
     )
 
 
+def _measures() -> dict[str, Column]:
+    return {"size": word_count("text"), "digits": F.substring(F.md5(F.col("doc_id").cast("string")), 1, DIGITS * LEVELS)}
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, digits) of each row; `digits` is the hash of doc_id that rows are taken by."""
-    return docs.select("doc_id", "source", word_count("text").alias("size"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, DIGITS * LEVELS).alias("digits"))
+    return docs.select("doc_id", "source", *[c.alias(n) for n, c in _measures().items()])
 
 
-def mix(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
-    """How much of each row the mix takes: columns of `rows` (doc_id, source, size, digits) plus source_size, target, copies, taken.
+def budgets(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
+    """(source, source_size, target, whole, threshold) of each source in `rows` (source, size, digits).
 
-    A target of t times the source's size takes each of its documents floor(t) times and, once more, those
-    whose hash is below the source's threshold. Null sources are one source; a null doc_id hashes as empty;
-    rows that repeat a doc_id are taken together. Empty texts have size 0. An empty table gives no rows.
+    A target of t times the source's size takes each of its documents floor(t) times (`whole`) and, once more,
+    those whose hash digits are below the source's threshold.
     """
     by_first = rows.groupBy("source", F.coalesce(F.substring("digits", 1, DIGITS), F.lit("")).alias("bucket")).agg(F.sum("size").alias("bucket_size"))
     by_first = stored(by_first, "mix-histogram")  # at most 16 ** DIGITS rows for each source
@@ -106,16 +109,34 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
             ),
             "mix-budget",
         )
-    cutoff = budget.select(F.col("source").alias("b_source"), "source_size", "target", "whole", "threshold")
+    return budget.drop("left")
+
+
+def take(rows: DataFrame, budget: DataFrame, most: float = 3.0) -> DataFrame:
+    """`rows` (with source, size, digits) and source_size, target, copies (how often the row is taken) and taken (copies * size).
+
+    Null sources are one source; a null doc_id hashes as empty; rows that repeat a doc_id are taken together. Empty
+    texts have size 0 and are taken once at most. An empty table gives no rows.
+    """
+    cutoff = budget.withColumnRenamed("source", "b_source")
     copies = F.col("whole") + F.when(F.coalesce("digits", F.lit("")) < F.col("threshold"), 1).otherwise(0)
     return (
         rows.join(cutoff, _same("source", "b_source"))
-        .withColumn("copies", F.when(F.col("size") > 0, F.least(copies, F.lit(int(most)))).otherwise(F.least(copies, F.lit(1))).cast("long"))
+        .withColumn("copies", F.least(copies, F.when(F.col("size") > 0, int(most)).otherwise(1)).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
         .drop("b_source", "whole", "threshold")
     )
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
-    """`mix` of a table of documents; the sizes are counted once and kept in a narrow table."""
-    return mix(stored(sized(docs), "mix-sizes"), weights, most)
+    """`take` for a table of documents, without their texts; sizes are counted once and kept in a narrow table."""
+    rows = stored(sized(docs), "mix-sizes")
+    return take(rows, budgets(rows, weights, most), most)
+
+
+def mixed_copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
+    """Rows of `docs` as often as the mix takes them, with their columns; texts are read once more, not shuffled."""
+    budget = budgets(stored(sized(docs), "mix-sizes"), weights, most)
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(n) for n, c in _measures().items()])
+    chosen = take(rows, budget, most).where(F.col("copies") > 0)
+    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
