@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegate.llm.common import stored
 from tidegate.llm.encoding import encoder
 
 #: Lengths that share a block; suffix sums run inside blocks and over the blocks' totals.
@@ -26,8 +27,8 @@ def encoded_lengths(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def length_histogram(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(n_tokens, n_docs): exact, combined before the shuffle, so no length is hot."""
-    return encoded_lengths(docs, vocabulary).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    """(n_tokens, n_docs): exact, combined before the shuffle, so no length is hot. Kept as a table, as it is read often."""
+    return stored(encoded_lengths(docs, vocabulary).groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths")
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
