@@ -137,6 +137,7 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
 def mixed_copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
     """Rows of `docs` as often as the mix takes them, with their columns; texts are read once more, not shuffled."""
     budget = budgets(stored(sized(docs), "mix-sizes"), weights, most)
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(n) for n, c in _measures().items()])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # kept apart from names like the measures'
+    rows = docs.select(whole, F.col("source").alias("source"), *[c.alias(n) for n, c in _measures().items()])
     chosen = take(rows, budget, most).where(F.col("copies") > 0)
-    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
