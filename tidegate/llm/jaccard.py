@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidegate.llm.common import partitions, stored
 from tidegate.llm.components import components
 from tidegate.llm.hashing import run_hashes, word_hashes
-from tidegate.llm.keyed import ASKED, add_counts, answer, answers_of, ask, asked, chunked
+from tidegate.llm.keyed import ASKED, add_counts, answer, answers_of, ask, chunked
 
 #: Classes and shingles in a block, and children of a tree node.
 BLOCK_CLASSES, BLOCK_SHINGLES, FANOUT = 4096, 2_000_000, 8
@@ -168,20 +168,21 @@ def traverse(one: SignatureTree, two: SignatureTree, sets: list[np.ndarray], for
 def links_within(first: np.ndarray, second: np.ndarray | None, sets: list[np.ndarray], t: Threshold) -> list[tuple[int, int]]:
     """Links that connect what similar pairs connect, inside one block or between two."""
     forest = Forest(len(sets))
-    mean = sum(map(len, sets)) // max(len(sets), 1)
+    members = first if second is None else np.concatenate([first, second])
+    mean = sum(len(sets[m]) for m in members) // max(len(members), 1)
     bits = min(max(LEAST_BITS, 1 << (4 * mean).bit_length()), MOST_BITS)
     one = SignatureTree(first, sets, bits)
     two = one if second is None else SignatureTree(second, sets, bits)
+    trees = [one] if two is one else [one, two]
     # a set near to many others joins them before the trees are walked
-    for pivot in range(0, min(len(sets), 8)):
+    for pivot in members[:8].tolist():
         if forest.find(pivot) == pivot:
-            signature = one if pivot in set(first.tolist()) else two
-            level = signature.levels[0]
-            at = np.flatnonzero(signature.members == pivot)
-            for tree in {id(one): one, id(two): two}.values():
-                near = np.flatnonzero(_possible(level, tree.levels[0], np.repeat(at, len(tree.members)), np.arange(len(tree.members)), t))
-                for m in tree.members[near].tolist():
-                    if m != pivot and forest.find(m) != forest.find(pivot) and t.similar(len(np.intersect1d(sets[m], sets[pivot], assume_unique=True)), len(sets[m]), len(sets[pivot])):
+            own = next(tree for tree in trees if pivot in tree.members)
+            at = np.flatnonzero(own.members == pivot)
+            for tree in trees:
+                every = np.arange(len(tree.members))
+                for m in tree.members[_possible(own.levels[0], tree.levels[0], np.repeat(at, len(every)), every, t)].tolist():
+                    if forest.find(m) != forest.find(pivot) and t.similar(len(np.intersect1d(sets[m], sets[pivot], assume_unique=True)), len(sets[m]), len(sets[pivot])):
                         forest.join(pivot, m)
     traverse(one, two, sets, forest, t)
     return forest.links
@@ -211,7 +212,7 @@ def document_sets(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
     def frequencies(key: tuple, table: pa.Table) -> pa.Table:
         sets, _, _ = _document_sets(table, words)
         keys, counts = np.unique(np.concatenate(sets), return_counts=True)
-        return asked(list(ask(key[0].as_py(), 0, keys, [counts.astype(np.int32)], buckets)))
+        return ask(key[0].as_py(), buckets, (keys, [counts.astype(np.int32)]))
 
     def prefixes(table: pa.Table, answers: pa.Table) -> pa.Table:
         sets, marks, first = _document_sets(table, words)

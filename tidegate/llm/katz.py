@@ -13,19 +13,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import partitions
 from tidegate.llm.hashing import pair, word_hashes
-from tidegate.llm.keyed import ASKED, RANKS, add_counts, answer, answers_of, ask, asked, chunked
+from tidegate.llm.keyed import ASKED, RANKS, add_counts, answer, answers_of, ask, chunked
 
 #: Largest count that is discounted.
 GOOD_TURING = RANKS - 1
 #: The end of a text, and the history of its first token; no word contains these signs.
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n", b"\t"))
-WORDS, PAIRS, HISTORIES = 0, 1, 2
+#: A chunk's sets of keys in the first round; the second has histories alone.
+WORDS, PAIRS = 0, 1
 
 
 def discounts(ranks: np.ndarray) -> np.ndarray:
@@ -89,27 +91,29 @@ class Tokens:
     def counts(self, at: np.ndarray, size: int) -> np.ndarray:
         return np.bincount(at, self.in_training, size).astype(np.int32)
 
-    def of_histories(self, word_counts: np.ndarray) -> np.ndarray:
-        """How often each history occurs in training: as a word, or as often as a text begins, and so ends."""
-        place = np.searchsorted(self.words, np.where(self.histories == START, END, self.histories))
-        return word_counts[place].astype(np.int64)
+    def of_words(self, values: np.ndarray) -> np.ndarray:
+        """What holds for each history, by its word; for the start of a text, by its end."""
+        return values[np.searchsorted(self.words, np.where(self.histories == START, END, self.histories))]
 
 
 def _read(table: pa.Table) -> tuple:
-    (word_counts, _), word_totals = answers_of(table, WORDS, [np.int32, np.uint8])
-    (pair_counts, first), pair_totals = answers_of(table, PAIRS, [np.int32, np.uint8])
-    return word_counts, Words.of(word_totals), pair_counts, first.astype(bool), discounts(pair_totals[2:])
+    (word_counts, word_flags), word_totals = answers_of(table, WORDS, [np.int32, np.uint8])
+    (pair_counts, pair_flags), pair_totals = answers_of(table, PAIRS, [np.int32, np.uint8])
+    return word_counts, word_flags > 1, Words.of(word_totals), pair_counts, pair_flags % 2 == 1, discounts(pair_totals[2:])
+
+
+def backoff(spent: np.ndarray, covered: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of each history's lower order, and what is added to its count where no discount frees any mass."""
+    added = (count - spent < 1e-9).astype(float)
+    free = (count + added - spent) / np.maximum(count + added, 1)
+    return np.where(count > 0, free / np.maximum(1 - covered, 1e-12), 1.0), added
 
 
 def _weights(number: np.ndarray, given: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
-    """Backoff weight of each history, and what is added to its count where no discount frees any mass."""
     size = int(number.max()) + 1 if len(number) else 0
-    spent, covered = np.bincount(number, given[0], size), np.bincount(number, given[1], size)
     count = np.zeros(size)
     np.maximum.at(count, number, given[2].astype(float))
-    added = (count - spent < 1e-9).astype(float)
-    free = (count + added - spent) / np.maximum(count + added, 1)
-    weight = np.where(count > 0, free / np.maximum(1 - covered, 1e-12), 1.0)
+    weight, added = backoff(np.bincount(number, given[0], size), np.bincount(number, given[1], size), count)
     return [weight[number], added[number].astype(np.uint8)], []
 
 
@@ -125,30 +129,36 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     rows = chunked(rows, "doc_id", "text", "train")
 
     def ask_counts(key: tuple, table: pa.Table) -> pa.Table:
-        chunk, t = key[0].as_py(), Tokens(table)
-        found = list(ask(chunk, WORDS, t.words, [t.counts(t.word_at, len(t.words))], buckets))
-        return asked(found + list(ask(chunk, PAIRS, t.pairs, [t.counts(t.pair_at, len(t.pairs))], buckets)))
+        t = Tokens(table)
+        return ask(key[0].as_py(), buckets, (t.words, [t.counts(t.word_at, len(t.words))]), (t.pairs, [t.counts(t.pair_at, len(t.pairs))]))
 
-    def ask_weights(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk, t = key[0].as_py(), Tokens(table)
-        word_counts, words, pair_counts, first, factors = _read(answers)
-        # each pair that occurs in training is summed by the one chunk that is first to hold it
+    def own_sums(t: Tokens, answers: pa.Table) -> tuple:
+        """What the pairs that this chunk is the first to hold add to their histories; the histories' counts; which others hold, too."""
+        word_counts, elsewhere, words, pair_counts, first, factors = _read(answers)
         own = t.pair_first[first]
         of, count = t.history_at[own], pair_counts[first].astype(np.int64)
         spent = np.bincount(of, factors[np.minimum(count, GOOD_TURING + 1)] * count, len(t.histories))
         covered = np.bincount(of, words.probability(word_counts[t.word_at[own]].astype(np.int64)), len(t.histories))
-        return asked(list(ask(chunk, HISTORIES, t.histories, [spent, covered, t.of_histories(word_counts)], buckets)))
+        return (spent, covered, t.of_words(word_counts).astype(np.int64)), t.of_words(elsewhere)
+
+    def ask_weights(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        t = Tokens(table)
+        sums, shared = own_sums(t, answers)  # a history that no other chunk holds is complete here
+        return ask(key[0].as_py(), buckets, (t.histories[shared], [x[shared] for x in sums]))
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def evaluate(table: pa.Table, answers: pa.Table) -> pa.Table:
         t = Tokens(table)
-        word_counts, words, pair_counts, _, factors = _read(answers)
-        (weight, added), _ = answers_of(answers, HISTORIES, [np.float64, np.uint8])
+        first_round, second_round = (answers.filter(pc.equal(answers["round"], r)) for r in (1, 2))
+        word_counts, _, words, pair_counts, _, factors = _read(first_round)
+        sums, shared = own_sums(t, first_round)
+        weight, added = backoff(*sums)
+        (weight[shared], added[shared]), _ = answers_of(second_round, 0, [np.float64, np.uint8])
         count = word_counts[t.word_at].astype(np.int64)
         base = np.log10((count + 0.5) / (words.total + 0.5 * (words.distinct + 1)))
         pairs = pair_counts[t.pair_at].astype(np.int64)
-        history = np.maximum(t.of_histories(word_counts) + added, 1)[t.history_at]
+        history = np.maximum(sums[2] + added, 1)[t.history_at]
         seen = factors[np.minimum(pairs, GOOD_TURING + 1)] * pairs / history
         probability = np.where(pairs > 0, seen, weight[t.history_at] * words.probability(count))
         total = lambda x: np.add.reduceat(x, t.starts)
@@ -168,5 +178,6 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     counted = answer(rows.groupBy("chunk").applyInArrow(ask_counts, ASKED), [np.int32], add_counts)
     asked_weights = rows.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(ask_weights, ASKED)
     weighed = answer(asked_weights, [np.float64, np.float64, np.int64], _weights)
+    both = counted.withColumn("round", F.lit(1)).unionAll(weighed.withColumn("round", F.lit(2)))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("chunk").cogroup(counted.unionAll(weighed).groupBy("chunk")).applyInArrow(evaluate, schema)
+    return rows.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(evaluate, schema)

@@ -7,7 +7,7 @@ however frequent, crosses the network once for each chunk and way.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tidegate.llm.common import partitions
 
-ASKED = "bucket int, chunk int, kind int, n int, keys binary, values binary"
-ANSWERED = "chunk int, bucket int, kind int, n int, answer binary, totals array<long>"
+ASKED = "bucket int, chunk int, n array<int>, keys array<binary>, values array<binary>"
+ANSWERED = "chunk int, bucket int, n array<int>, answers array<binary>, totals array<array<long>>"
 #: Counts of counts that a bucket reports: how many keys occur 1 to RANKS times.
 RANKS = 6
 
@@ -36,25 +36,13 @@ def decode(data: bytes, kind: type, n: int) -> np.ndarray:
 
 
 def chunked(docs: DataFrame, *columns: str) -> DataFrame:
-    """`columns` of `docs` and the chunk of each row, two for each shuffle partition, by a hash of id and text."""
-    n = 2 * partitions(docs.sparkSession)
+    """`columns` of `docs` and the chunk of each row, one for each shuffle partition, by a hash of id and text."""
+    n = partitions(docs.sparkSession)
     return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"), *columns)
 
 
-def ask(chunk: int, kind: int, keys: np.ndarray, values: list[np.ndarray], buckets: int) -> Iterator[tuple]:
-    """Rows for every bucket, also where it gets no keys; `keys` are sorted and distinct."""
-    edges = np.searchsorted(keys, np.array([(k << 64) // buckets for k in range(buckets)], np.uint64))
-    for b, (i, j) in enumerate(zip(edges, [*edges[1:], len(keys)], strict=True)):
-        part = keys[i:j]
-        steps = np.diff(part, prepend=np.uint64(0)) if len(part) else part
-        packed = [encode(v[i:j]) for v in values]
-        yield b, chunk, kind, int(j - i), encode(steps), b"".join(len(p).to_bytes(4, "little") + p for p in packed)
-
-
-def asked(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    columns = list(zip(*rows, strict=True)) or [[]] * 6
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "chunk", "kind", "n", "keys", "values"])
+def _joined(parts: list[bytes]) -> bytes:
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
 
 
 def _values(data: bytes, kinds: list[type], n: int) -> list[np.ndarray]:
@@ -66,44 +54,62 @@ def _values(data: bytes, kinds: list[type], n: int) -> list[np.ndarray]:
     return out
 
 
+def ask(chunk: int, buckets: int, *sets: tuple[np.ndarray, list[np.ndarray]]) -> pa.Table:
+    """A row for each bucket, also where it gets no keys, with every set of (sorted distinct keys, values)."""
+    cuts = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
+    edges = [[*np.searchsorted(keys, cuts).tolist(), len(keys)] for keys, _ in sets]
+    n, keys_out, values_out = [], [], []
+    for b in range(buckets):
+        span = [slice(e[b], e[b + 1]) for e in edges]
+        n.append([s.stop - s.start for s in span])
+        keys_out.append([encode(np.diff(keys[s], prepend=np.uint64(0))) if s.stop > s.start else b"" for (keys, _), s in zip(sets, span, strict=True)])
+        values_out.append([_joined([encode(v[s]) for v in values]) for (_, values), s in zip(sets, span, strict=True)])
+    return pa.table(
+        [pa.array(range(buckets), pa.int32()), pa.array([chunk] * buckets, pa.int32()), pa.array(n, pa.list_(pa.int32())), pa.array(keys_out, pa.list_(pa.binary())), pa.array(values_out, pa.list_(pa.binary()))],
+        ["bucket", "chunk", "n", "keys", "values"],
+    )
+
+
 def answer(questions: DataFrame, kinds: list[type], merge: Callable[[np.ndarray, list[np.ndarray]], tuple[list[np.ndarray], list[int]]]) -> DataFrame:
     """Group questions by bucket and answer each row.
 
-    `merge` gets, for one kind of key, the number of each asked key (equal keys have equal numbers) and the
+    `merge` gets, for one set of keys, the number of each asked key (equal keys have equal numbers) and the
     values; it returns arrays aligned with them, and totals that every answer repeats.
     """
 
     def reply(table: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        chunk, bucket, kind, count = (np.array(table[c].to_pylist()) for c in ("chunk", "bucket", "kind", "n"))
-        keys, values = table["keys"], table["values"]
-        for k in sorted(set(kind.tolist())):
-            rows = np.flatnonzero(kind == k)
-            asked_keys = np.concatenate([np.cumsum(decode(keys[int(r)].as_py(), np.uint64, count[r]), dtype=np.uint64) for r in rows])
-            given = [np.concatenate(v) for v in zip(*(_values(values[int(r)].as_py(), kinds, count[r]) for r in rows), strict=True)]
-            number = np.unique(asked_keys, return_inverse=True)[1]
-            del asked_keys
-            answers, totals = merge(number, given)
-            edges = np.r_[0, np.cumsum(count[rows])]
-            for r, i, j in zip(rows, edges[:-1], edges[1:], strict=True):
-                packed = [encode(a[i:j]) for a in answers]
-                out.append((chunk[r], bucket[r], k, j - i, b"".join(len(p).to_bytes(4, "little") + p for p in packed), totals))
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-        columns = list(zip(*out, strict=True))
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["chunk", "bucket", "kind", "n", "answer", "totals"])
+        chunk, bucket, count = (table[c].to_pylist() for c in ("chunk", "bucket", "n"))
+        rows, sets = len(chunk), len(count[0])
+        answers: list[list[bytes]] = [[] for _ in range(rows)]
+        totals = []
+        for k in range(sets):
+            n = [c[k] for c in count]
+            asked = np.concatenate([np.cumsum(decode(table["keys"][r][k].as_py(), np.uint64, n[r]), dtype=np.uint64) for r in range(rows)])
+            given = [np.concatenate(v) for v in zip(*(_values(table["values"][r][k].as_py(), kinds, n[r]) for r in range(rows)), strict=True)]
+            number = np.unique(asked, return_inverse=True)[1]
+            del asked
+            found, total = merge(number, given)
+            totals.append(total)
+            edges = np.r_[0, np.cumsum(n)].tolist()
+            for r in range(rows):
+                answers[r].append(_joined([encode(a[edges[r] : edges[r + 1]]) for a in found]))
+        kept = pa.array([totals] * rows, pa.list_(pa.list_(pa.int64())))
+        return pa.table([table["chunk"], table["bucket"], table["n"], pa.array(answers, pa.list_(pa.binary())), kept], ["chunk", "bucket", "n", "answers", "totals"])
 
     return questions.groupBy("bucket").applyInArrow(reply, ANSWERED)
 
 
-def answers_of(table: pa.Table, kind: int, types: list[type]) -> tuple[list[np.ndarray], np.ndarray]:
-    """A chunk's answers of one kind, in the order of its sorted keys, and the totals over all buckets."""
-    rows = sorted((r for r in table.select(["bucket", "kind", "n", "answer", "totals"]).to_pylist() if r["kind"] == kind), key=lambda r: r["bucket"])
-    parts = [_values(r["answer"], types, r["n"]) for r in rows]
-    return [np.concatenate(p) for p in zip(*parts, strict=True)], np.array([r["totals"] for r in rows], np.int64).sum(0)
+def answers_of(table: pa.Table, k: int, types: list[type]) -> tuple[list[np.ndarray], np.ndarray]:
+    """A chunk's answers for its set k, in the order of its sorted keys, and the totals over all buckets."""
+    order = np.argsort(table["bucket"].to_numpy(), kind="stable").tolist()
+    parts = [_values(table["answers"][r][k].as_py(), types, table["n"][r][k].as_py()) for r in order]
+    return [np.concatenate(p) for p in zip(*parts, strict=True)], np.array([t[k] for t in table["totals"].to_pylist()], np.int64).sum(0)
 
 
 def add_counts(number: np.ndarray, given: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
-    """Sum of each key's counts, and whether this question is the first of those that have any: [count, first].
+    """Sum of each key's counts, and flags: [count, flags].
+
+    Flag 1: this question is the first of those that count any; flag 2: several questions hold the key.
 
     Totals: all counts, keys that occur, keys that occur 1, 2, ..., RANKS times.
     """
@@ -113,5 +119,6 @@ def add_counts(number: np.ndarray, given: list[np.ndarray]) -> tuple[list[np.nda
     first = np.zeros(len(number), np.uint8)
     some = np.flatnonzero(counts > 0)
     first[some[np.unique(number[some], return_index=True)[1]]] = 1
+    first |= (np.bincount(number, minlength=size)[number] > 1).astype(np.uint8) << 1
     ranks = np.bincount(np.minimum(total, RANKS + 1), minlength=RANKS + 2)
     return [np.minimum(total, 2**31 - 1).astype(np.int32)[number], first], [int(total.sum()), int((total > 0).sum()), *ranks[1 : RANKS + 1].tolist()]
