@@ -10,8 +10,8 @@ from tidegate.operators import evaluate, metrics, panel, splits
 from tidegate.operators.paths import paths
 
 LOOKBACK, HORIZON = 4, 2
-KFOLD = PurgedKFold(5, embargo=3)
-CPCV = CombinatorialCV(6, 2, embargo=3)
+KFOLD = PurgedKFold(5, embargo=8)
+CPCV = CombinatorialCV(6, 2, embargo=8)
 WALK = WalkForward(5, test_sessions=20, gap=3)
 SLIDING = WalkForward(4, test_sessions=15, gap=2, max_train_sessions=60)
 PERIODS = 52.0
@@ -159,7 +159,7 @@ def mean_model_mse(spark, sf_dir):
 
 def ridge1_predictions(spark, sf_dir):
     found = evaluate.ridge_predictions(_kfold_assigned(spark, sf_dir), ["ret"], 1.0)
-    return found.select("fold", "asset", "session", F.round(F.col("prediction") + 0.0, 8).alias("prediction"))
+    return found.select("fold", "asset", "session", F.round(F.col("prediction") + 0.0, 6).alias("prediction"))
 
 
 def _cpcv_ledger(spark, sf_dir):
@@ -388,7 +388,7 @@ SQL = {
     "holdout_split": f"WITH {BASE}{ALL}{HELD}, z AS (SELECT CASE WHEN session IN (SELECT session FROM h) THEN 'holdout' WHEN info_end < b.start THEN 'development' ELSE 'between' END AS part, session FROM s, b) SELECT part, count(*) AS samples, count(DISTINCT session) AS sessions FROM z GROUP BY 1",
     "holdout_boundary": f"WITH {BASE}{ALL}{HELD} SELECT b.first_holdout, b.start AS holdout_information, max(session) AS last_development, max(info_end) AS development_information, count(*) AS development_rows FROM s, b WHERE session NOT IN (SELECT session FROM h) AND info_end < b.start GROUP BY 1, 2",
     "mean_model_mse": _decided("kfold", MODELLED) + f", c0 AS (SELECT fold, avg(target) AS prediction FROM d WHERE role = 'candidate' AND reason IS NULL GROUP BY fold) SELECT d.fold, round({MSE}, 9) AS mse, count(*) AS n FROM d JOIN c0 ON d.fold = c0.fold WHERE role = 'test' GROUP BY d.fold",
-    "ridge1_predictions": _decided("kfold", MODELLED) + _ridge_sql(1.0, "1") + " SELECT fold, asset, session, round(prediction + 0.0, 8) AS prediction FROM r1",
+    "ridge1_predictions": _decided("kfold", MODELLED) + _ridge_sql(1.0, "1") + " SELECT fold, asset, session, round(prediction + 0.0, 6) AS prediction FROM r1",
     "ridge_mse_grouping_sets": _decided("cpcv", MODELLED)
     + _ridge_sql(1.0, "1")
     + f" SELECT CASE WHEN grouping(fold) = 0 THEN 'fold' WHEN grouping(g) = 0 THEN 'group' ELSE 'overall' END AS scope, coalesce(fold, g, -1)::BIGINT AS key, round({MSE}, 9) AS value, count(*) AS n FROM r1 GROUP BY GROUPING SETS ((), (fold), (g))",
