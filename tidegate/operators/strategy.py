@@ -107,8 +107,11 @@ def candidate_metrics(returns: DataFrame, periods: float, keys: tuple[str, ...]
 
 
 def best(scored: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """The row of the highest score for each key; of equals the smallest cand_idx."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(score), "cand_idx")
+    """The row of the highest score for each key; of equals the smallest cand_idx.
+
+    Scores count as equal to ten decimals, as sums of equal tracks differ with the order they were added in.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.desc(F.round(score, 10)), "cand_idx")
     return scored.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
@@ -131,8 +134,9 @@ def cscv(returns: DataFrame, groups: int, periods: float) -> DataFrame:
     """
     rows = grouped(returns, groups).join(F.broadcast(cscv_splits(returns.sparkSession, groups)), "group")
     scored = rows.groupBy("split", "cand_idx").agg(
-        *[(F.avg(v) / F.greatest(F.coalesce(F.stddev_samp(v), F.lit(0.0)), F.lit(1e-12)) * sqrt(periods)).alias(f"{s}_sharpe") for s, v in (("in", F.when(F.col("side") == "in", F.col("net"))), ("out", F.when(F.col("side") == "out", F.col("net"))))]
+        *[(F.avg(v) / F.greatest(F.coalesce(F.stddev_samp(v), F.lit(0.0)), F.lit(1e-12)) * sqrt(periods)).alias(f"{s}_exact") for s, v in (("in", F.when(F.col("side") == "in", F.col("net"))), ("out", F.when(F.col("side") == "out", F.col("net"))))]
     )
+    scored = scored.select("split", "cand_idx", F.round("in_exact", 10).alias("in_sharpe"), F.round("out_exact", 10).alias("out_sharpe"))
     across, level = Window.partitionBy("split"), Window.partitionBy("split", "out_sharpe")
     ranked = scored.withColumn("rank", F.rank().over(across.orderBy("out_sharpe")) - 1 + (F.count("*").over(level) + 1) / 2).withColumn("n", F.count("*").over(across))
     share = F.col("rank") / (F.col("n") + 1)

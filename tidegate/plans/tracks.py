@@ -138,8 +138,8 @@ def _metrics_sql(source: str, keys: str) -> str:
 
 
 CSCV_SQL = f""", gr AS (SELECT t, ntile({CSCV}) OVER (ORDER BY t) - 1 AS g FROM (SELECT DISTINCT t FROM r)), masks AS (SELECT m FROM (SELECT unnest(range({1 << CSCV})) AS m) WHERE bit_count(m::INTEGER) = {CSCV // 2}),
- io AS (SELECT m AS split, cand_idx, avg(net) FILTER (m >> g & 1 = 1) / greatest(coalesce(stddev_samp(net) FILTER (m >> g & 1 = 1), 0), 1e-12) * sqrt({P}) AS in_sharpe,
-   avg(net) FILTER (m >> g & 1 = 0) / greatest(coalesce(stddev_samp(net) FILTER (m >> g & 1 = 0), 0), 1e-12) * sqrt({P}) AS out_sharpe FROM r JOIN gr ON r.t = gr.t, masks GROUP BY 1, 2),
+ io AS (SELECT m AS split, cand_idx, round(avg(net) FILTER (m >> g & 1 = 1) / greatest(coalesce(stddev_samp(net) FILTER (m >> g & 1 = 1), 0), 1e-12) * sqrt({P}), 10) AS in_sharpe,
+   round(avg(net) FILTER (m >> g & 1 = 0) / greatest(coalesce(stddev_samp(net) FILTER (m >> g & 1 = 0), 0), 1e-12) * sqrt({P}), 10) AS out_sharpe FROM r JOIN gr ON r.t = gr.t, masks GROUP BY 1, 2),
  win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY in_sharpe DESC, cand_idx) AS place FROM io) WHERE place = 1),
  lg AS (SELECT w.split, w.cand_idx, w.in_sharpe, w.out_sharpe, (SELECT count(*) FROM io o WHERE o.split = w.split AND o.out_sharpe < w.out_sharpe) + ((SELECT count(*) FROM io o WHERE o.split = w.split AND o.out_sharpe = w.out_sharpe) + 1) / 2.0 AS rank FROM win w),
  cs AS (SELECT *, ln((rank / {len(GRID) + 1}.0) / (1 - rank / {len(GRID) + 1}.0)) AS logit FROM lg)"""
@@ -148,13 +148,13 @@ _PATHS = ", ".join(map(str, path_table(list(combinations(range(GROUPS), TEST_GRO
 CPCV_SQL = f""", g6 AS (SELECT t, ntile({GROUPS}) OVER (ORDER BY t) - 1 AS g FROM (SELECT DISTINCT t FROM r)), pt(fold, g, path) AS (VALUES {_PATHS}),
  fe AS (SELECT pt.fold, max(g6.t) AS fin FROM pt JOIN g6 ON pt.g = g6.g GROUP BY pt.fold, pt.g),
  tr AS (SELECT f.fold, r.* FROM r JOIN g6 ON r.t = g6.t, (SELECT DISTINCT fold FROM pt) f WHERE NOT EXISTS (SELECT 1 FROM pt WHERE pt.fold = f.fold AND pt.g = g6.g) AND NOT EXISTS (SELECT 1 FROM fe WHERE fe.fold = f.fold AND r.t > fe.fin AND r.t <= fe.fin + {EMBARGO})),
- wn AS (SELECT fold, cand_idx FROM (SELECT fold, cand_idx, row_number() OVER (PARTITION BY fold ORDER BY {SHARPE} DESC, cand_idx) AS place FROM tr GROUP BY fold, cand_idx) WHERE place = 1),
+ wn AS (SELECT fold, cand_idx FROM (SELECT fold, cand_idx, row_number() OVER (PARTITION BY fold ORDER BY round({SHARPE}, 10) DESC, cand_idx) AS place FROM tr GROUP BY fold, cand_idx) WHERE place = 1),
  ea AS (SELECT pt.path::BIGINT AS path, r.t, r.net, r.turnover FROM pt JOIN wn ON pt.fold = wn.fold JOIN g6 ON g6.g = pt.g JOIN r ON r.t = g6.t AND r.cand_idx = wn.cand_idx)"""
 
 WALK_SQL = f""", lt AS (SELECT t, ntile({WINDOWS}) OVER (ORDER BY t) - 1 AS win FROM (SELECT DISTINCT t FROM r WHERE t >= {MINIMUM})), st AS (SELECT win, min(t) AS start FROM lt GROUP BY win),
- sel AS (SELECT win, cand_idx AS selected FROM (SELECT win, cand_idx, row_number() OVER (PARTITION BY win ORDER BY {SHARPE} DESC, cand_idx) AS place FROM r JOIN st ON r.t < st.start GROUP BY win, cand_idx) WHERE place = 1),
+ sel AS (SELECT win, cand_idx AS selected FROM (SELECT win, cand_idx, row_number() OVER (PARTITION BY win ORDER BY round({SHARPE}, 10) DESC, cand_idx) AS place FROM r JOIN st ON r.t < st.start GROUP BY win, cand_idx) WHERE place = 1),
  ins AS (SELECT win, cand_idx, {SHARPE} AS score FROM r JOIN lt ON r.t = lt.t GROUP BY win, cand_idx),
- top AS (SELECT * FROM (SELECT win, cand_idx AS hindsight, score, row_number() OVER (PARTITION BY win ORDER BY score DESC, cand_idx) AS place FROM ins) WHERE place = 1),
+ top AS (SELECT * FROM (SELECT win, cand_idx AS hindsight, score, row_number() OVER (PARTITION BY win ORDER BY round(score, 10) DESC, cand_idx) AS place FROM ins) WHERE place = 1),
  wf AS (SELECT sel.win AS "window", selected, hindsight, i.score AS selected_sharpe, top.score AS hindsight_sharpe, top.score - i.score AS regret FROM sel JOIN ins i ON i.win = sel.win AND i.cand_idx = sel.selected JOIN top ON top.win = sel.win)"""
 
 SQL = {
@@ -169,7 +169,7 @@ SQL = {
     "cscv_splits": f"WITH {TRACKS}{CSCV_SQL} SELECT split, cand_idx, round(in_sharpe + 0.0, 6) AS in_sharpe, round(out_sharpe + 0.0, 6) AS out_sharpe, rank::DOUBLE AS rank, round(logit + 0.0, 6) AS logit FROM cs",
     "pbo": f"WITH {TRACKS}{CSCV_SQL} SELECT round(count(*) FILTER (logit <= 0) / count(*), 6) AS pbo, round(median(logit) + 0.0, 6) AS median_logit, count(*) AS splits FROM cs",
     "deflated_sharpe_statistic": f"""WITH {TRACKS}, q AS (SELECT cand_idx, avg(net) / greatest(coalesce(stddev_samp(net), 0), 1e-12) AS s, avg(net) AS m, stddev_pop(net) AS sd, count(*) AS sessions FROM r GROUP BY cand_idx),
-      b AS (SELECT * FROM q ORDER BY s DESC, cand_idx LIMIT 1), mo AS (SELECT b.*, avg(pow((r.net - b.m) / b.sd, 3)) AS skewness, avg(pow((r.net - b.m) / b.sd, 4)) AS kurtosis FROM r JOIN b ON r.cand_idx = b.cand_idx GROUP BY ALL),
+      b AS (SELECT * FROM q ORDER BY round(s, 10) DESC, cand_idx LIMIT 1), mo AS (SELECT b.*, avg(pow((r.net - b.m) / b.sd, 3)) AS skewness, avg(pow((r.net - b.m) / b.sd, 4)) AS kurtosis FROM r JOIN b ON r.cand_idx = b.cand_idx GROUP BY ALL),
       x AS (SELECT *, (SELECT stddev_samp(s) FROM q) * {expected_maximum_factor(len(GRID))!r} AS em FROM mo)
       SELECT cand_idx, round(s, 6) AS periodic_sharpe, round(em, 6) AS expected_maximum, round(skewness, 6) AS skewness, round(kurtosis, 6) AS kurtosis, sessions, round((s - em) * sqrt(sessions - 1) / sqrt(greatest(1 - skewness * s + (kurtosis - 1) / 4 * s * s, 1e-12)), 6) AS statistic FROM x""",
     "cpcv_selected_paths": f"WITH {TRACKS}{CPCV_SQL}" + _metrics_sql("ea", "path") + " SELECT path, n, sharpe, total_return, mean_turnover, round(mdd, 6) AS max_drawdown FROM mt",
