@@ -285,5 +285,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80, whole: int
     sets = stored(document_sets(docs, words, t), "sets")
     parts = components(class_links(sets, t)).withColumnsRenamed({"node": "class", "component": "part"})
     narrow = sets.select("doc_id", "n_shingles", "class").join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
-    names = narrow.groupBy("part").agg(F.min("doc_id").alias("component_id")).where(F.col("part").isNotNull())
+    # a table of its own, so that a part holding many documents can be split in the join
+    names = stored(narrow.groupBy("part").agg(F.min("doc_id").alias("component_id")).where(F.col("part").isNotNull()), "names")
     return narrow.join(names, "part", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
