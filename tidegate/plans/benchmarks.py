@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from tidegate.functions.risk import sharpe
 from tidegate.model import CombinatorialCV, PurgedKFold, WalkForward
 from tidegate.operators import evaluate, metrics, splits, strategy
 from tidegate.operators.paths import paths
+from tidegate.session import kept
+
+#: Fold numbers of one channel, when several channels share a table.
+CHANNEL_FOLDS = 100_000
 
 
 def channel_folds(dataset: DataFrame, axis: DataFrame, kfold: PurgedKFold, cpcv: CombinatorialCV | None, walk: WalkForward, embargo: int = 0) -> dict[str, DataFrame]:
@@ -27,16 +33,18 @@ def channel_folds(dataset: DataFrame, axis: DataFrame, kfold: PurgedKFold, cpcv:
 
 
 def channel_benchmark(dataset: DataFrame, folds: dict[str, DataFrame], features: list[str], alphas: tuple[float, ...] = (1.0,)) -> DataFrame:
-    """(channel, alpha, mse, n, overlap, purged, embargoed, retained_min): every channel's folds fitted in one job."""
-    rows, shape = None, None
-    for number, (name, decided) in enumerate(folds.items()):
-        tagged = splits.assignments(dataset, decided).withColumn("fold", F.col("fold") + number * 100_000).withColumn("channel", F.lit(name))
-        counts = splits.summary(decided).join(splits.retained_overlap(decided), "fold").agg(
-            F.sum("overlap").alias("overlap"), F.sum("purged").alias("purged"), F.sum("embargoed").alias("embargoed"), F.min("retained").alias("retained_min")
-        ).withColumn("channel", F.lit(name))
-        rows, shape = (tagged, counts) if rows is None else (rows.unionByName(tagged), shape.unionByName(counts))
-    scored = evaluate.ridge_predictions(rows, features, *alphas).groupBy("channel", "alpha").agg(metrics.mse().alias("mse"), F.count("*").alias("n"))
-    return scored.join(F.broadcast(shape), "channel")
+    """(channel, alpha, mse, n, overlap, purged, embargoed, retained_min): every channel's folds fitted in one job.
+
+    The decided folds of all channels are one table first: a row for each fold and distinct interval.
+    """
+    names = F.array(*[F.lit(name) for name in folds])
+    channel = names[F.floor(F.col("fold") / CHANNEL_FOLDS).cast("int")]
+    decided = kept(reduce(DataFrame.unionByName, [d.withColumn("fold", F.col("fold") + k * CHANNEL_FOLDS) for k, d in enumerate(folds.values())]), "channel-folds")
+    shape = splits.summary(decided).join(splits.retained_overlap(decided), "fold").groupBy(channel.alias("channel")).agg(
+        F.sum("overlap").alias("overlap"), F.sum("purged").alias("purged"), F.sum("embargoed").alias("embargoed"), F.min("retained").alias("retained_min")
+    )
+    scored = evaluate.ridge_predictions(splits.assignments(dataset, decided), features, *alphas).withColumn("channel", channel)
+    return scored.groupBy("channel", "alpha").agg(metrics.mse().alias("mse"), F.count("*").alias("n")).join(F.broadcast(shape), "channel")  # a row for each channel
 
 
 def leakage_decision(benchmark: DataFrame) -> dict[str, str]:
@@ -58,7 +66,7 @@ def effectiveness(dataset: DataFrame, axis: DataFrame, kfold: PurgedKFold, cpcv:
     The common view keeps the samples that walk-forward scored; roll-clean those of `clean` (asset, session).
     """
     spark, n = dataset.sparkSession, cpcv.n_groups
-    ridge = lambda spec: evaluate.ridge_predictions(splits.assignments(dataset, splits.plan(dataset, axis, spec)), features)
+    ridge = lambda spec: evaluate.ridge_predictions(splits.assignments(dataset, kept(splits.plan(dataset, axis, spec), "plan")), features)
     columns = ["path", "asset", "session", "target", "prediction"]
     one = F.lit(0).cast("long")
     rows = {
@@ -66,16 +74,12 @@ def effectiveness(dataset: DataFrame, axis: DataFrame, kfold: PurgedKFold, cpcv:
         "model-selection": ridge(kfold).withColumn("path", one).select(columns),
         "cpcv-robustness": ridge(cpcv).join(F.broadcast(paths(spark, cpcv.choices, n)), ["fold", "group"]).select(columns),
     }
-    scored = rows["causal-walk-forward"].select("asset", "session").distinct()
-    parts = []
-    for channel, found in rows.items():
-        views = {"native": found, "common": found.join(scored, ["asset", "session"], "left_semi")}
-        if clean is not None:
-            views["roll-clean"] = found.join(clean, ["asset", "session"], "left_semi")
-        parts += [v.withColumn("channel", F.lit(channel)).withColumn("view", F.lit(name)) for name, v in views.items()]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+    # every fold is fitted once, whatever views ask for its predictions
+    found = kept(reduce(DataFrame.unionByName, [r.withColumn("channel", F.lit(c)) for c, r in rows.items()]), "predictions")
+    views = {"native": found, "common": found.join(found.where("channel = 'causal-walk-forward'").select("asset", "session").distinct(), ["asset", "session"], "left_semi")}
+    if clean is not None:
+        views["roll-clean"] = found.join(clean, ["asset", "session"], "left_semi")
+    every = reduce(DataFrame.unionByName, [v.withColumn("view", F.lit(name)) for name, v in views.items()])
     return metrics.financial_metrics(every, ["channel", "view", "path"], periods)
 
 

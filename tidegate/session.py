@@ -1,8 +1,11 @@
-"""A session with the settings the operators rely on."""
+"""A session with the settings the operators rely on, and tables in its shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tidegate", **conf: str) -> SparkSession:
@@ -12,3 +15,18 @@ def session(app: str = "tidegate", **conf: str) -> SparkSession:
     for key, value in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the folder of spark.checkpoint.dir (a new one where it is unset) and read it again.
+
+    Plans that use a frame several times then hold a scan each time, and lost executors cost no recomputation.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="tidegate-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
