@@ -248,16 +248,18 @@ def document_sets(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
 def class_links(sets: DataFrame, t: Threshold) -> DataFrame:
     """Links (a, b) between classes that connect what similar classes connect."""
     candidates = sets.where(F.col("members").isNotNull()).groupBy("class").agg(F.first("prefix").alias("prefix"), F.first("members").alias("members"))
+    candidates = candidates.withColumn("size", (F.length("members") / 8).cast("long"))
     candidates = stored(candidates, "candidates")
     tokens = candidates.select("class", F.explode("prefix").alias("token"))
     leaders = tokens.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("other")).where(F.col("leader") != F.col("other")).drop("other")
     star = tokens.join(leaders, "token").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
     family = components(star).withColumnsRenamed({"node": "class", "component": "family"})
-    placed = candidates.select("class", "members").join(family, "class")
-    sizes = placed.groupBy("family").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum(F.length("members") / 8) / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    )
-    blocked = placed.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    # members join last, by class: the groups are then dealt by all three keys, whatever a family's size
+    placed = candidates.select("class", "size").join(family, "class")
+    sizes = placed.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    split = placed.join(sizes.where("blocks > 1"), "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    places = split.select("class", "family", "blocks", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("own"))
+    blocked = candidates.select("class", "members").join(places, "class")
     pairs = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "class", "members"
     )
