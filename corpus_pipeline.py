@@ -20,9 +20,10 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first row of each group that five-word shingles link at 0.8 or more; rows without words all stay.
 
-    Rows are told apart by their place in the table, so null and repeated ids lose nothing.
+    Rows are told apart by their place in the table, so null and repeated ids lose nothing. Places are written
+    down once: a scan that is read again, in another job, may be packed otherwise.
     """
-    rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
+    rows = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-rows")
     found = jaccard.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), words=5, part=80, whole=100)
     first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("row"))
     return rows.join(first, "row", "left_semi").select(*COLUMNS)
