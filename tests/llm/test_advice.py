@@ -1,7 +1,6 @@
 """Places where an operator once did less than the whole job."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from tidegate.llm import topk
 
@@ -26,3 +25,15 @@ def test_rows_keep_their_names_when_a_scan_is_packed_otherwise(spark, tmp_path):
             spark.conf.unset(k)
 
 
+def test_every_query_reads_sorted_lists(monkeypatch):
+    draw = np.random.default_rng(7)
+    rows = np.floor(draw.normal(size=(4000, 64)))
+    rows[:40] = np.floor(1000 * draw.normal(size=(40, 64)))
+    ids, k = np.arange(4000), 5
+    scored, best = [], topk.SortedLists._best
+    monkeypatch.setattr(topk.SortedLists, "_best", staticmethod(lambda r, s, k: scored.append(len(r)) or best(r, s, k)))
+    found = topk.SortedLists(ids, rows).search(ids[:8], rows[:8], k)
+    assert len(scored) == 8 and max(scored) < 3999  # one step each, and rows that no list showed are not scored
+    for q, (got, scores) in enumerate(found):
+        expected = sorted((-(rows[i] @ rows[q]), i) for i in range(4000) if i != q)[:k]
+        assert [(-s, i) for i, s in zip(got, scores, strict=True)] == expected

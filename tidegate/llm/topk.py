@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BLOCK_ROWS, CHUNK_QUERIES = 32768, 512
 #: How far the lists are read at first, and by which factor further each time.
 FIRST_DEPTH, FASTER = 64, 3
+#: Queries whose newly seen rows are scored together.
+BATCH = 64
 
 
 class SortedLists:
@@ -38,43 +40,46 @@ class SortedLists:
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(candidate ids, scores) of each query's k best in this block, ties to smaller ids; its own id is left out.
 
-        By norms, no kth score can exceed a limit, so reading goes at once to the first depth whose bound is below
-        it. Where the lists show as many entries by then as the block has rows, every row comes up anyway, and
-        such queries score whole rows together.
+        Every query reads its lists in steps, and stops once the bound is below its kth score or every row has come
+        up. Rows that a step shows to any query of a batch are scored together; a query takes only those that its
+        own lists show.
         """
         n = len(self.rows)
         depths = [min(FIRST_DEPTH, n)]
         while depths[-1] < n:
             depths.append(min(depths[-1] * FASTER, n))
-        bounds = np.stack([self.bounds(queries, d) for d in depths])
-        limit = np.sqrt((queries.astype(float) ** 2).sum(1)) * np.sqrt((self.rows.astype(float) ** 2).sum(1).max(initial=0))
-        first = np.argmax(bounds < limit * (1 + 1e-9), axis=0)
-        lists = (queries != 0).sum(1)
-        deep = lists * np.asarray(depths)[first] >= n
-        out: list = [None] * len(queries)
-        for some in np.array_split(np.flatnonzero(deep), -(-deep.sum() // 64) or 1):
-            for i, scores in zip(some, queries[some] @ self.rows.T, strict=True):
-                out[i] = self._best(np.flatnonzero(self.ids != query_ids[i]), scores[self.ids != query_ids[i]], k)
-        for i in np.flatnonzero(~deep):
-            out[i] = self._threshold(query_ids[i], queries[i], k, depths[first[i] :], bounds[first[i] :, i])
+        out = [(np.zeros(0, np.int64), np.zeros(0, self.rows.dtype))] * len(queries)
+        seen = self.ids == query_ids[:, None]
+        active, read = np.arange(len(queries)), 0
+        for depth in depths:
+            top, bottom, bounds = self._places(n - depth, n - read), self._places(read, depth), self.bounds(queries, depth)
+            going = []
+            for some in np.array_split(active, -(-len(active) // BATCH)):
+                new = np.stack([self._shown(queries[i], top, bottom) for i in some]) if depth < n else np.ones((len(some), n), bool)
+                new &= ~seen[some]  # at the end also rows that only lists of zero weight hold
+                seen[some] |= new
+                any_new = np.flatnonzero(new.any(0))
+                scores, mine = queries[some] @ self.rows[any_new].T, new[:, any_new]
+                for i, own, found in zip(some, mine, scores, strict=True):
+                    best, kept = out[i]
+                    out[i] = best, kept = self._best(np.concatenate([best, any_new[own]]), np.concatenate([kept, found[own]]), k)
+                    if not (len(best) >= k and bounds[i] < kept[-1] or seen[i].all()):
+                        going.append(i)
+            active, read = np.array(going, np.int64), depth
+            if not going:
+                break
         return [(self.ids[rows], scores) for rows, scores in out]
 
-    def _threshold(self, own: int, query: np.ndarray, k: int, depths: list[int], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.rows)
-        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        seen = self.ids == own
-        best, scores, read = np.zeros(0, np.int64), np.zeros(0, self.rows.dtype), 0
-        for depth, bound in zip(depths, bounds, strict=True):
-            shown = np.full(n, depth == n)  # at the end also rows that only lists of zero weight hold
-            shown[self.order[up, n - depth : n - read]] = True
-            shown[self.order[down, read:depth]] = True
-            new = np.flatnonzero(shown & ~seen)
-            seen |= shown
-            best, scores = self._best(np.concatenate([best, new]), np.concatenate([scores, self.rows[new] @ query]), k)
-            read = depth
-            if len(best) >= k and bound < scores[-1]:
-                break
-        return best, scores
+    def _places(self, start: int, stop: int) -> np.ndarray:
+        """For each list, a bit for each row, set for those that stand from `start` to `stop`."""
+        marks = np.zeros(self.order.shape, bool)
+        np.put_along_axis(marks, self.order[:, start:stop].astype(np.int64), True, 1)
+        return np.packbits(marks, axis=1)
+
+    def _shown(self, query: np.ndarray, top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+        """The rows that the lists show to a query: from the end that the sign of its weight favours."""
+        bits = np.bitwise_or.reduce(top[query > 0], axis=0) | np.bitwise_or.reduce(bottom[query < 0], axis=0)
+        return np.unpackbits(bits, count=len(self.rows)).view(bool)
 
     @staticmethod
     def _best(rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
