@@ -1,8 +1,9 @@
 """Places where an operator once did less than the whole job."""
 
 import numpy as np
+import pytest
 
-from tidegate.llm import topk
+from tidegate.llm import pii, topk
 
 
 def test_rows_keep_their_names_when_a_scan_is_packed_otherwise(spark, tmp_path):
@@ -37,3 +38,9 @@ def test_every_query_reads_sorted_lists(monkeypatch):
     for q, (got, scores) in enumerate(found):
         expected = sorted((-(rows[i] @ rows[q]), i) for i in range(4000) if i != q)[:k]
         assert [(-s, i) for i, s in zip(got, scores, strict=True)] == expected
+
+
+@pytest.mark.parametrize("address", ["jane [At] foo [dot] com", "jane (at] foo.com", "jane ( at) foo.com", "jane {aT } foo (dot) com"])
+def test_written_out_addresses_in_every_form(address):
+    text = f"mail {address}"
+    assert (5, len(text), "email") in pii.loose_spans(text, [])

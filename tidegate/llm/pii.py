@@ -32,7 +32,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 # looser notations
-_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[({] ?dot ?[\])}] ?)[A-Za-z0-9-]{1,63}){1,5}", re.I)
+_SIGN = r"[\[({] ?at ?[\])}]"
+_AT_SIGN = re.compile(_SIGN, re.I)
+_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?" + _SIGN + r" ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[({] ?dot ?[\])}] ?)[A-Za-z0-9-]{1,63}){1,5}", re.I)
 _NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 _IP6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _DOTTED_CARD = re.compile(r"(?<![0-9.])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9.])")
@@ -85,8 +87,7 @@ def strict_spans(text: str) -> list[Span]:
 def loose_spans(text: str, strict: list[Span]) -> list[Span]:
     """Candidates in other notations, left to right, that touch neither strict spans nor each other."""
     found: list[Span] = []
-    low = text.lower() if "at" in text or "AT" in text else ""
-    if any(f"{a}at{b}" in low or f"{a} at {b}" in low for a, b in ("()", "[]", "{}")):
+    if _AT_SIGN.search(text):
         found += [(*m.span(), "email") for m in _AT.finditer(text)]
     if _DIGIT.search(text):
         found += [(*m.span(), "phone") for m in _NATIONAL.finditer(text)]
