@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidegate.llm import pii, topk
+from tidegate.llm import keyed, pii, topk
 
 
 def test_rows_keep_their_names_when_a_scan_is_packed_otherwise(spark, tmp_path):
@@ -44,3 +44,9 @@ def test_every_query_reads_sorted_lists(monkeypatch):
 def test_written_out_addresses_in_every_form(address):
     text = f"mail {address}"
     assert (5, len(text), "email") in pii.loose_spans(text, [])
+
+
+def test_counts_beyond_32_bits():
+    counts, totals = keyed.add_counts(np.array([0, 0, 1]), [np.array([2**31 - 1, 2**31 - 1, 3], np.int32)])
+    assert counts[0].tolist() == [2**32 - 2, 2**32 - 2, 3] and totals[0] == 2**32 + 1
+    assert keyed.decode(keyed.encode(counts[0]), np.int64, 3).tolist() == counts[0].tolist()

@@ -216,7 +216,7 @@ def document_sets(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
 
     def prefixes(table: pa.Table, answers: pa.Table) -> pa.Table:
         sets, marks, first = _document_sets(table, words)
-        (frequency, _), _ = answers_of(answers, 0, [np.int32, np.uint8])
+        (frequency, _), _ = answers_of(answers, 0, [np.int64, np.uint8])
         keys, at = np.unique(np.concatenate(sets), return_inverse=True)
         sizes = {m: len(sets[k]) for m, k in first.items()}
         ends = np.cumsum([len(s) for s in sets])

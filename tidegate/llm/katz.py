@@ -97,8 +97,8 @@ class Tokens:
 
 
 def _read(table: pa.Table) -> tuple:
-    (word_counts, word_flags), word_totals = answers_of(table, WORDS, [np.int32, np.uint8])
-    (pair_counts, pair_flags), pair_totals = answers_of(table, PAIRS, [np.int32, np.uint8])
+    (word_counts, word_flags), word_totals = answers_of(table, WORDS, [np.int64, np.uint8])
+    (pair_counts, pair_flags), pair_totals = answers_of(table, PAIRS, [np.int64, np.uint8])
     return word_counts, word_flags > 1, Words.of(word_totals), pair_counts, pair_flags % 2 == 1, discounts(pair_totals[2:])
 
 

@@ -121,4 +121,4 @@ def add_counts(number: np.ndarray, given: list[np.ndarray]) -> tuple[list[np.nda
     first[some[np.unique(number[some], return_index=True)[1]]] = 1
     first |= (np.bincount(number, minlength=size)[number] > 1).astype(np.uint8) << 1
     ranks = np.bincount(np.minimum(total, RANKS + 1), minlength=RANKS + 2)
-    return [np.minimum(total, 2**31 - 1).astype(np.int32)[number], first], [int(total.sum()), int((total > 0).sum()), *ranks[1 : RANKS + 1].tolist()]
+    return [total[number], first], [int(total.sum()), int((total > 0).sum()), *ranks[1 : RANKS + 1].tolist()]
