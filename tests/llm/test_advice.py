@@ -1,9 +1,11 @@
 """Places where an operator once did less than the whole job."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
-from tidegate.llm import keyed, pii, topk
+from tidegate.llm import keyed, pii, quality_rules, topk
 
 
 def test_rows_keep_their_names_when_a_scan_is_packed_otherwise(spark, tmp_path):
@@ -40,6 +42,26 @@ def test_every_query_reads_sorted_lists(monkeypatch):
         assert [(-s, i) for i, s in zip(got, scores, strict=True)] == expected
 
 
+def test_one_long_text_does_not_pad_the_others():
+    draw = np.random.default_rng(2)
+    documents = [draw.normal(size=(n, quality_rules.FEATURES)) for n in [*draw.integers(1, 20, 600), 6000]]
+    tracemalloc.start()
+    quality_rules.fit_field(documents, np.arange(601) % 2, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
+def test_groups_of_like_length_fit_the_same_field(monkeypatch):
+    draw = np.random.default_rng(4)
+    documents = [draw.normal(size=(n, quality_rules.FEATURES)) for n in draw.integers(1, 30, 60)]
+    whole = quality_rules.fit_field(documents, np.arange(60) % 2, rounds=20)
+    monkeypatch.setattr(quality_rules, "CELLS", 50)
+    parts = quality_rules.fit_field(documents, np.arange(60) % 2, rounds=20)
+    np.testing.assert_allclose(parts.emit, whole.emit, rtol=1e-6)
+    np.testing.assert_allclose(parts.step, whole.step, rtol=1e-6)
+
+
 @pytest.mark.parametrize("address", ["jane [At] foo [dot] com", "jane (at] foo.com", "jane ( at) foo.com", "jane {aT } foo (dot) com"])
 def test_written_out_addresses_in_every_form(address):
     text = f"mail {address}"

@@ -21,6 +21,8 @@ from tidegate.llm.signals import NAMES, signals
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
+#: Places (lines x documents) that forward-backward pads documents to at once.
+CELLS = 1 << 20
 #: Signals of a line, whether it repeats an earlier one, and whether it ends a sentence.
 FEATURES = len(NAMES) + 2
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -105,8 +107,40 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 0.5
     return w, b
 
 
+def _of_like_length(lengths: np.ndarray) -> list[slice]:
+    """The lines of runs of documents, sorted by length, that take at most CELLS padded places, or hold one document."""
+    ends, first, out = np.cumsum(lengths), 0, []
+    for last in range(1, len(lengths) + 1):
+        if last == len(lengths) or lengths[last] * (last + 1 - first) > CELLS:
+            out.append(slice(int(ends[first] - lengths[first]), int(ends[last - 1])))
+            first = last
+    return out
+
+
+def _marginals(score: np.ndarray, document: np.ndarray, line: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's probability of content and the expected number of each step, by forward-backward over padded documents."""
+    longest, documents = int(line.max()) + 1, int(document[-1]) + 1
+    inside = np.zeros((longest, documents), bool)
+    inside[line, document] = True
+    e = np.zeros((longest, documents, 2))
+    e[line, document, 1] = score
+    forward, backward = np.zeros_like(e), np.zeros_like(e)
+    forward[0] = e[0]
+    for t in range(1, longest):
+        moved = np.logaddexp(forward[t - 1][:, 0:1] + step[0], forward[t - 1][:, 1:2] + step[1]) + e[t]
+        forward[t] = np.where(inside[t][:, None], moved, forward[t - 1])
+    total = np.logaddexp(forward[-1][:, 0], forward[-1][:, 1])
+    for t in range(longest - 2, -1, -1):
+        ahead = backward[t + 1] + e[t + 1]
+        moved = np.logaddexp(step[:, 0] + ahead[:, 0:1], step[:, 1] + ahead[:, 1:2])
+        backward[t] = np.where(inside[t + 1][:, None], moved, 0.0)
+    content = np.exp(forward[line, document, 1] + backward[line, document, 1] - total[document])
+    pairs = forward[:-1, :, :, None] + step + (e[1:] + backward[1:])[:, :, None, :] - total[:, None, None]
+    return content, np.where(inside[1:][:, :, None, None], np.exp(np.minimum(pairs, 0)), 0).sum((0, 1))
+
+
 def fit_field(documents: list[np.ndarray], quality: np.ndarray, rounds: int = 100, rate: float = 0.08, decay: float = 1e-3) -> LineField:
-    """Maximum conditional likelihood by forward-backward, over documents sorted by length and padded."""
+    """Maximum conditional likelihood by forward-backward, over groups of documents of like length, padded."""
     lengths = np.array([len(d) for d in documents])
     order = np.argsort(lengths, kind="stable")
     documents, quality, lengths = [documents[i] for i in order], quality[order], lengths[order]
@@ -118,32 +152,17 @@ def fit_field(documents: list[np.ndarray], quality: np.ndarray, rounds: int = 10
     y = np.where(quality[owner] == 1, 1, (z @ w + b > 0).astype(int))  # lines of low-quality documents that look like content stay content
     starts = np.r_[0, np.cumsum(lengths)[:-1]]
     place = np.arange(len(x)) - starts[owner]
-    longest = int(lengths.max())
-    inside = np.zeros((longest, len(documents)), bool)
-    inside[place, owner] = True
-    truth = np.zeros((longest, len(documents)), int)
-    truth[place, owner] = y
     step = np.zeros((2, 2))
-    both = inside[1:]
-    seen = np.array([[(both & (truth[:-1] == i) & (truth[1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
+    both = owner[1:] == owner[:-1]
+    seen = np.array([[(both & (y[:-1] == i) & (y[1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
+    groups = [(owner[rows] - owner[rows.start], place[rows], rows) for rows in _of_like_length(lengths)]
     state = [np.zeros_like(q) for q in (w, step)] + [np.zeros_like(q) for q in (w, step)] + [0.0, 0.0]
     for n in range(1, rounds + 1):
-        e = np.zeros((longest, len(documents), 2))
-        e[place, owner, 1] = z @ w + b
-        forward, backward = np.zeros_like(e), np.zeros_like(e)
-        forward[0] = e[0]
-        for t in range(1, longest):
-            moved = np.logaddexp(forward[t - 1][:, 0:1] + step[0], forward[t - 1][:, 1:2] + step[1]) + e[t]
-            forward[t] = np.where(inside[t][:, None], moved, forward[t - 1])
-        total = np.logaddexp(forward[-1][:, 0], forward[-1][:, 1])
-        for t in range(longest - 2, -1, -1):
-            ahead = backward[t + 1] + e[t + 1]
-            moved = np.logaddexp(step[:, 0] + ahead[:, 0:1], step[:, 1] + ahead[:, 1:2])
-            backward[t] = np.where(inside[t + 1][:, None], moved, 0.0)
-        content = np.exp(forward[place, owner, 1] + backward[place, owner, 1] - total[owner])
+        score, content, expected = z @ w + b, np.zeros(len(x)), np.zeros((2, 2))
+        for document, line, rows in groups:
+            content[rows], pairs = _marginals(score[rows], document, line, step)
+            expected += pairs
         wrong = (content - y) / len(y)
-        pairs = forward[:-1, :, :, None] + step + (e[1:] + backward[1:])[:, :, None, :] - total[:, None, None]
-        expected = np.where(both[:, :, None, None], np.exp(np.minimum(pairs, 0)), 0).sum((0, 1))
         slopes = [z.T @ wrong + decay * w, (expected - seen) / len(y) + decay * step]
         for k, (q, g) in enumerate(zip((w, step), slopes, strict=True)):
             state[k] = 0.9 * state[k] + 0.1 * g
