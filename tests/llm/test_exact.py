@@ -24,9 +24,12 @@ def texts(spark, sf_dir):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(encoding.vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(encoding.vocabulary())
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext|", "é" * 3000 + "<|endoftext|>"])
+def test_ids_are_the_tokenizer_files(tokenizer, text):
+    assert encoding.encoder(encoding.vocabulary())(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_packing_round_trip(spark, sf_dir, texts, tokenizer):
@@ -58,6 +61,29 @@ def test_bins_close_fullest_first():
     assert bins.place(4) == (0, 6)
 
 
+def test_the_bound_on_open_bins_binds():
+    """Ten times as many pieces as open bins: bins do close, and hardly any room is lost."""
+    draw = np.random.default_rng(6)
+    lengths = np.minimum(draw.lognormal(6, 1.1, 20_000).astype(int) + 1, 2048)
+    bins = packing.OpenBins(2048, packing.OPEN_BINS)
+    for at in range(0, len(lengths), 2 * packing.OPEN_BINS):
+        bins.place_run(lengths[at : at + 2 * packing.OPEN_BINS].tolist())
+        assert bins.open <= packing.OPEN_BINS
+    assert bins.closed > 100 and bins.made <= 1.01 * -(-int(lengths.sum()) // 2048)
+
+
+def test_a_run_may_span_batches_and_tasks_split(spark):
+    parts = spark.range(5000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "1 + id * 7919 % 2048 AS length", "id AS ids_crc32")
+    rows = packing.best_fit(parts, 2048, open_bins=64, task_pieces=1200).collect()
+    places = defaultdict(list)
+    for r in rows:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(r["doc_id"] for r in rows) == list(range(5000)) and len({r["sequence_id"] >> 40 for r in rows}) == 5
+    for slots in places.values():
+        slots.sort()
+        assert [o for o, _ in slots] == [sum(n for _, n in slots[:k]) for k in range(len(slots))] and sum(n for _, n in slots) <= 2048
+
+
 def test_token_counts(spark, sf_dir, texts, tokenizer):
     lengths = sorted(len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts.values())
     sums = queries.op10_token_counts(spark, sf_dir).cache()

@@ -20,10 +20,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Ids of a text, equal to those of the tokenizer file without special tokens.
+    """Ids of a text, equal to those of the tokenizer file with add_special_tokens=False.
 
-    The file's vocabulary as ranks, which lies beside it, gives the same ids several times faster; special
-    tokens' strings in a text are ordinary text.
+    The file's vocabulary as ranks, which lies beside it, gives the same ids several times faster. A text that holds
+    one of the file's added tokens literally gets that token's id there, so such texts go to the file's tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -32,7 +32,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.slow.get_added_tokens_decoder().values())
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -41,7 +41,7 @@ class Encoder:
         """Ids as an array of unsigned 32-bit numbers; a null text is empty."""
         if not text:
             return array("I")
-        if _LONG.search(text):
+        if _LONG.search(text) or any(t in text for t in self.added):
             return array("I", self.slow.encode(text, add_special_tokens=False).ids)
         return array("I", self.fast(text))
 

@@ -1,8 +1,9 @@
 """Best-fit packing of encoded documents into fixed-size sequences.
 
 Each task packs the pieces of its partition with bounded-space online best fit: a fixed number of open
-bins, found through a bitset keyed by free space; when all are open the fullest one closes first. Pieces
-arrive longest first, so every partition leaves a few unfilled bins only, and memory is the open bins.
+bins, found through a bitset keyed by free space; when all are open the fullest one closes first. Pieces come
+in the order of a hash, and each run of them, twice as many as open bins, is placed longest first. A task's
+memory is one run and the open bins, however many pieces it gets.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 #: The id that ends a document.
 END = 0
+#: Open bins of a task, and pieces that a task gets.
+OPEN_BINS, TASK_PIECES = 1024, 65_536
 
 
 class OpenBins:
@@ -30,7 +33,7 @@ class OpenBins:
     def __init__(self, capacity: int, limit: int) -> None:
         self.capacity, self.limit = capacity, limit
         self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self.bits, self.open, self.made = 0, 0, 0
+        self.bits, self.open, self.made, self.closed = 0, 0, 0, 0
 
     def _take(self, free: int) -> int:
         found = self.by_free[free].pop()
@@ -47,6 +50,7 @@ class OpenBins:
         else:
             if self.open >= self.limit:
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
             free, chosen = self.capacity, self.made
             self.made += 1
         left = free - length
@@ -56,6 +60,11 @@ class OpenBins:
             self.open += 1
         return chosen, self.capacity - free
 
+    def place_run(self, lengths: list[int]) -> tuple[list[int], list[tuple[int, int]]]:
+        """The order in which a run is placed, longest first (ties as they came), and (bin, offset) in that order."""
+        order = sorted(range(len(lengths)), key=lambda k: -lengths[k])
+        return order, [self.place(lengths[k]) for k in order]
+
 
 def cut(total: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: one if it fits, else full ones after a first that may be shorter."""
@@ -87,30 +96,48 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, PIECES)
 
 
-def best_fit(parts: DataFrame, capacity: int = 2048, open_bins: int = 8192) -> DataFrame:
+def best_fit(parts: DataFrame, capacity: int = 2048, open_bins: int = OPEN_BINS, task_pieces: int = TASK_PIECES) -> DataFrame:
     """Give each piece (`doc_id`, `piece`, ..., `length`) a sequence and its place there.
 
     Pieces are dealt evenly by document and piece, so neither a hot source nor a very long document gathers
     in one task. Repeated rows are packed as often as they occur; an empty table gives an empty result.
     """
     names = parts.columns
+    at = names.index("length")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = OpenBins(capacity, open_bins)
         base = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            placed = [bins.place(n) for n in batch.column(names.index("length")).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())],
-                [*names, "sequence_id", "offset"],
-            )
+        for run in _runs(batches, 2 * open_bins):
+            order, placed = bins.place_run(run.column(at).to_pylist())
+            columns = [*run.take(pa.array(order, pa.int64())).columns, pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
 
-    tasks = -(-parts.count() // open_bins) or 1  # a task's pieces are about as many as its open bins
+    tasks = -(-parts.count() // task_pieces) or 1
     dealt = parts.repartition(tasks, "doc_id", "piece", "ids_crc32")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
-    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(pack, schema)
+    mixed = F.xxhash64("doc_id", "piece", "ids_crc32")
+    return dealt.sortWithinPartitions(mixed, "doc_id", "piece", "ids_crc32").mapInArrow(pack, schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, open_bins: int = 8192) -> DataFrame:
-    """Pack `docs` (doc_id, text); other columns are ignored. One row per piece, as PACKED."""
-    return best_fit(stored(pieces(docs, vocabulary, capacity), "pieces"), capacity, open_bins)
+def _runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches` in batches of `size`; the last one may be shorter."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        while sum(map(len, waiting)) >= size:
+            rows = pa.concat_batches(waiting)
+            yield rows.slice(0, size)
+            waiting = [rows.slice(size)]
+    if any(map(len, waiting)):
+        yield pa.concat_batches(waiting)
+
+
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, open_bins: int = OPEN_BINS, task_pieces: int = TASK_PIECES) -> DataFrame:
+    """Pack `docs` (doc_id, text), one row per piece, as PACKED.
+
+    A null or empty text is one piece of the end id alone; a text of any length is cut into whole pieces; equal
+    lengths go by a hash of document and piece; repeated rows are packed as often as they occur; an empty table gives
+    no rows; columns beside doc_id and text are ignored, whatever their names.
+    """
+    return best_fit(stored(pieces(docs, vocabulary, capacity), "pieces"), capacity, open_bins, task_pieces)
