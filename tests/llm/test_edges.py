@@ -55,6 +55,9 @@ def test_topk_edges(spark):
     usable = topk.integer_vectors(vectors, "vec_id", "embedding", 64)
     found = [tuple(r) for r in topk.top_k(usable, F.col("vec_id") % 20 == 0, 3).orderBy("query_id", "rank").collect()]
     assert found == [(0, 1, 4, 2048), (0, 2, 8, 1024), (0, 3, 7, 0), (20, 1, 8, 2048), (20, 2, 0, 0), (20, 3, 4, 0)]
+    twice = usable.where("vec_id in (0, 4, 20)").unionAll(usable.where("vec_id = 0"))
+    found = sorted(tuple(r) for r in topk.top_k(twice, F.col("vec_id") % 20 == 0, 2).collect())
+    assert found == [(0, 1, 0, 2048), (0, 1, 0, 2048), (0, 2, 4, 2048), (0, 2, 4, 2048), (20, 1, 0, 0), (20, 2, 0, 0)]
     assert topk.top_k(usable.limit(0), F.col("vec_id") % 20 == 0, 3).collect() == []
     assert topk.top_k(usable, F.col("vec_id") == 99, 3).collect() == []
 

@@ -3,6 +3,7 @@
 Sizes are summed by source and hash bucket; the running sum finds, for each source, the bucket that its
 budget ends in, and only rows of that bucket are summed again, by their next hash digits. A document is then
 taken by comparing its hash with its source's threshold: nothing is sorted, and larger budgets take supersets.
+The document at the boundary is taken where that leaves the total nearer to the target.
 """
 
 from __future__ import annotations
@@ -59,11 +60,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], most: float) -> DataFr
 
 
 def _measures() -> dict[str, Column]:
-    return {"size": word_count("text"), "digits": F.substring(F.md5(F.col("doc_id").cast("string")), 1, DIGITS * LEVELS)}
+    whole = F.concat_ws("\n", F.col("doc_id").cast("string"), F.col("text").cast("string"))
+    return {"size": word_count("text"), "digits": F.substring(F.md5(whole), 1, DIGITS * LEVELS)}
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, digits) of each row; `digits` is the hash of doc_id that rows are taken by."""
+    """(doc_id, source, size, digits) of each row; `digits` is the hash of doc_id and text that rows are taken by."""
     return docs.select("doc_id", "source", *[c.alias(n) for n, c in _measures().items()])
 
 
@@ -71,7 +73,8 @@ def budgets(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most:
     """(source, source_size, target, whole, threshold) of each source in `rows` (source, size, digits).
 
     A target of t times the source's size takes each of its documents floor(t) times (`whole`) and, once more,
-    those whose hash digits are below the source's threshold.
+    those whose hash digits are below the source's threshold. Behind the last boundary bucket the threshold ends in
+    "g", which is above any digit, so that the bucket is taken, too, where more than half of it fits.
     """
     by_first = rows.groupBy("source", F.coalesce(F.substring("digits", 1, DIGITS), F.lit("")).alias("bucket")).agg(F.sum("size").alias("bucket_size"))
     by_first = stored(by_first, "mix-histogram")  # at most 16 ** DIGITS rows for each source
@@ -96,8 +99,10 @@ def budgets(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most:
         reached = (
             budget.join(running, _same("source", "h_source"), "left")
             .groupBy("source", "source_size", "target", "whole", "left", "threshold")
-            .agg(F.min(F.when(F.col("upto") > F.col("left"), F.struct("bucket", (F.col("upto") - F.col("bucket_size")).alias("before")))).alias("b"))
+            .agg(F.min(F.when(F.col("upto") > F.col("left"), F.struct("bucket", (F.col("upto") - F.col("bucket_size")).alias("before"), "bucket_size"))).alias("b"))
         )
+        nearer = F.col("b.bucket_size") < 2 * (F.col("left") - F.col("b.before"))
+        after = F.when(nearer, "g").otherwise("") if level == LEVELS else F.lit("")
         budget = stored(
             reached.select(
                 "source",
@@ -105,7 +110,7 @@ def budgets(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most:
                 "target",
                 "whole",
                 (F.col("left") - F.coalesce("b.before", F.lit(0))).alias("left"),
-                F.concat("threshold", F.coalesce("b.bucket", F.lit("g" * DIGITS if level == 1 else ""))).alias("threshold"),
+                F.concat("threshold", F.coalesce("b.bucket", F.lit("g" * DIGITS if level == 1 else "")), after).alias("threshold"),
             ),
             "mix-budget",
         )
@@ -115,8 +120,10 @@ def budgets(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most:
 def take(rows: DataFrame, budget: DataFrame, most: float = 3.0) -> DataFrame:
     """`rows` (with source, size, digits) and source_size, target, copies (how often the row is taken) and taken (copies * size).
 
-    Null sources are one source; a null doc_id hashes as empty; rows that repeat a doc_id are taken together. Empty
-    texts have size 0 and are taken once at most. An empty table gives no rows.
+    Null sources are one source. Rows hash by doc_id and text, a null doc_id by its text alone; rows that repeat both
+    are taken together. Null and empty texts have size 0 and are taken once at most; texts of any length count whole.
+    An empty table gives no rows. Columns of `rows` named like a result are not expected here: `mix_documents` and
+    `mixed_copies` keep a table's other columns apart.
     """
     cutoff = budget.withColumnRenamed("source", "b_source")
     copies = F.col("whole") + F.when(F.coalesce("digits", F.lit("")) < F.col("threshold"), 1).otherwise(0)

@@ -70,7 +70,7 @@ def oracle_sql() -> dict[str, str]:
 #: Sources' targets: those that stop at three times their size are a prefix in the order of size per weight.
 MIXING_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  substr(md5(doc_id::VARCHAR), 1, 12) AS digits FROM documents),
+                  substr(md5(concat_ws(chr(10), doc_id::VARCHAR, text)), 1, 12) AS digits FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight,
              (3.0 * source_size)::DOUBLE AS cap, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM s),
@@ -80,17 +80,18 @@ f AS (SELECT min_by(level, cap / weight) AS share FROM l WHERE cap > level * wei
 t AS (SELECT source, source_size, CASE WHEN cap <= level * weight THEN cap ELSE share * weight END AS target FROM l, f),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 c AS (SELECT d.*, b.source_size, b.target, b.whole, b.target - b.whole * b.source_size AS rest,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY digits RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY digits RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+             sum(d.size) OVER (PARTITION BY d.source, digits) AS bucket
       FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, size, source_size, target, (size * least(3, whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+SELECT doc_id, size, source_size, target, (size * least(3, whole + CASE WHEN upto <= rest OR bucket < 2 * (rest - (upto - bucket)) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """
 
 
 TOPK_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.row <> c.row),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
