@@ -12,13 +12,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegate.llm.common import stored
+from tidegate.llm.hashing import slabs
 from tidegate.llm.signals import NAMES, signals
 
 #: Words in a passage; the last one of a text may be shorter.
 PASSAGE_WORDS = 100
+#: Numbers of a training sample that the driver holds at most; a labelled text with more than a fiftieth of them is left out of it.
+SAMPLE_VALUES = 4_000_000
+#: Passages that are scored at once.
+SCORED = 100_000
 
 
 def passages(text: bytes | None, size: int = PASSAGE_WORDS) -> np.ndarray:
@@ -42,12 +48,17 @@ class AttentionModel:
         t, s = np.tanh(h @ p["v"]), 1 / (1 + np.exp(-(h @ p["u"])))
         return z, h, t, s, (t * s) @ p["a"]
 
-    def score(self, x: np.ndarray) -> float:
-        """Probability of label 1 for one bag."""
-        _, h, _, _, e = self.parts(x)
-        weight = np.exp(e - e.max())
-        pooled = weight @ h / weight.sum()
-        return float(1 / (1 + np.exp(-np.clip(pooled @ self.weights["c"] + self.weights["d"][0], -30, 30))))
+    def scores(self, bags: list[np.ndarray]) -> np.ndarray:
+        """Probability of label 1 for each bag, which holds one passage at least."""
+        out = [np.zeros(0)]
+        for a, b in slabs(map(len, bags), SCORED):
+            sizes = np.array([len(x) for x in bags[a:b]])
+            starts = np.cumsum(sizes) - sizes
+            _, h, _, _, e = self.parts(np.concatenate(bags[a:b]))
+            weight = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), sizes))
+            pooled = np.add.reduceat(weight[:, None] * h, starts) / np.add.reduceat(weight, starts)[:, None]
+            out.append(1 / (1 + np.exp(-np.clip(pooled @ self.weights["c"] + self.weights["d"][0], -30, 30))))
+        return np.concatenate(out)
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 16, gate: int = 8, rounds: int = 300, rate: float = 0.02, decay: float = 1e-4) -> AttentionModel:
@@ -98,8 +109,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int, allowe
     return docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, folds: int = 3, fold: int = 1) -> AttentionModel | float:
-    """Fit on labelled rows outside the held-out fold. With one class or none the model is a constant score."""
+def collected_sample(rows: DataFrame, column: str, sample_rows: int, sample_values: int) -> list:
+    """Rows (doc_id, quality, `column`: an array of numbers) of a labelled sample on the driver, by the ids' hash.
+
+    The driver gets at most `sample_rows` rows and `sample_values` numbers: rows with more than a fiftieth of these
+    are left out, and of the others, where they are more, those of larger hash. What is given up is a training row,
+    never a row to score. The sizes are added up in a table of a number a row, so no task holds the sample either.
+    """
+    rows = stored(rows.withColumn("at", F.xxhash64("doc_id")).where(F.size(column).between(1, sample_values // 50)), "labelled")
+    sizes = rows.groupBy("at").agg(F.sum(F.size(column)).alias("n"))
+    upto = sizes.withColumn("n", F.sum("n").over(Window.orderBy("at")))  # at most sample_rows ids
+    last = upto.where(F.col("n") <= sample_values).agg(F.max("at")).first()[0]
+    if last is None:
+        return []
+    return rows.where(F.col("at") <= last).orderBy("at", "doc_id", column).limit(sample_rows).select("quality", column).toArrow().to_pylist()
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, folds: int = 3, fold: int = 1, sample_values: int = SAMPLE_VALUES) -> AttentionModel | float:
+    """Fit on labelled rows outside the held-out fold. With one class or none the model is a constant score.
+
+    The sample is bounded as `collected_sample` says. Null and empty texts count as one empty passage; repeated ids
+    and labels are one label; columns of either table beside doc_id, text and quality are ignored.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,21 +138,24 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, folds: in
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bags, pa.list_(pa.float64()))], ["doc_id", "quality", "bag"])
 
     sample = labelled_sample(docs, labels, sample_rows, ~held_out("doc_id", folds, fold)).select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int"))
-    bags = sample.mapInArrow(encode, "doc_id long, quality int, bag array<double>")
-    rows = bags.orderBy(F.xxhash64("doc_id"), "doc_id", "bag").limit(sample_rows).toPandas()
-    y = rows["quality"].to_numpy(np.float64) if len(rows) else np.zeros(0)
+    rows = collected_sample(sample.mapInArrow(encode, "doc_id long, quality int, bag array<double>"), "bag", sample_rows, sample_values)
+    y = np.array([r["quality"] for r in rows], np.float64)
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
-    return fit([np.asarray(b).reshape(-1, len(NAMES)) for b in rows["bag"]], y)
+    return fit([np.asarray(r["bag"]).reshape(-1, len(NAMES)) for r in rows], y)
 
 
 def score(docs: DataFrame, model: AttentionModel | float) -> DataFrame:
-    """(doc_id, score, n_passages) of every row. Null and empty texts are one empty passage; repeated rows each get a row."""
+    """(doc_id, score, n_passages) of every row.
+
+    Null and empty texts are one empty passage; a text of any length is scored whole; equal texts score alike and
+    repeated rows each get a row; an empty table gives none; columns beside doc_id and text are ignored.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [passages(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            scores = [model if isinstance(model, float) else model.score(b) for b in bags]
+            scores = np.full(len(bags), model) if isinstance(model, float) else model.scores(bags)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([len(b) for b in bags], pa.int64())], ["doc_id", "score", "n_passages"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(apply, "doc_id long, score double, n_passages long")

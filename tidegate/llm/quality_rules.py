@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.quality_model import labelled_sample
+from tidegate.llm.quality_model import SAMPLE_VALUES, collected_sample, labelled_sample
 from tidegate.llm.signals import NAMES, signals
 
 SYMBOLS = "#*$%&|<>"
@@ -172,8 +172,8 @@ def fit_field(documents: list[np.ndarray], quality: np.ndarray, rounds: int = 10
     return LineField(mean, scale, w, float(b), step)
 
 
-def train_field(docs: DataFrame, labels: DataFrame, sample_rows: int = 2000) -> LineField | None:
-    """Fit on at most `sample_rows` labelled documents; None (every line is content) without both labels."""
+def train_field(docs: DataFrame, labels: DataFrame, sample_rows: int = 2000, sample_values: int = SAMPLE_VALUES) -> LineField | None:
+    """Fit on a labelled sample, bounded as `collected_sample` says; None (every line is content) without both labels."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,11 +181,10 @@ def train_field(docs: DataFrame, labels: DataFrame, sample_rows: int = 2000) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "quality", "lines"])
 
     sample = labelled_sample(docs, labels, sample_rows).select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int"))
-    rows = sample.mapInArrow(encode, "doc_id long, quality int, lines array<double>").where(F.size("lines") > 0)
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lines").limit(sample_rows).toPandas()
-    if not len(rows) or rows["quality"].nunique() < 2:
+    rows = collected_sample(sample.mapInArrow(encode, "doc_id long, quality int, lines array<double>"), "lines", sample_rows, sample_values)
+    if len({r["quality"] for r in rows}) < 2:
         return None
-    return fit_field([np.asarray(x).reshape(-1, FEATURES) for x in rows["lines"]], rows["quality"].to_numpy())
+    return fit_field([np.asarray(r["lines"]).reshape(-1, FEATURES) for r in rows], np.array([r["quality"] for r in rows]))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -209,8 +208,9 @@ def measure(text: str | None, field: LineField | None, min_share: float) -> tupl
 def apply_rules(docs: DataFrame, field: LineField | None, min_share: float = 0.5) -> DataFrame:
     """Columns of `docs` without `text`'s namesakes, then MEASURES, base_failed, kept, content_share, by row.
 
-    A null text is an empty one; a text without words fails. Repeated rows each get a row, an empty table none,
-    and columns of `docs` that are named like a result are replaced.
+    A null text is an empty one; a text without words fails; a text of any length is measured and decoded whole.
+    Ties between label sequences go to content. Repeated rows each get a row, an empty table none, and columns of
+    `docs` that are named like a result are replaced.
     """
     results = [*MEASURES, "base_failed", "kept", "content_share"]
     carried = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in results])
