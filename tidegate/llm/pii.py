@@ -3,8 +3,9 @@
 Candidate spans come from strict patterns and from looser ones (written-out addresses, numbers without a
 country code, other notations). Labelling functions - pattern, gazetteer, context, shape and placeholder -
 vote on every candidate. Expectation-maximisation over the counts of all vote patterns in the corpus estimates
-each labeller's reliability; its posteriors train a logistic span classifier, which decides on the loose
-candidates. Strict spans always stay.
+each labeller's reliability. Its posteriors are the soft labels of a logistic span classifier, which sees the
+span itself and the words around it, never the votes, and decides on the loose candidates. Strict spans always
+stay.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from tidegate.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
 LABELLERS = ("pattern", "gazetteer", "context", "shape", "placeholder")
+#: Hashed features of a span, and candidates that the span classifier is fitted on at most.
+FEATURE_BUCKETS, SAMPLE_SPANS = 1024, 20_000
 
 # strict patterns, written so that long runs cost no backtracking
 _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
@@ -103,7 +107,7 @@ def loose_spans(text: str, strict: list[Span]) -> list[Span]:
 
 
 def votes(text: str, span: Span, is_strict: bool) -> str:
-    """The kind and each labeller's vote (+, - or 0 for none), which is all that the classifier sees."""
+    """The kind and each labeller's vote (+, - or 0 for none)."""
     start, end, kind = span
     value = text[start:end]
     digits = re.sub("[^0-9]", "", value)
@@ -123,10 +127,35 @@ def votes(text: str, span: Span, is_strict: bool) -> str:
     return f"{kind}:" + "".join(signs)
 
 
+_WORD = re.compile(r"[^\W\d_]+")
+#: What the shape of a span writes for each sign: digits, letters, white space; others stay.
+_SHAPE = str.maketrans({**dict.fromkeys("0123456789", "9"), **dict.fromkeys("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "a"), "\t": " ", "\n": " "})
+
+
+def span_features(text: str, span: Span) -> list[int]:
+    """Buckets, sorted and distinct, of what a span and its surroundings look like.
+
+    Its kind with: runs of its shape, number of digits and of distinct digits, length, its first and last words,
+    the signs beside it, and the words before and after it.
+    """
+    start, end, kind = span
+    value = text[start:end]
+    shape = re.sub(r"(.)\1+", r"\1", value.translate(_SHAPE))
+    digits = [c for c in value if c.isdigit()]
+    names = [f"shape {shape[k : k + 3]}" for k in range(max(1, len(shape) - 2))]
+    names += [f"digits {len(digits)}", f"distinct {len(set(digits))}", f"length {min(len(value) // 4, 12)}", f"first digits {''.join(digits[:2])}"]
+    inside = _WORD.findall(value.lower())
+    names += [f"first {inside[0]}", f"last {inside[-1]}"] if inside else ["no letters"]
+    names += [f"left {text[max(0, start - 1) : start]}", f"right {text[end : end + 1]}"]
+    names += [f"before {w}" for w in _WORD.findall(text[max(0, start - 40) : start].lower())[-4:]]
+    names += [f"after {w}" for w in _WORD.findall(text[end : end + 30].lower())[:2]]
+    return sorted({xxhash.xxh3_64_intdigest(f"{kind} {n}".encode("utf-8", "surrogatepass")) % FEATURE_BUCKETS for n in [*names, ""]})
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, strict, loose): spans of every whole text with their vote patterns, a null text being empty."""
-    spans = "array<struct<start:int,end:int,kind:string,votes:string>>"
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("votes", pa.string())]))
+    """(doc_id, strict, loose): spans of every whole text with vote patterns and features, a null text being empty."""
+    spans = "array<struct<start:int,end:int,kind:string,votes:string,features:array<int>>>"
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +164,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 text = text.as_py() or ""
                 strict = strict_spans(text)
                 for out, spans, sure in ((rows[0], strict, True), (rows[1], loose_spans(text, strict), False)):
-                    out.append([{"start": s, "end": e, "kind": k, "votes": votes(text, (s, e, k), sure)} for s, e, k in spans])
+                    out.append([{"start": s, "end": e, "kind": k, "votes": votes(text, (s, e, k), sure), "features": span_features(text, (s, e, k))} for s, e, k in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, kind) for x in rows)], ["doc_id", "strict", "loose"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(find, f"doc_id long, strict {spans}, loose {spans}")
@@ -175,26 +204,42 @@ def reliabilities(counts: dict[str, int], rounds: int = 50) -> tuple[dict[str, f
     return dict(zip(KINDS, prior.tolist(), strict=True)), table, dict(zip(names, post.tolist(), strict=True))
 
 
-def _row(pattern: str) -> np.ndarray:
-    kind, signs = pattern.split(":")
-    return np.array([1.0, *(float(kind == k) for k in KINDS), *("-0+".index(c) - 1.0 for c in signs)])
+def fit_spans(features: list[list[int]], soft: np.ndarray, rounds: int = 300, rate: float = 0.3) -> np.ndarray:
+    """Weights of a logistic classifier of spans by their buckets, by Adam on soft labels; both sides weigh alike."""
+    w = np.zeros(FEATURE_BUCKETS)
+    if not len(soft):
+        return w
+    at, of = np.concatenate([np.asarray(f, np.int64) for f in features]), np.repeat(np.arange(len(soft)), [len(f) for f in features])
+    share = np.clip(soft.mean(), 1e-3, 1 - 1e-3)
+    weight = (soft * 0.5 / share + (1 - soft) * 0.5 / (1 - share)) / len(soft)
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    for n in range(1, rounds + 1):
+        wrong = weight * (1 / (1 + np.exp(-np.clip(np.bincount(of, w[at], len(soft)), -30, 30))) - soft)
+        slope = np.bincount(at, wrong[of], FEATURE_BUCKETS) + 1e-5 * w
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope * slope
+        w -= rate * (first / (1 - 0.9**n)) / (np.sqrt(second / (1 - 0.999**n)) + 1e-9)
+    return w
+
 
+def train_spans(found: DataFrame, sample_spans: int = SAMPLE_SPANS) -> np.ndarray:
+    """The span classifier of a table of `candidates`.
 
-def train_spans(counts: dict[str, int], rounds: int = 400, rate: float = 0.5) -> np.ndarray:
-    """Logistic span classifier fitted to the posteriors, patterns weighted by their counts' logarithm."""
+    Reliabilities come from the votes on every candidate. The classifier is fitted on at most `sample_spans`
+    candidates of their posteriors: half of them loose ones at most, those of smallest hash, so that reruns agree.
+    """
+    counts = vote_counts(found)
     if not counts:
-        return np.zeros(1 + len(KINDS) + len(LABELLERS))
+        return np.zeros(FEATURE_BUCKETS)
     post = reliabilities(counts)[2]
-    x, y = np.array([_row(p) for p in counts]), np.array([post[p] for p in counts])
-    weight = np.log1p(np.array(list(counts.values()), float))
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        w -= rate * (x.T @ (weight / weight.sum() * (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y)) + 1e-3 * w)
-    return w
+    rows: list = []
+    for side in ("strict", "loose"):
+        spans = found.select("doc_id", F.explode(side).alias("s")).select(F.xxhash64("doc_id", "s.start", "s.features").alias("at"), "s.votes", "s.features")
+        rows += spans.orderBy("at", "votes").limit(sample_spans // 2).collect()
+    return fit_spans([r["features"] for r in rows], np.array([post[r["votes"]] for r in rows]))
 
 
-def accepts(weights: np.ndarray, pattern: str) -> bool:
-    return float(_row(pattern) @ weights) > 0
+def accepts(weights: np.ndarray, features: list[int]) -> bool:
+    return float(weights[np.asarray(features, np.int64)].sum()) > 0
 
 
 def _joined(spans: list[dict]) -> str:
@@ -202,7 +247,7 @@ def _joined(spans: list[dict]) -> str:
 
 
 def _ordered(strict: list[dict], loose: list[dict], weights: np.ndarray) -> list[dict]:
-    kept = strict + [s for s in loose if accepts(weights, s["votes"])]
+    kept = strict + [s for s in loose if accepts(weights, s["features"])]
     return sorted(kept, key=lambda s: (s["start"], KINDS.index(s["kind"])))
 
 
@@ -210,10 +255,12 @@ def detect(docs: DataFrame) -> DataFrame:
     """Every row's spans: doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the strict ones, spans of all, n_added.
 
     The text is read once; candidates stay in a narrow table while the classifier is trained. A text that is
-    null, empty or without candidates has no spans; repeated rows each get a row; other columns are ignored.
+    null, empty or without candidates has no spans; one of any length is searched whole; candidates that start
+    together stand in the order of KINDS; repeated rows each get a row, an empty table none; columns beside doc_id
+    and text are ignored.
     """
     found = stored(candidates(docs), "pii-candidates")
-    weights = train_spans(vote_counts(found))
+    weights = train_spans(found)
     kinds = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.int64()]
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
 
@@ -236,7 +283,8 @@ def masked(docs: DataFrame) -> DataFrame:
     Of overlapping spans the union is replaced, under the kind of the first. The classifier is trained on all
     rows first; the texts are searched again rather than shuffled.
     """
-    weights = train_spans(vote_counts(candidates(docs)))
+    found = candidates(docs).where((F.size("strict") > 0) | (F.size("loose") > 0))
+    weights = train_spans(stored(found, "pii-candidates"))
     names = docs.columns
     at = names.index("text")
 
@@ -251,7 +299,7 @@ def masked(docs: DataFrame) -> DataFrame:
 
 def mask_text(text: str, weights: np.ndarray) -> str:
     strict = strict_spans(text)
-    spans = strict + [s for s in loose_spans(text, strict) if accepts(weights, votes(text, s, False))]
+    spans = strict + [s for s in loose_spans(text, strict) if accepts(weights, span_features(text, s))]
     out, done = [], 0
     for start, end, kind in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))):
         if start >= done:
