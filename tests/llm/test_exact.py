@@ -202,13 +202,38 @@ def brute_components(texts, words, part, whole):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("words", "part"), [(3, 90), (5, 80), (1, 50)])
-def test_jaccard_join(spark, sf_dir, texts, words, part):
+@pytest.mark.parametrize(("words", "part", "block"), [(3, 90, 512), (5, 80, 512), (5, 80, 3), (1, 50, 5)])
+def test_jaccard_join(spark, sf_dir, texts, words, part, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = {r[0]: (r[1], r[2]) for r in jaccard.near_duplicates(docs, words, part, 100).collect()}
     assert found == brute_components(texts, words, part, 100)
 
 
+def test_large_families_in_blocks(spark, monkeypatch):
+    """Two groups of near copies, bridged, a chain of drifting texts and strangers, all in families of several blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 7)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    draw = random.Random(4)
+    word = lambda: f"w{draw.randint(0, 10**6)}"
+    one, two = ([word() for _ in range(40)] for _ in range(2))
+    both = []
+    for base in (one, two):
+        for _ in range(40):
+            own = base[:]
+            own[draw.randrange(40)] = word()
+            both.append(own)
+    chain = [[word() for _ in range(40)]]
+    for _ in range(40):
+        chain.append(chain[-1][2:] + [word(), word()])
+    strangers = [[word() for _ in range(40)] for _ in range(10)]
+    texts = {i: " ".join(w) for i, w in enumerate([*both, *chain, *strangers, one[:20] + two[:20], one])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for words, part in ((1, 90), (2, 80)):
+        found = {r[0]: (r[1], r[2]) for r in jaccard.near_duplicates(docs, words, part, 100).collect()}
+        assert found == brute_components(texts, words, part, 100)
+
+
 def test_signature_trees_link_everything(monkeypatch):
     """Random near copies over several blocks give the components of all pairs."""
     draw = np.random.default_rng(2)

@@ -4,9 +4,12 @@
 2. Document frequencies of all shingles (by `keyed`, without a row for each occurrence) put shingles in one
    order, rarest first. Two sets that are similar enough share a shingle of their prefixes in that order; a
    set whose prefix holds unique shingles only has no partner and leaves.
-3. Classes that share a prefix shingle, directly or over others, form a family; families are split into blocks
-   of bounded size, and each pair of blocks is one group.
-4. A group builds a signature tree over each block: leaves are bitmaps of sets, nodes combine them by OR and
+3. Classes that share a prefix shingle, directly or over others, form a family. A family beyond one block first
+   meets a few of its own classes, its pivots, block by block; classes that one pivot links are connected, and
+   shingles that only connected classes share are of no more use. What is left forms smaller families.
+4. Families are split into blocks of bounded size. The largest connected part of a family is dealt once, a block to
+   a group; the classes outside it visit each of these groups, and meet each other by pairs of blocks.
+5. A group builds a signature tree over each side: leaves are bitmaps of sets, nodes combine them by OR and
    keep ranges of sizes. Two trees are traversed together; a pair of nodes is dropped when even the largest
    possible overlap is too small, or when all below it is connected already. Sets that remain are compared
    exactly, and the links found join classes to components.
@@ -14,12 +17,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import partitions, stored
@@ -27,8 +32,10 @@ from tidegate.llm.components import components
 from tidegate.llm.hashing import run_hashes, word_hashes
 from tidegate.llm.keyed import ASKED, add_counts, answer, answers_of, ask, chunked
 
-#: Classes and shingles in a block, and children of a tree node.
-BLOCK_CLASSES, BLOCK_SHINGLES, FANOUT = 4096, 2_000_000, 8
+#: Classes and shingles in a block, children of a tree node, and pivots of a family of several blocks.
+BLOCK_CLASSES, BLOCK_SHINGLES, FANOUT, PIVOTS = 512, 500_000, 8, 8
+#: A class is 120 bits of its set's digest.
+CLASS = pa.decimal128(38, 0)
 #: Bits of a signature: the smallest power of two above four times the mean set, within these.
 LEAST_BITS, MOST_BITS = 1024, 16384
 
@@ -63,8 +70,10 @@ class Threshold:
 class Forest:
     """Union-find over a group's sets."""
 
-    def __init__(self, n: int) -> None:
-        self.parent = list(range(n))
+    def __init__(self, n: int, labels: Sequence | None = None) -> None:
+        """Sets of equal labels are connected from the start."""
+        first: dict = {}
+        self.parent = list(range(n)) if labels is None else [first.setdefault(x, k) for k, x in enumerate(labels)]
         self.links: list[tuple[int, int]] = []
 
     def find(self, x: int) -> int:
@@ -165,9 +174,9 @@ def traverse(one: SignatureTree, two: SignatureTree, sets: list[np.ndarray], for
         stack.append((la, lb, i, j))
 
 
-def links_within(first: np.ndarray, second: np.ndarray | None, sets: list[np.ndarray], t: Threshold) -> list[tuple[int, int]]:
-    """Links that connect what similar pairs connect, inside one block or between two."""
-    forest = Forest(len(sets))
+def links_within(first: np.ndarray, second: np.ndarray | None, sets: list[np.ndarray], t: Threshold, labels: Sequence | None = None) -> list[tuple[int, int]]:
+    """Links that connect what similar pairs connect, inside one block or between two; equal labels are connected."""
+    forest = Forest(len(sets), labels)
     members = first if second is None else np.concatenate([first, second])
     mean = sum(len(sets[m]) for m in members) // max(len(members), 1)
     bits = min(max(LEAST_BITS, 1 << (4 * mean).bit_length()), MOST_BITS)
@@ -233,7 +242,7 @@ def document_sets(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
             [
                 table["doc_id"],
                 pa.array([sizes.get(m, 0) for m in marks], pa.int64()),
-                pa.array([None if m is None else int.from_bytes(m[:8], "little", signed=True) for m in marks], pa.int64()),
+                pa.array([None if m is None else Decimal(int.from_bytes(m[:15], "little")) for m in marks], CLASS),
                 pa.array(prefix, pa.list_(pa.int64())),
                 pa.array(members, pa.binary()),
             ],
@@ -241,47 +250,104 @@ def document_sets(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
         )
 
     counted = answer(rows.groupBy("chunk").applyInArrow(frequencies, ASKED), [np.int32], add_counts)
-    schema = "doc_id long, n_shingles long, class long, prefix array<long>, members binary"
+    schema = "doc_id long, n_shingles long, class decimal(38,0), prefix array<long>, members binary"
     return rows.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(prefixes, schema)
 
 
-def class_links(sets: DataFrame, t: Threshold) -> DataFrame:
-    """Links (a, b) between classes that connect what similar classes connect."""
-    candidates = sets.where(F.col("members").isNotNull()).groupBy("class").agg(F.first("prefix").alias("prefix"), F.first("members").alias("members"))
-    candidates = candidates.withColumn("size", (F.length("members") / 8).cast("long"))
-    candidates = stored(candidates, "candidates")
-    tokens = candidates.select("class", F.explode("prefix").alias("token"))
-    leaders = tokens.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("other")).where(F.col("leader") != F.col("other")).drop("other")
-    star = tokens.join(leaders, "token").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
-    family = components(star).withColumnsRenamed({"node": "class", "component": "family"})
-    # members join last, by class: the groups are then dealt by all three keys, whatever a family's size
-    placed = candidates.select("class", "size").join(family, "class")
-    sizes = placed.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    split = placed.join(sizes.where("blocks > 1"), "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    places = split.select("class", "family", "blocks", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("own"))
-    blocked = candidates.select("class", "members").join(places, "class")
-    pairs = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "class", "members"
-    )
+def _families(tokens: DataFrame, label: str) -> DataFrame:
+    """(class, family) of classes in `tokens` (class, `label`, token) that share a token with one of another label."""
+    leaders = tokens.groupBy("token").agg(F.min("class").alias("leader"), F.min(label).alias("low"), F.max(label).alias("high"))
+    mixed = leaders.where(F.col("low") != F.col("high")).select("token", "leader")
+    star = tokens.join(mixed, "token").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct()
+    return components(star).withColumnsRenamed({"node": "class", "component": "family"})
+
+
+def _blocks(placed: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """`placed` (class, size, *keys) with `name`, the number of blocks that the rows of equal keys take."""
+    sizes = placed.groupBy(*keys).agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias(name))
+    return placed.join(sizes, keys)
+
+
+def _own(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("class"), F.col(blocks)).cast("int")
+
+
+def _every(blocks: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+
+def _links(dealt: DataFrame, candidates: DataFrame, t: Threshold) -> DataFrame:
+    """Links (a, b) inside each group of `dealt` (class, label, family, low, high, side).
+
+    Where low equals high a group is compared with itself, else its sides 0 and 1 with each other. The sets join
+    last, by class, so a family is dealt by all keys of its groups, whatever its size.
+    """
 
     def link(key: tuple, table: pa.Table) -> pa.Table:
         classes = table["class"].to_pylist()
         sets_of = [np.frombuffer(m, np.uint64) for m in table["members"].to_pylist()]
-        low, high = key[1].as_py(), key[2].as_py()
-        own = np.array(table["own"].to_pylist())
-        first, second = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        found = links_within(first, None if low == high else second, sets_of, t) if len(first) and len(second) else []
-        return pa.table([pa.array([classes[x[k]] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        side, labels = table["side"].to_numpy(), table["label"].to_pylist()
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if key[1] == key[2]:
+            found = links_within(first, None, sets_of, t, labels)
+        else:
+            found = links_within(first, second, sets_of, t, labels) if len(first) and len(second) else []
+        return pa.table([pa.array([classes[x[k]] for x in found], CLASS) for k in (0, 1)], ["a", "b"])
+
+    groups = candidates.select("class", "members").join(dealt, "class")
+    return groups.groupBy("family", "low", "high").applyInArrow(link, "a decimal(38,0), b decimal(38,0)")
+
+
+def _met_pivots(placed: DataFrame, candidates: DataFrame, t: Threshold) -> DataFrame:
+    """Links (a, b) of the classes in `placed` (class, label, size, family, blocks) with pivots of their family."""
+    order = Window.partitionBy("family").orderBy(F.xxhash64("class"), "class")
+    pivots = placed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
+    none = F.lit(-1)
+    visits = pivots.select("class", "label", "family", _every("blocks").alias("low"), none.alias("high"), F.lit(1).alias("side"))
+    rest = placed.join(pivots.select("class"), "class", "left_anti").select("class", "label", "family", _own("blocks").alias("low"), none.alias("high"), F.lit(0).alias("side"))
+    return stored(_links(rest.unionAll(visits), candidates, t), "pivot-links")
 
-    return pairs.groupBy("family", "low", "high").applyInArrow(link, "a long, b long")
+
+def class_links(sets: DataFrame, t: Threshold) -> DataFrame:
+    """Links (a, b) between classes that connect what similar classes connect."""
+    candidates = sets.where(F.col("members").isNotNull()).groupBy("class").agg(F.first("prefix").alias("prefix"), F.first("members").alias("members"))
+    candidates = stored(candidates.withColumn("size", (F.length("members") / 8).cast("long")), "candidates")
+    tokens = candidates.select("class", F.explode("prefix").alias("token"))
+    placed = stored(_blocks(candidates.select("class", "size").join(_families(tokens, "class"), "class"), ["family"], "blocks").withColumn("label", F.col("class")), "families")
+    small, large = placed.where("blocks = 1"), placed.where("blocks > 1")
+    alone = small.select("class", "label", "family", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"))
+    found = _links(alone, candidates, t)
+    if large.isEmpty():
+        return found
+    met = _met_pivots(large, candidates, t)
+    labels = components(met).withColumnsRenamed({"node": "class", "component": "label"})
+    labelled = stored(large.select("class", "size").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")), "labels")
+    again = _families(tokens.join(labelled, "class"), "label")
+    parts = labelled.join(again, "class")
+    # the label that most classes of a family have is dealt once; all others visit it, and each other
+    share = parts.groupBy("family", "label").agg(F.count("*").alias("n"))
+    main = share.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    parts = parts.join(main, "family").withColumn("outside", F.col("label") != F.col("main")).drop("main")
+    parts = stored(_blocks(parts, ["family", "outside"], "blocks"), "parts")
+    inside, outside = parts.where("not outside"), parts.where("outside")
+    of_main = inside.select("family", F.col("blocks").alias("main_blocks")).distinct()
+    none = F.lit(-1)
+    one = inside.select("class", "label", "family", _own("blocks").alias("low"), none.alias("high"), F.lit(0).alias("side"))
+    visits = outside.join(of_main, "family").select("class", "label", "family", _every("main_blocks").alias("low"), none.alias("high"), F.lit(1).alias("side"))
+    numbered = outside.withColumn("own", _own("blocks")).withColumn("other", _every("blocks"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    between = numbered.select("class", "label", "family", low.alias("low"), high.alias("high"), F.when(F.col("own") == low, 0).otherwise(1).alias("side"))
+    return found.unionAll(met).unionAll(_links(one.unionAll(visits).unionAll(between), candidates, t))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; the component is the smallest id reachable by links.
 
     Documents link when the Jaccard index of their n-gram sets is at least part / whole. A null or empty text
-    has an empty set and links with nothing; its component is its own id. Equal sets always link. Null ids never
-    name a component unless all of its ids are null. Repeated rows each get a row; an empty table gives none.
+    has an empty set and links with nothing; its component is its own id. Equal sets always link. A text of any length
+    gives its whole set. Null ids never name a component unless all of its ids are null; a repeated id is the id of
+    every component that one of its rows is the smallest of. Repeated rows each get a row; an empty table gives none;
+    columns beside doc_id and text are ignored, whatever their names.
     """
     t = Threshold(part, whole)
     sets = stored(document_sets(docs, words, t), "sets")
