@@ -263,8 +263,14 @@ def test_components_of_chains(spark):
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
 
 
-@pytest.mark.parametrize("window", [35, 4])
-def test_substrings(spark, sf_dir, texts, window):
+@pytest.mark.parametrize(("window", "hot"), [(35, False), (35, True), (4, False), (4, True)])
+def test_substrings(spark, sf_dir, texts, window, hot, monkeypatch):
+    if hot:  # about half of all minimisers count as hot
+        monkeypatch.setattr(substrings, "HOT_SAMPLE", 2)
+        monkeypatch.setattr(substrings, "HOT_STRINGS", 0)
+        rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", F.xxhash64("doc_id", "text").alias("row_key"))
+        assert len(substrings.hot_minimisers(rows, window, 10**4)) > 1000
+        monkeypatch.setattr(substrings, "partitions", lambda _: 10**4)
     lists = {i: WORDS.findall(t or "") for i, t in texts.items()}
     often = Counter(tuple(w[k : k + window]) for w in lists.values() for k in range(len(w) - window + 1))
     found = {r["doc_id"]: r for r in substrings.deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"), window, with_text=True).collect()}
