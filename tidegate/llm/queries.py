@@ -64,7 +64,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": MIXING_SQL, "op7_threshold_topk": TOPK_SQL}
+    return {"op3_signature_tree_join": JOIN_SQL, "op5_source_mixing": MIXING_SQL, "op6_superkmer_dedup": WINDOWS_SQL, "op7_threshold_topk": TOPK_SQL}
+
+
+#: All pairs that share a shingle, by their numbers of shared ones; components by following links.
+JOIN_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+x AS (SELECT doc_id, len(s)::BIGINT AS n, unnest(s) AS shingle FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+      GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.reached) AS component_id FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY 1, 2
+"""
+
+
+#: Every window written out and counted.
+WINDOWS_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM w),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS run FROM p),
+t AS (SELECT doc_id, i FROM k WHERE run IN (SELECT run FROM k GROUP BY run HAVING count(*) > 1)),
+g AS (SELECT doc_id, list(DISTINCT i + j) AS gone FROM t, range(35) o(j) GROUP BY doc_id),
+f AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)) AS kept FROM w LEFT JOIN g ON g.doc_id = w.doc_id)
+SELECT doc_id, n_words, n_words - len(kept)::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM f
+"""
 
 
 #: Sources' targets: those that stop at three times their size are a prefix in the order of size per weight.
