@@ -263,9 +263,8 @@ def test_streams_settle_and_report_duplicates(spark, tmp_path):
     assert [(r["sample_id"], r["target"]) for r in stream.settle_stream(spark, made, done).collect()] == [("2A", 0.3)]
     rows = made.union(made.where("sample_id = '2A'")).select("sample_id", "prediction_digest", "recorded_at", "label_available_at")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    query = stream.claims(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("claimed").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert sorted(tuple(r)[::2] for r in spark.table("claimed").collect()) == [("2A", "accepted"), ("2A", "duplicate"), ("3A", "accepted")]
+    claimed = stream.run_stream(stream.claims(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))), "claimed")
+    assert sorted(tuple(r)[::2] for r in claimed.collect()) == [("2A", "accepted"), ("2A", "duplicate"), ("3A", "accepted")]
 
 
 def test_channels_and_views(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegate.operators import forward, governance, panel, rolls, splits
 from tidegate.plans.tracks import dense_panel
 from tidegate.plans.weekly import read
+from tidegate.session import kept
 from tidegate.streaming.forward import settle_stream
 
 FORWARD_START = "2024-01-03"
@@ -82,8 +83,8 @@ def bounded_projection_scan(spark, sf_dir):
 
 
 def _ledger(spark, sf_dir):
-    """Each user's k-th view is a prediction, settled by the user's k-th purchase."""
-    events = read(spark, sf_dir, "events").withColumn("k", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")))
+    """Each user's k-th view is a prediction, settled by the user's k-th purchase; both as tables."""
+    events = read(spark, sf_dir, "events").where("event_type in ('view', 'purchase')").withColumn("k", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")))
     views = events.where("event_type = 'view'").select(
         F.col("event_id").alias("sample_id"),
         F.concat_ws(":", "user_id", "k").alias("prediction_digest"),
@@ -94,7 +95,7 @@ def _ledger(spark, sf_dir):
         (F.col("value") / 100).alias("prediction"),
     )
     bought = events.where("event_type = 'purchase'").select(F.concat_ws(":", "user_id", "k").alias("prediction_digest"), F.col("ts").alias("settled_at"), (F.col("value") / 100).alias("target"))
-    return views, bought
+    return kept(views, "forward-predictions"), kept(bought, "forward-settlements")
 
 
 def forward_settled_pairs(spark, sf_dir):
@@ -111,8 +112,9 @@ def forward_report(spark, sf_dir):
 
 
 def forward_stream_join(spark, sf_dir):
-    """The same pairs from two streams over the ledger's tables, as they settle."""
-    return settle_stream(spark, *_ledger(spark, sf_dir)).select("sample_id", "prediction_digest", "decision_session", "prediction", "target")
+    """What becomes of every settlement whose prediction exists, from two streams over the ledger's tables."""
+    found = settle_stream(spark, *_ledger(spark, sf_dir)).where("outcome in ('settled', 'settled-early')")
+    return found.select("sample_id", "prediction_digest", "decision_session", "prediction", "target", "outcome")
 
 
 LEDGER_SQL = """
@@ -142,7 +144,7 @@ SQL = {
     "trailing_window_scan": "WITH m AS (SELECT max(o_orderdate) AS last FROM orders) SELECT year(o_orderdate) AS year, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders, m WHERE o_orderdate >= last - INTERVAL 36 MONTH AND o_orderdate <= last GROUP BY 1",
     "bounded_projection_scan": "SELECT l_returnflag, count(*) AS lines, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1",
     "forward_settled_pairs": f"WITH {LEDGER_SQL} SELECT sample_id, prediction_digest, decision_session, prediction, target FROM pr",
-    "forward_stream_join": f"WITH {LEDGER_SQL} SELECT sample_id, prediction_digest, decision_session, prediction, target FROM pr",
+    "forward_stream_join": f"WITH {LEDGER_SQL} SELECT sample_id, v.prediction_digest, decision_session, prediction, b.target, CASE WHEN settled_at >= label_available_at AND settled_at > recorded_at THEN 'settled' ELSE 'settled-early' END AS outcome FROM v JOIN b ON v.prediction_digest = b.prediction_digest",
     "forward_integrity": f"""WITH {LEDGER_SQL} SELECT 'before-forward-start' AS rule, count(*) AS violations FROM v WHERE decision_session < DATE '{FORWARD_START}' HAVING count(*) > 0
       UNION ALL SELECT 'repeated-sample', count(*) FROM (SELECT 1 FROM v GROUP BY sample_id HAVING count(*) > 1) UNION ALL SELECT 'repeated-settlement', count(*) FROM (SELECT 1 FROM b GROUP BY prediction_digest HAVING count(*) > 1)
       UNION ALL SELECT 'orphan-settlement', count(*) FROM b WHERE prediction_digest NOT IN (SELECT prediction_digest FROM v) UNION ALL SELECT 'settled-early', count(*) FROM v JOIN b ON v.prediction_digest = b.prediction_digest WHERE settled_at < label_available_at OR settled_at <= recorded_at""",

@@ -11,6 +11,7 @@ from tidegate.functions.risk import expected_maximum_factor
 from tidegate.operators import panel, strategy
 from tidegate.operators.paths import path_table
 from tidegate.plans.weekly import weekly_panel
+from tidegate.session import kept
 
 GRID = strategy.grid((5, 21), (5, 20), (5,), (0.12, 0.5))
 EXECUTION = strategy.Execution(periods=52.0, target_vol=0.10)
@@ -19,15 +20,20 @@ GROUPS, TEST_GROUPS, EMBARGO, CSCV, MINIMUM, WINDOWS = 6, 2, 3, 8, 104, 4
 
 
 def dense_panel(spark, sf_dir) -> DataFrame:
-    """(t, session, asset, price, ret) of the weeks in which all assets trade; the first return is 0."""
-    rows = panel.dense_sessions(weekly_panel(spark, sf_dir))
+    """(t, session, asset, price, ret) of the weeks in which all assets trade; the first return is 0.
+
+    Weeks in which an asset is missing are left out, where `strategy.require_dense` would refuse the panel: the tables
+    have such weeks at both ends. Panel and dense rows are tables, so the base table is read once.
+    """
+    rows = kept(panel.dense_sessions(kept(weekly_panel(spark, sf_dir), "panel")), "dense")
     order = rows.select("session").distinct().withColumn("t", F.row_number().over(Window.orderBy("session")).cast("long") - 1)
     own = Window.partitionBy("asset").orderBy("t")
     return rows.join(F.broadcast(order), "session").withColumn("ret", F.coalesce(F.col("price") / F.lag("price", 1).over(own) - 1, F.lit(0.0)))
 
 
 def returns(spark, sf_dir, costs=(COST,)) -> DataFrame:
-    return strategy.tracks(strategy.weights(dense_panel(spark, sf_dir), GRID, EXECUTION), list(costs))
+    """The candidates' tracks as a table: a row for each session, candidate and cost."""
+    return kept(strategy.tracks(strategy.weights(kept(dense_panel(spark, sf_dir), "dense"), GRID, EXECUTION), list(costs)), "tracks")
 
 
 def _r(df: DataFrame, *names: str, places: int = 6) -> DataFrame:

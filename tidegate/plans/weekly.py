@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidegate.model import CombinatorialCV, Minimums, PurgedKFold, WalkForward
 from tidegate.operators import evaluate, metrics, panel, splits
+from tidegate.plans.benchmarks import channel_benchmark
 from tidegate.operators.paths import paths
+from tidegate.session import kept
 
 LOOKBACK, HORIZON = 4, 2
 KFOLD = PurgedKFold(5, embargo=8)
@@ -30,10 +32,10 @@ def weekly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The panel's samples and its axis."""
-    prices = weekly_panel(spark, sf_dir)
-    axis = panel.session_axis(prices)
-    return panel.axis_samples(prices, axis, LOOKBACK, HORIZON), axis
+    """The panel's samples and its axis, as tables: whatever uses them often, the base table is read once."""
+    prices = kept(weekly_panel(spark, sf_dir), "panel")
+    axis = kept(panel.session_axis(prices), "axis")
+    return kept(panel.axis_samples(prices, axis, LOOKBACK, HORIZON), "samples"), axis
 
 
 def modelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -42,6 +44,11 @@ def modelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return data.where("ret is not null and target is not null"), axis
 
 
+def _planned(data: DataFrame, axis: DataFrame, spec) -> DataFrame:
+    """A splitter's decided folds as a table: a row for each fold and distinct interval."""
+    return kept(splits.plan(data, axis, spec), "folds")
+
+
 def purged_kfold_exclusions(spark, sf_dir):
     data, axis = samples(spark, sf_dir)
     return splits.summary(splits.plan(data, axis, KFOLD))
@@ -149,7 +156,7 @@ def holdout_boundary(spark, sf_dir):
 
 def _kfold_assigned(spark, sf_dir):
     data, axis = modelled(spark, sf_dir)
-    return splits.assignments(data, splits.plan(data, axis, KFOLD))
+    return splits.assignments(data, _planned(data, axis, KFOLD))
 
 
 def mean_model_mse(spark, sf_dir):
@@ -164,8 +171,8 @@ def ridge1_predictions(spark, sf_dir):
 
 def _cpcv_ledger(spark, sf_dir):
     data, axis = modelled(spark, sf_dir)
-    found = evaluate.ridge_predictions(splits.assignments(data, splits.plan(data, axis, CPCV)), ["ret"], 1.0)
-    return found.join(F.broadcast(paths(spark, CPCV.choices, CPCV.n_groups)), ["fold", "group"])
+    found = evaluate.ridge_predictions(splits.assignments(data, _planned(data, axis, CPCV)), ["ret"], 1.0)
+    return kept(found.join(F.broadcast(paths(spark, CPCV.choices, CPCV.n_groups)), ["fold", "group"]), "predictions")
 
 
 def ridge_mse_grouping_sets(spark, sf_dir):
@@ -176,7 +183,7 @@ def ridge_mse_grouping_sets(spark, sf_dir):
 
 def _walk_ledger(spark, sf_dir):
     data, axis = modelled(spark, sf_dir)
-    return evaluate.ridge_predictions(splits.assignments(data, splits.plan(data, axis, WALK)), ["ret"], 1.0)
+    return kept(evaluate.ridge_predictions(splits.assignments(data, _planned(data, axis, WALK)), ["ret"], 1.0), "predictions")
 
 
 def session_spearman_ic(spark, sf_dir):
@@ -205,7 +212,7 @@ def path_distribution(spark, sf_dir):
 def common_view_metrics(spark, sf_dir):
     """The k-fold ridge scored on the samples that the walk-forward one scored."""
     scored = _walk_ledger(spark, sf_dir).select("asset", "session").distinct()
-    rows = evaluate.ridge_predictions(_kfold_assigned(spark, sf_dir), ["ret"], 1.0).join(scored, ["asset", "session"], "left_semi")
+    rows = kept(evaluate.ridge_predictions(_kfold_assigned(spark, sf_dir), ["ret"], 1.0).join(scored, ["asset", "session"], "left_semi"), "predictions")
     return _rounded(metrics.financial_metrics(rows.withColumn("view", F.lit("common")), ["view"], PERIODS), "mse", "ic", "sharpe")
 
 
@@ -213,7 +220,7 @@ def _three_models(spark, sf_dir):
     assigned = _kfold_assigned(spark, sf_dir)
     mean = evaluate.mean_predictions(assigned).select(F.lit("mean").alias("model"), "session", "target", "prediction")
     ridge = evaluate.ridge_predictions(assigned, ["ret"], 1.0, 100.0)
-    return mean.union(ridge.select(F.format_string("ridge-%d", F.col("alpha").cast("int")).alias("model"), "session", "target", "prediction"))
+    return kept(mean.union(ridge.select(F.format_string("ridge-%d", F.col("alpha").cast("int")).alias("model"), "session", "target", "prediction")), "predictions")
 
 
 def regime_mse(spark, sf_dir):
@@ -241,13 +248,8 @@ def _channels(data, axis):
 def four_channel_benchmark(spark, sf_dir):
     """Ridge error, rows scored and overlap left, for two unsafe and two safe ways to split."""
     data, axis = modelled(spark, sf_dir)
-    rows, overlaps = None, None
-    for number, (name, decided) in enumerate(_channels(data, axis).items()):
-        tagged = splits.assignments(data, decided).withColumn("fold", F.col("fold") + number * 1000).withColumn("channel", F.lit(name))
-        left = splits.retained_overlap(decided).agg(F.sum("overlap").alias("overlap")).withColumn("channel", F.lit(name))
-        rows, overlaps = (tagged, left) if rows is None else (rows.unionByName(tagged), overlaps.unionByName(left))
-    scored = evaluate.ridge_predictions(rows, ["ret"], 1.0)  # one job fits all channels' folds
-    return scored.groupBy("channel").agg(F.round(metrics.mse(), 8).alias("mse"), F.count("*").alias("n")).join(F.broadcast(overlaps), "channel")
+    found = channel_benchmark(data, _channels(data, axis), ["ret"])
+    return found.select("channel", F.round("mse", 8).alias("mse"), "n", "overlap")
 
 
 def optimism_gap(spark, sf_dir):

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegate.errors import SourceError
+
 
 def session(app: str = "tidegate", **conf: str) -> SparkSession:
     """UTC, ANSI, adaptive execution; other settings by their names with dots written as double underscores."""
@@ -17,16 +19,26 @@ def session(app: str = "tidegate", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the folder of spark.checkpoint.dir (a new one where it is unset) and read it again.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors share.
 
-    Plans that use a frame several times then hold a scan each time, and lost executors cost no recomputation.
+    Where that is unset, as in tests, a new local folder stands in, which serves one machine only: a cluster is refused.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise SourceError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidegate-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the folder of spark.checkpoint.dir and read it again.
+
+    Plans that use a frame several times then hold a scan each time, and lost executors cost no recomputation.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,9 +1,11 @@
-"""The forward ledger as Structured Streaming: recorded predictions meet their settlements in event time."""
+"""The forward ledger as Structured Streaming: recorded predictions meet their settlements, in whatever order they come.
+
+No watermark decides about a row: a row that comes late is labelled, not dropped. State is bounded by time instead.
+What waits longer than `keep` leaves the state with an outcome of its own.
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,53 +13,123 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidegate.session import shared_path
+
+#: How long a key is remembered after its last row.
+KEEP_DAYS = 400
+_DAY = 86_400_000
+
+ENTRY = "prediction_digest string, sample_id string, decision_session date, label_available_at timestamp, recorded_at timestamp, prediction double, settled_at timestamp, target double"
+OUTCOME = "prediction_digest string, sample_id string, decision_session date, prediction double, target double, settled_at timestamp, outcome string"
+_WAITING = "sample_id string, decision_session date, label_available_at timestamp, recorded_at timestamp, prediction double, known boolean, settled boolean, early array<struct<settled_at: timestamp, target: double>>"
 
-def _shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidegate-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+def entries(predictions: DataFrame, settlements: DataFrame) -> DataFrame:
+    """Both streams as one, with the columns of ENTRY; a settlement's own columns are null in predictions, and so on."""
+    kinds = [tuple(c.split(" ")) for c in ENTRY.split(", ")]
+    shaped = lambda df: df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds])
+    return shaped(predictions).unionByName(shaped(settlements))
 
-def joined_stream(predictions: DataFrame, settlements: DataFrame, lateness: str = "10 days") -> DataFrame:
-    """Stream-stream inner join on the prediction's digest; a settlement counts only once its label is available."""
-    made = predictions.withColumn("recorded_at", F.col("recorded_at").cast("timestamp")).withWatermark("recorded_at", lateness)
-    done = settlements.withColumn("settled_at", F.col("settled_at").cast("timestamp")).withColumnRenamed("prediction_digest", "settled_digest").withWatermark("settled_at", lateness)
-    condition = (F.col("prediction_digest") == F.col("settled_digest")) & (F.col("settled_at") >= F.col("label_available_at").cast("timestamp")) & (F.col("settled_at") > F.col("recorded_at"))
-    return made.join(done, condition).drop("settled_digest")
 
+def outcomes(predictions: DataFrame, settlements: DataFrame, keep_days: float = KEEP_DAYS) -> DataFrame:
+    """One row, as OUTCOME, for each settlement and each prediction that needs a word; joined by prediction_digest.
 
-def settle_stream(spark: SparkSession, predictions: DataFrame, settlements: DataFrame) -> DataFrame:
-    """Run both tables through the stream join until they are used up, and return the pairs it wrote."""
-    at = {n: _shared(spark, f"stream-{n}") for n in ("predictions", "settlements", "pairs", "progress")}
-    predictions.write.parquet(at["predictions"])
-    settlements.write.parquet(at["settlements"])
-    made = spark.readStream.schema(predictions.schema).parquet(at["predictions"])
-    done = spark.readStream.schema(settlements.schema).parquet(at["settlements"])
-    pairs = joined_stream(made, done)
-    query = pairs.writeStream.format("parquet").option("checkpointLocation", at["progress"]).outputMode("append").trigger(availableNow=True).start(at["pairs"])
-    query.awaitTermination()
-    return spark.read.schema(pairs.schema).parquet(at["pairs"])
+    settled: the label was available, and the prediction there before. settled-early: not so. duplicate-settlement and
+    duplicate-prediction: the first of its kind counts. A settlement that comes before its prediction waits for it.
+    After `keep_days` without a row, predictions leave as unsettled and waiting settlements as orphan-settlement.
+    """
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        sample, session, available, recorded, prediction, known, settled, early = state.get if state.exists else (None,) * 5 + (False, False, [])
+        out: list[tuple] = []
+
+        def say(outcome: str, target: float | None = None, at: object = None) -> None:
+            out.append((key[0], sample, session, prediction if known else None, target, at, outcome))
+
+        def settle(at: pd.Timestamp, target: float) -> None:
+            nonlocal settled
+            if at < available or at <= recorded:
+                say("settled-early", target, at)
+            elif settled:
+                say("duplicate-settlement", target, at)
+            else:
+                settled = True
+                say("settled", target, at)
+
+        if state.hasTimedOut:
+            if known and not settled:
+                say("unsettled")
+            for at, target in early:
+                say("orphan-settlement", target, at)
+            state.remove()
+        else:
+            rows = pd.concat(list(batches))
+            waiting = [tuple(e) for e in early]
+            for r in rows[rows["settled_at"].isna()].sort_values(["recorded_at", "sample_id"], kind="stable").itertuples():
+                if known:
+                    say("duplicate-prediction")
+                else:
+                    known, sample, session, available, recorded, prediction = True, r.sample_id, r.decision_session, r.label_available_at, r.recorded_at, r.prediction
+            waiting += list(rows.loc[rows["settled_at"].notna(), ["settled_at", "target"]].sort_values(["settled_at", "target"], kind="stable").itertuples(index=False, name=None))
+            if known:
+                for at, target in waiting:
+                    settle(at, target)
+                waiting = []
+            state.update((sample, session, available, recorded, prediction, known, settled, waiting))
+            state.setTimeoutDuration(max(1, int(keep_days * _DAY)))
+        yield pd.DataFrame(out, columns=["prediction_digest", "sample_id", "decision_session", "prediction", "target", "settled_at", "outcome"])
+
+    rows = entries(predictions, settlements)
+    return rows.groupBy("prediction_digest").applyInPandasWithState(follow, OUTCOME, _WAITING, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def run_stream(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream until its sources are used up, and return the table it wrote.
+
+    Batches without data, which time-outs would ask for without end, are off here: time-outs come with the next data.
+    """
+    spark, target, progress = stream.sparkSession, *(shared_path(stream.sparkSession, f"stream-{name}-{n}") for n in ("rows", "progress"))
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        stream.writeStream.format("parquet").option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start(target).awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(stream.schema).parquet(target)
+
+
+def settle_stream(spark: SparkSession, predictions: DataFrame, settlements: DataFrame, files_a_batch: int = 2) -> DataFrame:
+    """Feed both tables to `outcomes` as streams of several micro-batches; all outcomes, as OUTCOME."""
+    found = []
+    for name, rows in (("predictions", predictions), ("settlements", settlements)):
+        path = shared_path(spark, f"stream-{name}")
+        rows.write.parquet(path)
+        found.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_a_batch).parquet(path))
+    return run_stream(outcomes(*found), "outcomes")
 
 
 CLAIM = "sample_id string, prediction_digest string, outcome string"
 
 
-def claims(predictions: DataFrame) -> DataFrame:
+def claims(predictions: DataFrame, keep_days: float = KEEP_DAYS) -> DataFrame:
     """First prediction of a sample is accepted, every later one reported as a duplicate: none is dropped unseen.
 
     `predictions` streams (sample_id, prediction_digest, recorded_at, label_available_at); one recorded after its
-    label is rejected as late and claims nothing.
+    label is rejected as late and claims nothing. A claim is forgotten `keep_days` after the sample's last row.
     """
 
     def claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        taken = state.exists
-        for batch in batches:
-            out = []
-            for r in batch.sort_values("recorded_at", kind="stable").itertuples():
-                late = r.recorded_at >= r.label_available_at
-                out.append((key[0], r.prediction_digest, "late" if late else "duplicate" if taken else "accepted"))
-                taken = taken or not late
-            yield pd.DataFrame(out, columns=["sample_id", "prediction_digest", "outcome"])
-        if taken and not state.exists:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values("recorded_at", kind="stable")
+        late = (rows["recorded_at"] >= rows["label_available_at"]).to_numpy()
+        first = int((~late).argmax()) if not state.exists and not late.all() else -1
+        outcome = ["late" if bad else "accepted" if k == first else "duplicate" for k, bad in enumerate(late)]
+        if state.exists or first >= 0:
             state.update((True,))
+            state.setTimeoutDuration(max(1, int(keep_days * _DAY)))
+        yield pd.DataFrame({"sample_id": key[0], "prediction_digest": rows["prediction_digest"].to_numpy(), "outcome": outcome})
 
-    return predictions.groupBy("sample_id").applyInPandasWithState(claim, CLAIM, "taken boolean", "append", GroupStateTimeout.NoTimeout)
+    return predictions.groupBy("sample_id").applyInPandasWithState(claim, CLAIM, "taken boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
