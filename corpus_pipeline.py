@@ -1,4 +1,8 @@
-"""A training-data pipeline over `documents`: rules, near duplicates, personal data, mixing, packing."""
+"""A training-data pipeline over `documents`: rules, near duplicates, personal data, mixing, packing.
+
+Every stage reads only COLUMNS, whatever others a table has, and all but the last return them. Every stage gives an
+empty table for an empty one, treats a null text as its docstring says, and takes texts of any length whole.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the rules or the share of content lines reject."""
+    """Drop documents that the rules or the share of content lines reject.
+
+    Null and empty texts have fewer than ten words, so they go. Repeated rows are judged alike and stay or go together;
+    a share of exactly half stays. Without labels of both kinds the plain rules decide alone.
+    """
     field = quality_rules.train_field(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality_rules.apply_rules(docs.select(*COLUMNS), field).where("kept").select(*COLUMNS)
 
@@ -30,17 +38,27 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind in brackets; n_chars follows the text."""
+    """Replace personal data by its kind in brackets; n_chars follows the text, and is null for a null text.
+
+    Every row stays, repeated ones as often as they occur; of spans that overlap the first one's kind is written.
+    """
     return pii.masked(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take documents as often as the mix takes them: a row for each copy, none for those left out."""
+    """Take documents as often as the mix takes them: a row for each copy, none for those left out.
+
+    Null sources are one source. Null and empty texts weigh nothing and are taken once at most; rows that repeat both
+    id and text are taken together.
+    """
     return mixing.mixed_copies(docs.select(*COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens; one row for each piece of a document."""
+    """Sequences of at most 2048 tokens; one row for each piece of a document, as packing.PACKED.
+
+    A null or empty text is one piece of one token, and a copy is packed as often as the mix took it.
+    """
     return packing.pack_documents(docs, encoding.vocabulary(), capacity=2048)
 
 
@@ -57,6 +75,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; each stage's table lies in the shared folder, and the next one reads it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
