@@ -53,5 +53,16 @@ def expected_maximum_factor(trials: int) -> float:
     return (1 - GAMMA) * inverse(1 - 1 / trials) + GAMMA * inverse(1 - 1 / (trials * math.e))
 
 
+def normal_cdf_column(x: Column) -> Column:
+    """The normal distribution function as a column: 1/2 + density * (x + x^3/3 + x^5/(3*5) + ...), x within 7."""
+    z = F.greatest(F.least(x.cast("double"), F.lit(7.0)), F.lit(-7.0))
+    terms = F.aggregate(
+        F.sequence(F.lit(1), F.lit(120)),
+        F.struct(z.alias("term"), z.alias("total")),
+        lambda s, k: F.struct((s["term"] * z * z / (2 * k + 1)).alias("term"), (s["total"] + s["term"] * z * z / (2 * k + 1)).alias("total")),
+    )
+    return F.lit(0.5) + F.exp(-z * z / 2) / F.sqrt(F.lit(2.0) * F.pi()) * terms["total"]
+
+
 def normal_cdf(x: float) -> float:
     return NormalDist().cdf(x)

@@ -15,8 +15,8 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegate.errors import DatasetError
-from tidegate.functions.risk import drawdowns, expected_maximum_factor, normal_cdf, raw_kurtosis, sharpe, skew, total_return
+from tidegate.errors import DatasetError, EvaluationError
+from tidegate.functions.risk import drawdowns, expected_maximum_factor, normal_cdf, normal_cdf_column, raw_kurtosis, sharpe, skew, total_return
 from tidegate.operators.paths import path_table
 
 
@@ -66,6 +66,32 @@ def require_dense(panel: DataFrame) -> None:
         raise DatasetError(f"{bad_prices} prices and {bad_returns} returns are out of range")
 
 
+def require_returns(returns: DataFrame) -> None:
+    """A return matrix (t, cand_idx, net, gross, turnover) is dense, of two candidates or more, in range, and finite."""
+    odd = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    rows, sessions, candidates, cells, low, negative, strange = returns.agg(
+        F.count("*"), F.count_distinct("t"), F.count_distinct("cand_idx"), F.count_distinct("t", "cand_idx"),
+        F.count_if((F.col("net") <= -1) | (F.col("gross") <= -1)), F.count_if(F.col("turnover") < 0), F.count_if(odd("net") | odd("gross") | odd("turnover")),
+    ).first()
+    if candidates < 2 or rows != cells or rows != sessions * candidates:
+        raise DatasetError("the return matrix is not dense or has fewer than 2 candidates")
+    if low or negative or strange:
+        raise DatasetError(f"{low} returns of -1 or less, {negative} negative turnovers and {strange} values not finite")
+    if "session" in returns.columns:
+        order = returns.groupBy("t").agg(F.min("session").alias("low"), F.max("session").alias("high"))
+        bad = order.withColumn("before", F.lag("high").over(Window.orderBy("t"))).where("low <> high or before >= low").count()  # a row for each session
+        if bad:
+            raise DatasetError(f"{bad} sessions do not rise")
+
+
+def scenario(tracked: DataFrame, cost_bps: float) -> DataFrame:
+    """The tracks of the one cost scenario within 1e-12 of `cost_bps`; none or several are refused."""
+    near = tracked.where(F.abs(F.col("cost_bps") - cost_bps) <= 1e-12)
+    if (n := near.select("cost_bps").distinct().count()) != 1:
+        raise EvaluationError(f"{n} cost scenarios of {cost_bps:g} basis points, where one is needed")
+    return near
+
+
 def weights(panel: DataFrame, candidates: list[Candidate], execution: Execution) -> DataFrame:
     """(t, session, asset, ret, cand_idx, candidate_id, weight) of time-series momentum.
 
@@ -161,6 +187,27 @@ def deflated_statistic(returns: DataFrame, candidates: int) -> DataFrame:
     return found.withColumn("statistic", (s - F.col("expected_maximum")) * F.sqrt(F.col("sessions") - 1) / width).drop("deviation")
 
 
+def tested_sharpes(returns: DataFrame, n_groups: int, chosen: int, embargo: int, periods: float, minimum_train: int, windows: int) -> DataFrame:
+    """One row: cpcv_median, cpcv_p10, cpcv_worst of the combinatorial paths, and walk_forward."""
+    paths = combinatorial_selection(returns, n_groups, chosen, embargo, periods).agg(
+        F.median("sharpe").alias("cpcv_median"), F.percentile("sharpe", F.lit(0.1)).alias("cpcv_p10"), F.min("sharpe").alias("cpcv_worst")
+    )
+    track = walk_forward_track(returns, walk_forward_selection(returns, minimum_train, windows, periods), minimum_train, windows)
+    return paths.join(F.broadcast(track.agg(sharpe("net", periods).alias("walk_forward"))))  # two rows of one
+
+
+def acceptance_evidence(
+    tracked: DataFrame, candidates: int, periods: float, cscv_groups: int, n_groups: int, chosen: int, embargo: int, minimum_train: int, windows: int, cost: float = 3.0, stress: float = 5.0
+) -> DataFrame:
+    """One row with a column for each of RESEARCH_CHECKS, from two cost scenarios of `tracked`."""
+    plain, hard = scenario(tracked, cost), scenario(tracked, stress)
+    over = overfitting_probability(cscv(plain, cscv_groups, periods)).select("pbo")
+    deflated = deflated_statistic(plain, candidates).select(normal_cdf_column(F.col("statistic")).alias("deflated_probability"))
+    sharpes = lambda rows: tested_sharpes(rows, n_groups, chosen, embargo, periods, minimum_train, windows)
+    stressed = sharpes(hard).select(F.col("cpcv_worst").alias("stress_cpcv_worst"), F.col("walk_forward").alias("stress_walk_forward"))
+    return over.join(F.broadcast(deflated)).join(F.broadcast(sharpes(plain))).join(F.broadcast(stressed))  # rows of one
+
+
 def deflated_probability(statistic: float) -> float:
     return normal_cdf(statistic)
 
@@ -205,8 +252,9 @@ def walk_forward_selection(returns: DataFrame, minimum_train: int, windows: int,
     The selected candidate is the best on all rows before the window, the hindsight one the best in it.
     """
     later = returns.where(F.col("t") >= minimum_train).select("t").distinct().withColumn("window", F.ntile(windows).over(Window.orderBy("t")).cast("long") - 1)
-    starts = later.groupBy("window").agg(F.min("t").alias("start"))
-    train = returns.join(F.broadcast(starts), F.col("t") < F.col("start"))  # a row for each window
+    # every row trains the windows after its own, all of them before the first one: numbers, no join by range
+    numbered = returns.join(F.broadcast(later), "t", "left")
+    train = numbered.withColumn("window", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(windows - 1).cast("long")), lambda w: w > F.coalesce("window", F.lit(-1)))))
     picked = best(train.groupBy("window", "cand_idx").agg(sharpe("net", periods).alias("score")), ["window"]).select("window", F.col("cand_idx").alias("selected"))
     inside = returns.join(F.broadcast(later), "t").groupBy("window", "cand_idx").agg(sharpe("net", periods).alias("score"))
     top = best(inside, ["window"]).select("window", F.col("cand_idx").alias("hindsight"), F.col("score").alias("hindsight_sharpe"))

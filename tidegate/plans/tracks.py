@@ -93,25 +93,15 @@ def walk_forward_selection(spark, sf_dir):
     return _r(strategy.walk_forward_selection(returns(spark, sf_dir), MINIMUM, WINDOWS, EXECUTION.periods), "selected_sharpe", "hindsight_sharpe", "regret")
 
 
-def _evidence(rows: DataFrame) -> DataFrame:
-    """One row: what the acceptance checks look at, without the deflated probability's normal distribution."""
-    p = EXECUTION.periods
-    paths = strategy.combinatorial_selection(rows, GROUPS, TEST_GROUPS, EMBARGO, p).agg(
-        F.median("sharpe").alias("cpcv_median"), F.percentile("sharpe", F.lit(0.1)).alias("cpcv_p10"), F.min("sharpe").alias("cpcv_worst")
-    )
-    track = strategy.walk_forward_track(rows, strategy.walk_forward_selection(rows, MINIMUM, WINDOWS, p), MINIMUM, WINDOWS)
-    from tidegate.functions.risk import sharpe
-
-    walk = track.agg(sharpe("net", p).alias("walk_forward"))
-    over = strategy.overfitting_probability(strategy.cscv(rows, CSCV, p)).select("pbo")
-    return over.join(F.broadcast(paths)).join(F.broadcast(walk))
-
-
-CHECKS = (("pbo", False, 0.20), ("cpcv_median", True, 0.0), ("cpcv_p10", True, 0.0), ("cpcv_worst", True, 0.0), ("walk_forward", True, 0.0))
+CHECKS = strategy.RESEARCH_CHECKS
+STRESS = 5.0
 
 
 def acceptance_checks(spark, sf_dir):
-    return _r(strategy.acceptance_checks(_evidence(returns(spark, sf_dir)), CHECKS), "value")
+    """All checks of a research decision: six at the plain cost, two at the stressed one."""
+    rows = returns(spark, sf_dir, (COST, STRESS))
+    found = strategy.acceptance_evidence(rows, len(GRID), EXECUTION.periods, CSCV, GROUPS, TEST_GROUPS, EMBARGO, MINIMUM, WINDOWS, COST, STRESS)
+    return _r(strategy.acceptance_checks(found, CHECKS), "value")
 
 
 # --- SQL -----------------------------------------------------------------------------------------------------
@@ -163,6 +153,36 @@ WALK_SQL = f""", lt AS (SELECT t, ntile({WINDOWS}) OVER (ORDER BY t) - 1 AS win
  top AS (SELECT * FROM (SELECT win, cand_idx AS hindsight, score, row_number() OVER (PARTITION BY win ORDER BY round(score, 10) DESC, cand_idx) AS place FROM ins) WHERE place = 1),
  wf AS (SELECT sel.win AS "window", selected, hindsight, i.score AS selected_sharpe, top.score AS hindsight_sharpe, top.score - i.score AS regret FROM sel JOIN ins i ON i.win = sel.win AND i.cand_idx = sel.selected JOIN top ON top.win = sel.win)"""
 
+
+
+def _tested_sql(cost: float) -> str:
+    """The combinatorial and walk-forward Sharpe ratios at a cost, as one row of four."""
+    return f"""(SELECT * FROM (WITH {TRACKS.replace(f"turnover * {COST}", f"turnover * {cost}")}{CPCV_SQL}{WALK_SQL},
+      ps AS (SELECT path, {SHARPE} AS sharpe FROM ea GROUP BY path), tk AS (SELECT r.net FROM r JOIN lt ON r.t = lt.t JOIN sel ON sel.win = lt.win AND sel.selected = r.cand_idx)
+      SELECT median(sharpe) AS med, quantile_cont(sharpe, 0.1) AS p10, min(sharpe) AS worst, (SELECT {SHARPE} FROM tk) AS walk FROM ps))"""
+
+
+#: The normal distribution function of x: 1/2 + density * sum of x^(2k+1) / (1 * 3 * ... * (2k+1)), the double factorial by lgamma.
+NORMAL = """0.5 + exp(-x * x / 2) / sqrt(2 * pi()) * sign(x) * coalesce((SELECT sum(exp((2 * k + 1) * ln(abs(x)) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)))) FROM range(121) q(k) WHERE x <> 0), 0)"""
+
+
+def _acceptance_sql() -> str:
+    levels = {n: (up, t) for n, up, t in CHECKS}
+    rows = " UNION ALL ".join(f"""SELECT '{n}' AS "check", {v} AS value FROM ev""" for n, v in (
+        ("pbo", "pbo"), ("deflated_probability", f"(SELECT {NORMAL} FROM (SELECT greatest(least(statistic, 7), -7) AS x FROM ev))"), ("cpcv_median", "med"), ("cpcv_p10", "p10"), ("cpcv_worst", "worst"),
+        ("walk_forward", "walk"), ("stress_cpcv_worst", "hard_worst"), ("stress_walk_forward", "hard_walk"),
+    ))
+    least = " ".join(f"WHEN '{n}' THEN {t}" for n, (_, t) in levels.items())
+    return f"""WITH ev AS (SELECT (SELECT count(*) FILTER (logit <= 0) / count(*) FROM (WITH {TRACKS}{CSCV_SQL} SELECT logit FROM cs)) AS pbo, (SELECT statistic FROM ({DEFLATED_SQL})) AS statistic,
+      a.med, a.p10, a.worst, a.walk, b.worst AS hard_worst, b.walk AS hard_walk FROM {_tested_sql(COST)} a, {_tested_sql(STRESS)} b), c AS ({rows}), d AS (SELECT *, (CASE "check" {least} END)::DOUBLE AS threshold FROM c)
+      SELECT "check", round(value + 0.0, 6) AS value, threshold, CASE WHEN "check" = 'pbo' THEN value <= threshold ELSE value >= threshold END AS passed FROM d"""
+
+
+DEFLATED_SQL = f"""WITH {TRACKS}, q AS (SELECT cand_idx, avg(net) / greatest(coalesce(stddev_samp(net), 0), 1e-12) AS s, avg(net) AS m, stddev_pop(net) AS sd, count(*) AS sessions FROM r GROUP BY cand_idx),
+      b AS (SELECT * FROM q ORDER BY round(s, 10) DESC, cand_idx LIMIT 1), mo AS (SELECT b.*, avg(pow((r.net - b.m) / b.sd, 3)) AS skewness, avg(pow((r.net - b.m) / b.sd, 4)) AS kurtosis FROM r JOIN b ON r.cand_idx = b.cand_idx GROUP BY ALL),
+      x AS (SELECT *, (SELECT stddev_samp(s) FROM q) * {expected_maximum_factor(len(GRID))!r} AS em FROM mo)
+      SELECT cand_idx, s, em, skewness, kurtosis, sessions, (s - em) * sqrt(sessions - 1) / sqrt(greatest(1 - skewness * s + (kurtosis - 1) / 4 * s * s, 1e-12)) AS statistic FROM x"""
+
 SQL = {
     "tsmom_grid": f"WITH {TRACKS} SELECT cand_idx::BIGINT AS cand_idx, candidate_id, lookback::BIGINT AS lookback, vol_window::BIGINT AS vol_window, cap, warmup::BIGINT AS warmup, greatest((SELECT count(*) FROM full_weeks) - warmup, 0)::BIGINT AS tradable_sessions FROM g",
     "tsmom_weights": f"WITH {TRACKS} SELECT t, asset, cand_idx, round(weight + 0.0, 8) AS weight FROM wt",
@@ -180,11 +200,7 @@ SQL = {
       SELECT cand_idx, round(s, 6) AS periodic_sharpe, round(em, 6) AS expected_maximum, round(skewness, 6) AS skewness, round(kurtosis, 6) AS kurtosis, sessions, round((s - em) * sqrt(sessions - 1) / sqrt(greatest(1 - skewness * s + (kurtosis - 1) / 4 * s * s, 1e-12)), 6) AS statistic FROM x""",
     "cpcv_selected_paths": f"WITH {TRACKS}{CPCV_SQL}" + _metrics_sql("ea", "path") + " SELECT path, n, sharpe, total_return, mean_turnover, round(mdd, 6) AS max_drawdown FROM mt",
     "walk_forward_selection": f'WITH {TRACKS}{WALK_SQL} SELECT "window", selected, hindsight, round(selected_sharpe, 6) AS selected_sharpe, round(hindsight_sharpe, 6) AS hindsight_sharpe, round(regret, 6) AS regret FROM wf',
-    "acceptance_checks": f"WITH {TRACKS}{CSCV_SQL}{CPCV_SQL}{WALK_SQL}"
-    + f""", ps AS (SELECT path, {SHARPE} AS sharpe FROM ea GROUP BY path), tk AS (SELECT r.net FROM r JOIN lt ON r.t = lt.t JOIN sel ON sel.win = lt.win AND sel.selected = r.cand_idx),
-      ev AS (SELECT 'pbo' AS "check", (SELECT count(*) FILTER (logit <= 0) / count(*) FROM cs) AS value, 0.2::DOUBLE AS threshold UNION ALL SELECT 'cpcv_median', (SELECT median(sharpe) FROM ps), 0 UNION ALL SELECT 'cpcv_p10', (SELECT quantile_cont(sharpe, 0.1) FROM ps), 0
-        UNION ALL SELECT 'cpcv_worst', (SELECT min(sharpe) FROM ps), 0 UNION ALL SELECT 'walk_forward', (SELECT {SHARPE} FROM tk), 0)
-      SELECT "check", round(value + 0.0, 6) AS value, threshold, CASE WHEN "check" = 'pbo' THEN value <= threshold ELSE value >= threshold END AS passed FROM ev""",
+    "acceptance_checks": _acceptance_sql(),
 }
 DATES: dict[str, tuple[str, ...]] = {}
 QUERIES = {n: f for n, f in globals().items() if n in SQL}

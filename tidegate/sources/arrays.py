@@ -51,12 +51,23 @@ def read_returns(spark: SparkSession, path: str, limits: Limits = Limits()) -> D
     return _long(spark, _load(path, RETURNS, limits), {"gross_returns": "gross", "net_returns": "net", "turnover": "turnover"}, "cand_idx", "candidate_id")
 
 
-def demo_panel(spark: SparkSession, sessions: int = 320, assets: int = 3, seed: int = 20260803) -> DataFrame:
-    """A panel of random walks whose drift changes twice, the same for the same seed."""
-    draw = np.random.default_rng(seed)
-    drift = np.repeat([0.0008, -0.0006, 0.0004], -(-sessions // 3))[:sessions, None]
-    ret = drift + draw.normal(0, 0.01, (sessions, assets))
-    price = 100 * np.cumprod(1 + ret, axis=0)
-    days = np.arange(np.datetime64("2020-01-01"), np.datetime64("2020-01-01") + sessions)
-    found = {"sessions": days, "asset_ids": np.array([f"A{i}" for i in range(assets)]), "signal_prices": price, "tradable_returns": ret}
+#: Fixed values of the published example, whose figures a test reproduces: seed, sessions, deviation of a day's
+#: return, first day, and for each asset its first price and its drift before row 110, before row 220 and from there.
+DEMO_SEED, DEMO_SESSIONS, DEMO_DEVIATION, DEMO_FIRST_DAY, DEMO_TURNS = 20260803, 320, 0.012, "2024-01-01", (110, 220)
+DEMO_ASSETS = {
+    "DEMO-A": (100.0, (0.0006, -0.0005, 0.0002)),
+    "DEMO-B": (120.0, (-0.0003, 0.0005, -0.0002)),
+    "DEMO-C": (80.0, (0.0002, -0.0002, 0.0004)),
+}
+
+
+def demo_panel(spark: SparkSession) -> DataFrame:
+    """The example's panel, as `read_panel` gives it: random walks whose drift changes twice; the first return is 0."""
+    noise = np.random.default_rng(DEMO_SEED).normal(0.0, DEMO_DEVIATION, size=(DEMO_SESSIONS, len(DEMO_ASSETS)))
+    regime = np.searchsorted(DEMO_TURNS, np.arange(DEMO_SESSIONS), side="right")
+    drift = np.array([drifts for _, drifts in DEMO_ASSETS.values()]).T[regime]
+    ret = np.where(np.arange(DEMO_SESSIONS)[:, None] > 0, noise + drift, 0.0)
+    price = np.array([first for first, _ in DEMO_ASSETS.values()]) * np.cumprod(1.0 + ret, axis=0)
+    days = np.datetime64(DEMO_FIRST_DAY) + np.arange(DEMO_SESSIONS)
+    found = {"sessions": days, "asset_ids": np.array(list(DEMO_ASSETS)), "signal_prices": price, "tradable_returns": ret}
     return _long(spark, found, {"signal_prices": "price", "tradable_returns": "ret"}, "asset_idx", "asset")
