@@ -8,14 +8,35 @@ grouped function, one fold at a time.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.errors import EvaluationError
+from tidegate.functions.risk import mse
+from tidegate.model import CombinatorialCV, digest
+from tidegate.operators import governance, metrics, splits
+from tidegate.operators.paths import paths
+from tidegate.session import kept
+
+#: Rows that an opaque estimator or metric function gets at most, as these hold a whole fold in one task.
+MOST_ROWS = 5_000_000
+
+
+@dataclass(frozen=True)
+class Mean:
+    """The mean target of a fold's training rows; an aggregate, so folds may have any size."""
+
+
+@dataclass(frozen=True)
+class Ridge:
+    """Ridge regression by sums of products; folds may have any size."""
+
+    alpha: float = 1.0
 
 
 class Estimator(Protocol):
@@ -79,8 +100,10 @@ def fit_predict(
     """(fold, *keys, target, prediction, problem) of test rows by a fresh estimator for each fold.
 
     Transformers are fitted on training rows alone, in order. A failure inside a fold leaves no predictions and
-    a code in `problem`, without data in it; `completed` raises for it.
+    a code in `problem`, without data in it; `completed` raises for it. An estimator that is no aggregate needs its
+    fold in one task, so folds of more than MOST_ROWS rows are refused: `Mean` and `Ridge` have no such limit.
     """
+    within_limit(assigned.where("role <> 'excluded'"), "fold")
     if estimator() is estimator() or any(t() is t() for t in transformers):
         raise EvaluationError("factories must make a new object for each fold")
     kinds = dict(assigned.dtypes)
@@ -112,6 +135,21 @@ def fit_predict(
     return assigned.where("role <> 'excluded'").groupBy("fold").applyInPandas(run, schema)
 
 
+def within_limit(rows: DataFrame, *keys: str) -> None:
+    if (most := rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > MOST_ROWS:
+        raise EvaluationError(f"a group of {most} rows is too large for a function that needs it whole")
+
+
+def predict(assigned: DataFrame, features: list[str], model: Mean | Ridge | Callable[[], Estimator], transformers: tuple[Callable[[], Transformer], ...] = (), keys: tuple[str, ...] = ("asset", "session")) -> DataFrame:
+    """(fold, *keys, target, prediction) of all test rows: built-in models as aggregates, others by `fit_predict`."""
+    if isinstance(model, Mean | Ridge) and not transformers:
+        found = mean_predictions(assigned) if isinstance(model, Mean) else ridge_predictions(assigned, features, model.alpha)
+        return found.select("fold", *keys, "target", "prediction")
+    if isinstance(model, Mean | Ridge):
+        raise EvaluationError("built-in models take features as they are; transform them beforehand or pass an estimator")
+    return completed(fit_predict(assigned, features, model, transformers, keys))
+
+
 def completed(predictions: DataFrame) -> DataFrame:
     """The predictions, or an error that names the folds and kinds of failure."""
     bad = predictions.where("problem is not null").select("fold", "problem").distinct().limit(20).collect()
@@ -152,3 +190,87 @@ def require_complete_paths(rows: DataFrame, expected: int) -> None:
     bad = rows.groupBy("path_index").agg(F.count("*").alias("n"), F.count_distinct("sample_id").alias("d")).where((F.col("n") != expected) | (F.col("d") != expected))
     if (count := bad.count()) > 0:
         raise EvaluationError(f"{count} paths do not cover every sample once")
+
+
+def ledger_order(rows: DataFrame) -> DataFrame:
+    """A ledger's rows by session, asset, path and combination, rows without the last two first."""
+    return rows.orderBy("session", "asset_id", F.coalesce("path_index", F.lit(-1)), F.coalesce("combination_index", F.lit(-1)), "fold_index")
+
+
+def scores(rows: DataFrame, measures: dict[str, Column | Callable[[np.ndarray, np.ndarray], float]]) -> DataFrame:
+    """(metric, scope, key, value, n) of a ledger, overall, by fold and, where it has paths, by path.
+
+    A measure is an aggregate column over `target` and `prediction`, or a function of both as arrays. A function
+    needs a group whole, so groups of more than MOST_ROWS rows are refused; a failure of it is an error.
+    """
+    scopes = {"overall": F.lit(-1), "fold": F.col("fold_index"), "path": F.col("path_index")}
+    out = None
+    for name, measure in measures.items():
+        for scope, key in scopes.items():
+            keyed = rows.select(key.cast("long").alias("key"), "target", "prediction").where(F.col("key").isNotNull())
+            if isinstance(measure, Column):
+                found = keyed.groupBy("key").agg(measure.alias("value"), F.count("*").alias("n"))
+            else:
+                within_limit(keyed, "key")
+                found = keyed.groupBy("key").applyInPandas(_measured(measure), "key long, value double, n long")
+            found = found.select(F.lit(name).alias("metric"), F.lit(scope).alias("scope"), "key", "value", "n")
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _measured(function: Callable[[np.ndarray, np.ndarray], float]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["target", "prediction"], kind="stable")
+        value = float(function(rows["target"].to_numpy(float), rows["prediction"].to_numpy(float)))
+        return pd.DataFrame({"key": [rows["key"].iloc[0]], "value": [value], "n": [len(rows)]})
+
+    return run
+
+
+@dataclass
+class Evaluation:
+    """Out-of-sample evidence of one plan: the ledger as a table, its scores, its coverage and its run's id."""
+
+    ledger: DataFrame
+    scores: DataFrame
+    coverage: DataFrame
+    run_id: str
+
+
+@dataclass(frozen=True)
+class Evaluator:
+    """From a dataset to a complete ledger and its scores, or an error: nothing partial is returned."""
+
+    splitter: object
+    model: Mean | Ridge | Callable[[], Estimator]
+    features: tuple[str, ...]
+    measures: dict[str, Column | Callable] = field(default_factory=lambda: {"mse": mse()})
+    transformers: tuple[Callable[[], Transformer], ...] = ()
+    channel: str = "model-selection"
+
+    def evaluate(self, dataset: DataFrame, axis: DataFrame, dataset_digest: str, snapshot: governance.PITSnapshot | None = None) -> Evaluation:
+        """`dataset` has asset, session, axis_pos, info_start, info_end, target and the features, one row a sample.
+
+        Rows that carry decision and availability times need a point-in-time snapshot. Folds must meet the splitter's
+        minimums, and every path of a combinatorial plan must test every sample once.
+        """
+        if "feature_available" in dataset.columns:
+            governance.require_point_in_time(dataset, snapshot)
+        decided = kept(splits.plan(dataset, axis, self.splitter), "folds")
+        if minimums := getattr(self.splitter, "minimums", None):
+            splits.require(decided, minimums)
+        combinatorial = isinstance(self.splitter, CombinatorialCV)
+        table = paths(dataset.sparkSession, self.splitter.choices, self.splitter.n_groups) if combinatorial else None
+        assigned = splits.assignments(dataset, decided)
+        made = predict(assigned, list(self.features), self.model, self.transformers, ("asset", "session", "group"))
+        spec, model = digest(repr(self.splitter)), digest(repr(self.model))
+        run_id = digest([dataset_digest, spec, model, sorted(self.measures), len(self.transformers), self.channel])
+        identity = {"run_id": run_id, "dataset_digest": dataset_digest, "split_spec_digest": spec, "model_digest": model, "evidence_channel": self.channel}
+        rows = kept(ledger(made, table, **identity, pit_snapshot_digest=digest(snapshot) if snapshot else None), "ledger")
+        samples, folds = dataset.count(), decided.agg(F.count_distinct("fold")).first()[0]
+        if rows.where(F.col("prediction").isNull() | F.isnan("prediction") | (F.abs("prediction") == float("inf"))).limit(1).count():
+            raise EvaluationError("predictions are missing or not finite")
+        if combinatorial:
+            require_complete_paths(rows, samples)
+        covered = metrics.coverage(rows.withColumnsRenamed({"asset_id": "asset", "fold_index": "fold"}), samples, folds)
+        return Evaluation(rows, scores(rows, self.measures), covered, run_id)

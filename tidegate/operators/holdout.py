@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidegate.errors import HoldoutError, LedgerError, TidegateError
 from tidegate.functions.risk import mse
 from tidegate.model import digest
-from tidegate.operators.evaluate import completed, fit_predict
+from tidegate.operators.evaluate import predict
 from tidegate.sources.sinks import create_exclusive
 
 
@@ -34,6 +34,7 @@ def evaluate_once(train: DataFrame, held: DataFrame, protocol: HoldoutProtocol,
     """Fit on `train`, score `held` once and keep a receipt of counts, digests and the score.
 
     The claim is a file that only one attempt can create, written before any fit; a failed attempt is spent too.
+    `estimator` may be `Mean()` or `Ridge()`, which are aggregates and take training data of any size.
     """
     found = boundary(train, held)
     if not found["sessions_apart"] or not found["information_apart"] or found["shared_ids"]:
@@ -46,7 +47,7 @@ def evaluate_once(train: DataFrame, held: DataFrame, protocol: HoldoutProtocol,
     receipt: dict[str, object] = {"protocol": key, "status": "failed"}
     try:
         rows = train.withColumn("role", F.lit("train")).unionByName(held.withColumn("role", F.lit("test"))).withColumn("fold", F.lit(0).cast("long"))
-        done = completed(fit_predict(rows, features, estimator, keys=("sample_id",)))
+        done = predict(rows, features, estimator, keys=("sample_id",))
         value, n = done.agg(score().alias("score"), F.count("*").alias("n")).first()
         receipt |= {"status": "scored", "score": value, "samples": n}
         return receipt

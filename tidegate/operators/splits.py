@@ -8,6 +8,8 @@ exactly if, among test intervals that start no later than it ends, the latest en
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,8 +130,19 @@ def decide(dataset: DataFrame, axis: DataFrame, roles: DataFrame, embargo: int =
     return rows.withColumn("reason", F.when(F.col("role") == "candidate", reason)).drop("overlaps", "held", "first_session", "first_pos")
 
 
-def plan(dataset: DataFrame, axis: DataFrame, spec: PurgedKFold | CombinatorialCV | WalkForward) -> DataFrame:
-    """`decide` with a splitter's own roles and exclusions."""
+class Splitter(Protocol):
+    """Anything that plans folds: `plan` returns what `decide` does, with `fold` counted from 0."""
+
+    def plan(self, dataset: DataFrame, axis: DataFrame) -> DataFrame: ...
+
+
+def plan(dataset: DataFrame, axis: DataFrame, spec: PurgedKFold | CombinatorialCV | WalkForward | Splitter) -> DataFrame:
+    """`decide` with a splitter's own roles and exclusions; a user's splitter plans by itself."""
+    if not isinstance(spec, PurgedKFold | CombinatorialCV | WalkForward):
+        found = spec.plan(dataset, axis)
+        if missing := {"fold", "axis_pos", "info_start", "info_end", "n", "role", "reason", "group", "block"} - set(found.columns):
+            raise SplitError(f"the splitter's plan lacks {len(missing)} columns")
+        return found
     if isinstance(spec, PurgedKFold):
         return decide(dataset, axis, kfold_roles(dataset, spec), embargo=spec.embargo)
     if isinstance(spec, CombinatorialCV):

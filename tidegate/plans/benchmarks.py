@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.errors import DatasetError
 from tidegate.functions.risk import sharpe
 from tidegate.model import CombinatorialCV, PurgedKFold, WalkForward
 from tidegate.operators import evaluate, metrics, splits, strategy
@@ -85,6 +86,9 @@ def effectiveness(dataset: DataFrame, axis: DataFrame, kfold: PurgedKFold, cpcv:
 
 def strategy_report(returns: DataFrame, periods: float, cscv_groups: int, cpcv: CombinatorialCV, minimum_train: int, windows: int, candidates: int) -> dict[str, object]:
     """Overfitting evidence of one return matrix: a few numbers on the driver."""
+    least = max(2 * cscv_groups, 2 * cpcv.n_groups, minimum_train + 2 * windows)
+    if (found := returns.agg(F.count_distinct("t")).first()[0]) < least:
+        raise DatasetError(f"{found} sessions, where the partitions need {least}")
     over = strategy.overfitting_probability(strategy.cscv(returns, cscv_groups, periods)).first()
     deflated = strategy.deflated_statistic(returns, candidates).first()
     paths_found = strategy.combinatorial_selection(returns, cpcv.n_groups, cpcv.n_test_groups, cpcv.embargo, periods)

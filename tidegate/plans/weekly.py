@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.model import CombinatorialCV, Minimums, PurgedKFold, WalkForward
+from tidegate.model import CombinatorialCV, Minimums, PurgedKFold, WalkForward, data_digest
 from tidegate.operators import evaluate, metrics, panel, splits
-from tidegate.plans.benchmarks import channel_benchmark
-from tidegate.operators.paths import paths
+from tidegate.plans.benchmarks import channel_benchmark, channel_folds, effectiveness
+from tidegate.operators.paths import path_table, paths
 from tidegate.session import kept
 
 LOOKBACK, HORIZON = 4, 2
@@ -252,6 +252,43 @@ def four_channel_benchmark(spark, sf_dir):
     return found.select("channel", F.round("mse", 8).alias("mse"), "n", "overlap")
 
 
+def six_channel_benchmark(spark, sf_dir):
+    """Two ridge penalties over two unsafe and four safe ways to split, with what each removed and kept."""
+    data, axis = modelled(spark, sf_dir)
+    found = channel_benchmark(data, channel_folds(data, axis, KFOLD, CPCV, WALK, embargo=KFOLD.embargo), ["ret"], (1.0, 100.0))
+    return found.withColumn("mse", F.round("mse", 8))
+
+
+def effectiveness_comparison(spark, sf_dir):
+    """Three channels scored on their own samples and on those that walk-forward scored, path by path."""
+    data, axis = modelled(spark, sf_dir)
+    return _rounded(effectiveness(data, axis, KFOLD, CPCV, WALK, ["ret"], periods=PERIODS), "mse", "ic", "sharpe")
+
+
+def _mean_absolute(target, prediction):
+    return abs(target - prediction).mean()
+
+
+def _evaluated(spark, sf_dir) -> evaluate.Evaluation:
+    data, axis = modelled(spark, sf_dir)
+    judge = evaluate.Evaluator(CPCV, evaluate.Ridge(1.0), ("ret",), {"mse": metrics.mse(), "mae": _mean_absolute}, channel="cpcv-robustness")
+    return judge.evaluate(data, axis, data_digest(data))
+
+
+def evaluation_ledger(spark, sf_dir):
+    rows = _evaluated(spark, sf_dir).ledger
+    return rows.select("sample_id", "session", "asset_id", "fold_index", "combination_index", "group_index", "path_index", "evidence_channel", F.round(F.col("prediction") + 0.0, 6).alias("prediction"))
+
+
+def evaluation_scores(spark, sf_dir):
+    """A built-in measure and a user's function, overall, by fold and by path."""
+    return _evaluated(spark, sf_dir).scores.withColumn("value", F.round("value", 8))
+
+
+def evaluation_coverage(spark, sf_dir):
+    return _evaluated(spark, sf_dir).coverage
+
+
 def optimism_gap(spark, sf_dir):
     """How much smaller the error of each unsafe channel looks than that of its safe counterpart."""
     found = four_channel_benchmark(spark, sf_dir).agg(*[F.max(F.when(F.col("channel") == c, F.col("mse"))).alias(n) for c, n in (("unsafe-shuffled-kfold", "a"), ("purged-kfold", "b"), ("chronological-no-purge", "c"), ("causal-walk-forward", "d"))])
@@ -318,6 +355,7 @@ OVERLAP = """ SELECT fold, count(*) FILTER (role = 'candidate' AND EXISTS (SELEC
 def _decided(which: str, rows: str = ALL) -> str:
     at = {
         "kfold": _kfold_sql() + _decided_sql(embargo=KFOLD.embargo),
+        "plain": _kfold_sql() + _decided_sql(),
         "cpcv": _cpcv_sql() + _decided_sql(embargo=CPCV.embargo),
         "walk": _walk_sql(WALK) + _decided_sql(gap=WALK.gap, causal=True),
         "sliding": _walk_sql(SLIDING) + _decided_sql(gap=SLIDING.gap, causal=True),
@@ -363,6 +401,40 @@ def _four_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _six_sql() -> str:
+    parts = []
+    for name, which in (
+        ("unsafe-shuffled-kfold", "shuffled"), ("chronological-no-purge", "chronological"), ("purged-kfold", "plain"), ("purged-kfold-embargo", "kfold"), ("cpcv", "cpcv"), ("causal-walk-forward", "walk"),
+    ):
+        body = _decided(which, MODELLED) + _ridge_sql(1.0, "1") + _ridge_sql(100.0, "100")
+        shape = f"""(SELECT sum(overlap)::BIGINT FROM ({OVERLAP})) AS overlap, (SELECT count(*) FROM d WHERE reason = 'purge-overlap') AS purged, (SELECT count(*) FROM d WHERE reason = 'embargo') AS embargoed,
+          (SELECT min(n) FROM (SELECT count(*) AS n FROM d WHERE role = 'candidate' AND reason IS NULL GROUP BY fold)) AS retained_min"""
+        both = " UNION ALL ".join(f"SELECT '{name}' AS channel, {a}.0::DOUBLE AS alpha, round({MSE}, 8) AS mse, count(*) AS n, {shape} FROM r{a}" for a in (1, 100))
+        parts.append(f"(SELECT * FROM ({body} {both}))")
+    return " UNION ALL ".join(parts)
+
+
+PATHS_SQL = f"(VALUES {', '.join(map(str, path_table(CPCV.choices, CPCV.n_groups)))}) pt(fold, g, path)"
+
+
+def _effectiveness_sql() -> str:
+    columns, parts = "asset, session, target, prediction", []
+    for name, which, path in (("causal-walk-forward", "walk", "0"), ("model-selection", "kfold", "0"), ("cpcv-robustness", "cpcv", "pt.path")):
+        source = f"r1 JOIN {PATHS_SQL} ON r1.fold = pt.fold AND r1.g = pt.g" if which == "cpcv" else "r1"
+        parts.append(f"(SELECT * FROM ({_decided(which, MODELLED)}{_ridge_sql(1.0, '1')} SELECT '{name}' AS channel, {path}::BIGINT AS path, {columns} FROM {source}))")
+    return f"""WITH led AS ({" UNION ALL ".join(parts)}), vw AS (SELECT 'native' AS view, * FROM led UNION ALL SELECT 'common', * FROM led WHERE (asset, session) IN (SELECT (asset, session) FROM led WHERE channel = 'causal-walk-forward')){_financial_sql("channel, view, path", "vw")}
+      SELECT channel, view, path, n, round(mse + 0.0, 6) AS mse, round(ic + 0.0, 6) AS ic, round(sharpe + 0.0, 6) AS sharpe FROM fm"""
+
+
+EVALUATED = _decided("cpcv", MODELLED) + _ridge_sql(1.0, "1") + f", led AS (SELECT r1.*, pt.path FROM r1 JOIN {PATHS_SQL} ON r1.fold = pt.fold AND r1.g = pt.g)"
+
+
+def _scores_sql() -> str:
+    measures = (("mse", MSE), ("mae", "avg(abs(target - prediction))"))
+    scopes = (("overall", "-1"), ("fold", "fold"), ("path", "path"))
+    return EVALUATED + " UNION ALL ".join(f" SELECT '{m}' AS metric, '{s}' AS scope, {k}::BIGINT AS key, round({e}, 8) AS value, count(*) AS n FROM led GROUP BY 1, 2, 3" for m, e in measures for s, k in scopes)
+
+
 HELD = ", h AS (SELECT session FROM (SELECT DISTINCT session FROM s) ORDER BY session DESC LIMIT 40), b AS (SELECT min(info_start) AS start, min(session) AS first_holdout FROM s WHERE session IN (SELECT session FROM h))"
 
 SQL = {
@@ -411,6 +483,11 @@ SQL = {
     + " SELECT a.regime AS regime_a, b.regime AS regime_b, round(CASE WHEN bool_and(a.k = b.k) THEN 1.0 ELSE coalesce(covar_pop(a.k, b.k) / nullif(stddev_pop(a.k) * stddev_pop(b.k), 0), 0.0) END + 0.0, 6) AS correlation FROM rk a JOIN rk b ON a.model = b.model AND a.regime < b.regime GROUP BY 1, 2",
     "model_summary": _models_sql() + " SELECT model, median(k) AS median_rank, max(k) AS worst_rank, count(*) FILTER (k = 1) AS first_places FROM rk GROUP BY model",
     "four_channel_benchmark": _four_sql(),
+    "six_channel_benchmark": _six_sql(),
+    "effectiveness_comparison": _effectiveness_sql(),
+    "evaluation_ledger": EVALUATED + " SELECT session::VARCHAR || '::' || asset AS sample_id, session, asset AS asset_id, fold AS fold_index, fold AS combination_index, g AS group_index, path::BIGINT AS path_index, 'cpcv-robustness' AS evidence_channel, round(prediction + 0.0, 6) AS prediction FROM led",
+    "evaluation_scores": _scores_sql(),
+    "evaluation_coverage": EVALUATED + f" SELECT count(DISTINCT (asset, session)) / (SELECT count(*) FROM s) AS sample_coverage, count(DISTINCT fold) / {len(CPCV.choices)}.0::DOUBLE AS fold_coverage FROM led",
     "optimism_gap": f"WITH q AS ({_four_sql()}) SELECT round((SELECT mse FROM q WHERE channel = 'purged-kfold') - (SELECT mse FROM q WHERE channel = 'unsafe-shuffled-kfold'), 7) AS shuffled_gap, round((SELECT mse FROM q WHERE channel = 'causal-walk-forward') - (SELECT mse FROM q WHERE channel = 'chronological-no-purge'), 7) AS chronological_gap",
 }
 
@@ -420,5 +497,6 @@ DATES = {
     "holdout_boundary": ("first_holdout", "holdout_information", "last_development", "development_information"),
     "ridge1_predictions": ("session",),
     "session_spearman_ic": ("session",),
+    "evaluation_ledger": ("session",),
 }
 QUERIES = {n: f for n, f in globals().items() if n in {*SQL, "cpcv_paths"}}
