@@ -31,7 +31,8 @@ def _query(spark, args) -> dict:
 
     if args.name not in queries():
         raise RequestError("no such query")
-    return {"rows": [json.loads(r) for r in queries()[args.name](spark, args.data).limit(args.rows).toJSON().collect()]}
+    found = [json.loads(r) for r in queries()[args.name](spark, args.data).limit(args.rows + 1).toJSON().collect()]
+    return {"rows": found[: args.rows], "more_rows": len(found) > args.rows}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -44,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
     query = actions.add_parser("query", help="a registered query on a folder of tables")
     query.add_argument("name")
     query.add_argument("data")
-    query.add_argument("--rows", type=int, default=100)
+    query.add_argument("--rows", type=int, default=100, help="rows to print; more_rows says whether there are others")
     query.set_defaults(run=_query)
     args = parser.parse_args(argv)
     try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,8 @@ class PITSnapshot:
 
 @dataclass(frozen=True)
 class FeatureDefinition:
+    """A feature as manifests describe it: the names below are fixed values, the keys of their JSON."""
+
     name: str
     source_dataset: str
     source_fields: tuple[str, ...]
@@ -121,6 +124,12 @@ def _late(dataset: DataFrame, missing: Column) -> tuple[int, int, list[int]]:
     return n_missing, n_late, places
 
 
+def require_names(features: Sequence[str], manifest: FeatureManifest) -> None:
+    """Mapped features are the manifest's, by name and in order."""
+    if list(features) != [f.name for f in manifest.features]:
+        raise GovernanceError("mapped features differ from the manifest's in name or order")
+
+
 def govern(dataset: DataFrame, manifest: FeatureManifest, snapshot: PITSnapshot | None) -> dict[str, object]:
     """The governance receipt of a dataset, or an error that names the rule that fails."""
     require_point_in_time(dataset, snapshot)

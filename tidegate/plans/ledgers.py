@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from tidegate.model import digest
 from tidegate.operators import forward, governance, panel, rolls, splits
 from tidegate.plans.tracks import dense_panel
-from tidegate.plans.weekly import read
-from tidegate.session import kept
+from tidegate.plans.weekly import BASE, MODELLED, modelled, read
+from tidegate.session import kept, shared_path
+from tidegate.sources.files import Limits, read_upload
+from tidegate.sources.upload import load_upload
 from tidegate.streaming.forward import settle_stream
 
 FORWARD_START = "2024-01-03"
@@ -82,6 +86,44 @@ def bounded_projection_scan(spark, sf_dir):
     return rows.groupBy("l_returnflag").agg(F.count("*").alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+def csv_bounded_scan(spark, sf_dir):
+    """Two of the orders' columns, out of a CSV copy of the table: header checked first, others never parsed into rows."""
+    path = shared_path(spark, "orders") + ".csv"
+    orders = read(spark, sf_dir, "orders")
+    orders.select("o_orderkey", "o_orderpriority", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate")).write.option("header", True).csv(path)
+    limits = Limits(rows=2**31 - 2, file_bytes=2**50)  # a table of the engine's own, not a stranger's file
+    rows = read_upload(spark, path, StructType([StructField("o_orderpriority", StringType()), StructField("o_totalprice", DoubleType())]), limits)
+    return rows.groupBy("o_orderpriority").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+def governed_upload(spark, sf_dir):
+    """The weekly samples as an upload: a CSV file, its manifest and its mapping; the receipt and what the dataset holds."""
+    data, axis = modelled(spark, sf_dir)
+    known = F.col("session").cast("timestamp_ntz")
+    stamped = data.select(
+        F.concat_ws("::", "asset", "session").alias("id"), "asset", known.alias("session"), F.col("info_start").cast("timestamp_ntz").alias("info_start"), F.col("info_end").cast("timestamp_ntz").alias("info_end"),
+        known.alias("decided"), "target", "ret", "price", known.alias("ret_known"), known.alias("price_known"),
+    )
+    path = shared_path(spark, "samples") + ".csv"
+    stamped.repartitionByRange("session").sortWithinPartitions("session", "asset").write.option("header", True).csv(path)
+    bundle = digest("lineitem")
+    feature = {
+        "source_dataset": "lineitem", "source_fields": ["l_extendedprice"], "source_digest": bundle, "transformation_version": "1", "code_digest": digest("weekly panel"), "parameters": {},
+        "computation_scope": "precomputed-stateless", "revision_policy": "point-in-time", "uses_target": False,
+    }
+    manifest = {"schema_version": "1", "source_bundle_digest": bundle, "features": [feature | {"name": "ret", "transformation": "change of a week", "lookback_sessions": 2}, feature | {"name": "price", "transformation": "mean", "lookback_sessions": 1}]}
+    mapping = {
+        "schema_version": "1", "sample_id_column": "id", "session_column": "session", "asset_id_column": "asset", "interval_start_column": "info_start", "interval_end_column": "info_end",
+        "decision_time_column": "decided", "target_column": "target", "feature_columns": ["ret", "price"], "availability_columns": ["ret_known", "price_known"],
+        "session_axis": [str(r[0]) for r in axis.orderBy("axis_pos").select("session").collect()],  # a row for each week
+        "pit_snapshot": {"snapshot_id": "weekly", "source_digest": bundle, "revision_policy": "point-in-time"},
+    }
+    found = load_upload(spark, path, manifest, mapping)
+    said = [F.lit(found.receipt[n]).cast("long").alias(n) for n in ("observations", "features", "availability_cells", "max_lookback_sessions")]
+    held = found.dataset.agg(F.count_distinct("asset").alias("assets"), F.min("axis_pos").alias("first_pos"), F.max("axis_pos").alias("last_pos"), F.round(F.sum("target"), 6).alias("target_sum"))
+    return held.select(*said, "assets", "first_pos", "last_pos", "target_sum")
+
+
 def _ledger(spark, sf_dir):
     """Each user's k-th view is a prediction, settled by the user's k-th purchase; both as tables."""
     events = read(spark, sf_dir, "events").where("event_type in ('view', 'purchase')").withColumn("k", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")))
@@ -143,6 +185,8 @@ SQL = {
       SELECT asset, count(*) AS rows, count(*) FILTER (changed) AS transitions, count(*) FILTER (eligible) AS eligible, count(*) FILTER (eligible AND lc) AS label_cross, count(*) FILTER (eligible AND ic) AS interval_cross FROM f GROUP BY 1""",
     "trailing_window_scan": "WITH m AS (SELECT max(o_orderdate) AS last FROM orders) SELECT year(o_orderdate) AS year, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders, m WHERE o_orderdate >= last - INTERVAL 36 MONTH AND o_orderdate <= last GROUP BY 1",
     "bounded_projection_scan": "SELECT l_returnflag, count(*) AS lines, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1",
+    "csv_bounded_scan": "SELECT o_orderpriority, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
+    "governed_upload": f"WITH {BASE}{MODELLED} SELECT count(*) AS observations, 2::BIGINT AS features, 2 * count(*) AS availability_cells, 2::BIGINT AS max_lookback_sessions, count(DISTINCT asset) AS assets, min(pos) AS first_pos, max(pos) AS last_pos, round(sum(target), 6) AS target_sum FROM s",
     "forward_settled_pairs": f"WITH {LEDGER_SQL} SELECT sample_id, prediction_digest, decision_session, prediction, target FROM pr",
     "forward_stream_join": f"WITH {LEDGER_SQL} SELECT sample_id, v.prediction_digest, decision_session, prediction, b.target, CASE WHEN settled_at >= label_available_at AND settled_at > recorded_at THEN 'settled' ELSE 'settled-early' END AS outcome FROM v JOIN b ON v.prediction_digest = b.prediction_digest",
     "forward_integrity": f"""WITH {LEDGER_SQL} SELECT 'before-forward-start' AS rule, count(*) AS violations FROM v WHERE decision_session < DATE '{FORWARD_START}' HAVING count(*) > 0

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidegate.errors import LimitError, RequestError, SourceError
+from tidegate.session import kept
 
 
 @dataclass(frozen=True)
@@ -52,34 +53,56 @@ def _named(columns: list[str], schema: StructType, limits: Limits) -> None:
         raise SourceError(f"{len(missing)} declared columns are missing")
 
 
-def read_upload(spark: SparkSession, path: str, schema: StructType, limits: Limits = Limits()) -> DataFrame:
-    """The declared columns of a CSV or Parquet file on the driver's disk, within the limits."""
-    file = Path(path)
-    if not file.is_file():
+def _bytes(spark: SparkSession, path: str) -> int:
+    """Size of a file, or of a folder of part files, on any file system that Spark knows."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
         raise SourceError("no such file")
-    if file.stat().st_size > limits.file_bytes:
-        raise LimitError("the file is too large")
-    names = [f.name for f in schema]
-    if file.suffix == ".csv":
-        with file.open(newline="", encoding="utf-8") as lines:
-            header = next(csv.reader(lines), [])
-        _named(header, schema, limits)
-        kinds = {f.name: f.dataType.simpleString() for f in schema}
-        whole = ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in header)
-        rows = spark.read.schema(whole).option("header", True).option("mode", "FAILFAST").csv(str(file)).select(*[f"`{n}`" for n in names])
-    elif file.suffix == ".parquet":
+    return int(files.getContentSummary(place).getLength())
+
+
+def _csv(spark: SparkSession, path: str, schema: StructType, limits: Limits) -> DataFrame:
+    """The declared columns of a CSV file, parsed once into a table whose rows are then counted."""
+    first = spark.read.text(path).limit(1).collect()
+    header = next(csv.reader([first[0][0]]), []) if first else []
+    _named(header, schema, limits)
+    kinds = {f.name: f.dataType.simpleString() for f in schema}
+    whole = ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in header)
+    rows = spark.read.schema(whole).option("header", True).option("mode", "FAILFAST").csv(path)
+    table = kept(rows.select(*[f"`{f.name}`" for f in schema]), "upload")  # the file's size is bounded already
+    if table.count() > limits.rows:
+        raise LimitError("too many rows")
+    return table
+
+
+def _parquet(spark: SparkSession, path: str, schema: StructType, limits: Limits) -> DataFrame:
+    """The declared columns of a Parquet file; names and sizes come from footers, before any row is read.
+
+    The uncompressed size is known where the driver can open the file itself; elsewhere rows and names are checked.
+    """
+    rows = spark.read.parquet(path)
+    _named(rows.columns, schema, limits)
+    if Path(path).is_file():
         import pyarrow.parquet as pq
 
-        footer = pq.ParquetFile(file).metadata
-        _named(list(footer.schema.to_arrow_schema().names), schema, limits)
-        if footer.num_rows > limits.rows or sum(footer.row_group(i).total_byte_size for i in range(footer.num_row_groups)) > limits.uncompressed_bytes:
+        footer = pq.ParquetFile(path).metadata
+        if sum(footer.row_group(i).total_byte_size for i in range(footer.num_row_groups)) > limits.uncompressed_bytes:
             raise LimitError("the table is too large")
-        rows = spark.read.parquet(str(file)).select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema])
-    else:
+    if rows.count() > limits.rows:  # from footers
+        raise LimitError("the table is too large")
+    return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+
+
+def read_upload(spark: SparkSession, path: str, schema: StructType, limits: Limits = Limits(), with_size: bool = False) -> DataFrame | tuple[DataFrame, int]:
+    """The declared columns of a CSV or Parquet file within the limits, and with `with_size` the file's bytes."""
+    size, kind = _bytes(spark, path), Path(path).suffix
+    if size > limits.file_bytes:
+        raise LimitError("the file is too large")
+    if kind not in (".csv", ".parquet"):
         raise SourceError("only .csv and .parquet files are read")
-    if rows.limit(limits.rows + 1).count() > limits.rows:
-        raise LimitError("too many rows")
-    return rows
+    rows = (_csv if kind == ".csv" else _parquet)(spark, path, schema, limits)
+    return (rows, size) if with_size else rows
 
 
 def daily_directory(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
