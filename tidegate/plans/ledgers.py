@@ -156,7 +156,7 @@ def forward_report(spark, sf_dir):
 def forward_stream_join(spark, sf_dir):
     """What becomes of every settlement whose prediction exists, from two streams over the ledger's tables."""
     found = settle_stream(spark, *_ledger(spark, sf_dir)).where("outcome in ('settled', 'settled-early')")
-    return found.select("sample_id", "prediction_digest", "decision_session", "prediction", "target", "outcome")
+    return found.select(F.col("sample_id").cast("long").alias("sample_id"), "prediction_digest", "decision_session", "prediction", "target", "outcome")
 
 
 LEDGER_SQL = """
