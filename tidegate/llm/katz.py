@@ -34,12 +34,12 @@ def discounts(ranks: np.ndarray) -> np.ndarray:
     """Factor for counts 0 to GOOD_TURING + 1 (the last is for all larger ones), from counts of counts n_1, n_2, ...
 
     Where Good-Turing's factor for a count is not between 0 and 1, as on small or repetitive corpora, absolute
-    discounting by n_1 / (n_1 + 2 n_2) stands in for that count.
+    discounting by n_1 / (n_1 + 2 n_2), or by a half where no count is two, stands in for that count.
     """
     n = np.r_[0.0, np.asarray(ranks, float)]
     k = GOOD_TURING
     out = np.ones(k + 2)
-    absolute = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
+    absolute = (n[1] / (n[1] + 2 * n[2]) if n[2] else 0.5) if n[1] else 0.0
     common = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
     for r in range(1, k + 1):
         factor = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common < 1 else 0.0
