@@ -35,6 +35,28 @@ def _query(spark, args) -> dict:
     return {"rows": found[: args.rows], "more_rows": len(found) > args.rows}
 
 
+def _forward(spark, args) -> dict:
+    from tidegate.operators.forward import ForwardProtocol
+    from tidegate.sources.forward_store import PREDICTION, SETTLEMENT, ForwardStore, fields
+
+    try:
+        with open(args.protocol, encoding="utf-8") as given:
+            protocol = ForwardProtocol(**json.load(given))
+    except (OSError, TypeError, ValueError) as error:
+        raise RequestError(f"the protocol cannot be read: {type(error).__name__}") from error
+    store = ForwardStore(spark, args.store)
+    found = {}
+    if args.action == "init":
+        found["protocol_digest"] = store.register(protocol)
+    elif args.action in ("record", "settle"):
+        if not args.batch:
+            raise RequestError(f"{args.action} needs --batch")
+        reader = spark.read.schema(fields(PREDICTION if args.action == "record" else SETTLEMENT))
+        batch = reader.parquet(args.batch) if args.batch.endswith(".parquet") else reader.option("mode", "FAILFAST").json(args.batch)
+        found["rows"] = (store.record if args.action == "record" else store.settle)(protocol, batch).count()
+    return {**found, "report": store.report(protocol).first().asDict()}
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidegate")
     actions = parser.add_subparsers(required=True)
@@ -47,6 +69,12 @@ def main(argv: list[str] | None = None) -> int:
     query.add_argument("data")
     query.add_argument("--rows", type=int, default=100, help="rows to print; more_rows says whether there are others")
     query.set_defaults(run=_query)
+    forward = actions.add_parser("forward", help="a forward ledger in a folder")
+    forward.add_argument("action", choices=["init", "record", "settle", "status"])
+    forward.add_argument("--protocol", required=True, help="a JSON file with the fields of ForwardProtocol")
+    forward.add_argument("--store", required=True)
+    forward.add_argument("--batch", help="predictions or settlements, as Parquet or lines of JSON")
+    forward.set_defaults(run=_forward)
     args = parser.parse_args(argv)
     try:
         found = {"status": "ok", **args.run(session(), args)}

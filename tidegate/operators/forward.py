@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,18 @@ class ForwardProtocol:
     minimum_settled: int = 1
     minimum_sessions: int = 1
     minimum_ic: float = 0.0
+    minimum_assets: int = 1
+    require_mse: bool = True
+    development_end: str | None = None
+    model_digest: str | None = None
+    dataset_digest: str | None = None
+
+    def __post_init__(self) -> None:
+        start = date.fromisoformat(self.forward_start)
+        if self.development_end is not None and start <= date.fromisoformat(self.development_end):
+            raise LedgerError("forward_start must be after development_end")
+        if not self.protocol_id or min(self.minimum_settled, self.minimum_sessions, self.minimum_assets) < 1 or not -1 <= self.minimum_ic <= 1:
+            raise LedgerError("a protocol needs an id, minimums of at least 1 and minimum_ic between -1 and 1")
 
 
 def prediction_digest(*columns: str) -> Column:
@@ -65,18 +78,28 @@ def require_integrity(predictions: DataFrame, settlements: DataFrame, forward_st
 
 
 def report(predictions: DataFrame, settlements: DataFrame, protocol: ForwardProtocol) -> DataFrame:
-    """One row: predictions, settled, sessions, mse, zero_mse, mean_ic and status."""
+    """One row: predictions, settled, sessions, mse, zero_mse, mean_ic and status; also assets, where predictions name them.
+
+    A mean squared error equal to that of forecasting zero is not worse than it; without any session that has a rank
+    correlation the evidence fails.
+    """
     pairs = settled_pairs(predictions, settlements).withColumnRenamed("decision_session", "session")
     made = predictions.agg(F.count("*").alias("predictions"))
+    named = "asset" in predictions.columns
     done = pairs.agg(
         F.count("*").alias("settled"),
         F.count_distinct("session").alias("sessions"),
+        *([F.count_distinct("asset").alias("assets")] if named else []),
         F.avg((F.col("target") - F.col("prediction")) * (F.col("target") - F.col("prediction"))).alias("mse"),
         F.avg(F.col("target") * F.col("target")).alias("zero_mse"),
     )
     ic = session_ic(pairs.withColumn("all", F.lit(1)), ["all"], least=2).agg(F.avg("ic").alias("mean_ic"))
-    row = made.join(F.broadcast(done)).join(F.broadcast(ic))
+    row = made.join(F.broadcast(done)).join(F.broadcast(ic))  # one row each
     enough = (F.col("settled") >= protocol.minimum_settled) & (F.col("sessions") >= protocol.minimum_sessions)
-    good = (F.col("mse") < F.col("zero_mse")) & (F.coalesce("mean_ic", F.lit(0.0)) >= protocol.minimum_ic)
+    if named:
+        enough &= F.col("assets") >= protocol.minimum_assets
+    good = F.coalesce(F.col("mean_ic") >= protocol.minimum_ic, F.lit(False))
+    if protocol.require_mse:
+        good &= F.col("mse") <= F.col("zero_mse")
     status = F.when(F.col("predictions") == 0, "WAITING_FOR_FUTURE_DATA").when(~enough, "COLLECTING").when(good, "READY_FOR_REVIEW").otherwise("FAIL")
     return row.withColumn("status", status)

@@ -195,7 +195,7 @@ SQL = {
     "forward_report": f"""WITH {LEDGER_SQL}, rk AS (SELECT *, rank() OVER (PARTITION BY decision_session ORDER BY target) + (count(*) OVER (PARTITION BY decision_session, target) - 1) / 2.0 AS rt, rank() OVER (PARTITION BY decision_session ORDER BY prediction) + (count(*) OVER (PARTITION BY decision_session, prediction) - 1) / 2.0 AS rp FROM pr),
       ic AS (SELECT avg(ic) AS ic FROM (SELECT count(*) AS n, covar_pop(rt, rp) / nullif(stddev_pop(rt) * stddev_pop(rp), 0) AS ic FROM rk GROUP BY decision_session) WHERE n >= 2 AND ic IS NOT NULL),
       a AS (SELECT (SELECT count(*) FROM v) AS predictions, count(*) AS settled, count(DISTINCT decision_session) AS sessions, avg((target - prediction) * (target - prediction)) AS mse, avg(target * target) AS zero_mse FROM pr)
-      SELECT predictions, settled, sessions, round(mse, 6) AS mse, round(zero_mse, 6) AS zero_mse, round(ic + 0.0, 6) AS mean_ic, CASE WHEN predictions = 0 THEN 'WAITING_FOR_FUTURE_DATA' WHEN settled < 50 OR sessions < 3 THEN 'COLLECTING' WHEN mse < zero_mse AND coalesce(ic, 0) >= 0 THEN 'READY_FOR_REVIEW' ELSE 'FAIL' END AS status FROM a, ic""",
+      SELECT predictions, settled, sessions, round(mse, 6) AS mse, round(zero_mse, 6) AS zero_mse, round(ic + 0.0, 6) AS mean_ic, CASE WHEN predictions = 0 THEN 'WAITING_FOR_FUTURE_DATA' WHEN settled < 50 OR sessions < 3 THEN 'COLLECTING' WHEN mse <= zero_mse AND ic >= 0 THEN 'READY_FOR_REVIEW' ELSE 'FAIL' END AS status FROM a, ic""",
 }
 DATES = {
     "duplicate_asset_sessions": ("session",),
