@@ -141,7 +141,14 @@ def within_limit(rows: DataFrame, *keys: str) -> None:
 
 
 def predict(assigned: DataFrame, features: list[str], model: Mean | Ridge | Callable[[], Estimator], transformers: tuple[Callable[[], Transformer], ...] = (), keys: tuple[str, ...] = ("asset", "session")) -> DataFrame:
-    """(fold, *keys, target, prediction) of all test rows: built-in models as aggregates, others by `fit_predict`."""
+    """(fold, *keys, target, prediction) of all test rows: built-in models as aggregates, others by `fit_predict`.
+
+    A model that predicts from frames itself, as `families.BoostedTrees` does, is asked to.
+    """
+    if not isinstance(model, type) and hasattr(model, "predict"):
+        if transformers:
+            raise EvaluationError("this model takes features as they are; transform them beforehand or pass an estimator")
+        return model.predict(assigned, features).select("fold", *keys, "target", "prediction")
     if isinstance(model, Mean | Ridge) and not transformers:
         found = mean_predictions(assigned) if isinstance(model, Mean) else ridge_predictions(assigned, features, model.alpha)
         return found.select("fold", *keys, "target", "prediction")
