@@ -33,11 +33,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it again, so that later jobs start from the table.
 
     Tables stay until their reader has been used up, which only the caller knows; a cluster clears the folder of an
-    application when it ends.
+    application when it ends. Spark deletes the shuffle files of a finished job only when the driver's garbage collector
+    finds them unused, which on a large heap may take hours; it is asked to look here, as the table stands in for them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
