@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import encoding, jaccard, katz, mixing, packing, pii, quality_model, quality_rules, substrings, token_counts, topk
+from tidegate.llm import encoding, hard_negatives, jaccard, katz, mixing, packing, pii, quality_model, quality_rules, substrings, token_counts, topk
 from tidegate.llm.common import table
 
 
@@ -58,13 +58,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(table(spark, sf_dir, "documents"), encoding.vocabulary()))
 
 
+def op11_bond_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.labelled_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", scale=256)
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0, positives=5, negatives=10, least=30, most=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op")}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_signature_tree_join": JOIN_SQL, "op5_source_mixing": MIXING_SQL, "op6_superkmer_dedup": WINDOWS_SQL, "op7_threshold_topk": TOPK_SQL}
+    return {"op3_signature_tree_join": JOIN_SQL, "op5_source_mixing": MIXING_SQL, "op6_superkmer_dedup": WINDOWS_SQL, "op7_threshold_topk": TOPK_SQL, "op11_bond_hard_negatives": NEGATIVES_SQL}
 
 
 #: All pairs that share a shingle, by their numbers of shared ones; components by following links.
@@ -121,3 +127,17 @@ s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)
 r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+#: Anchors against all rows; the windows of the five positives against the scores of other labels.
+NEGATIVES_SQL = """
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.row, a.vec_id AS anchor_id, c.row AS other, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+      FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.row <> c.row),
+p AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+n AS (SELECT p.row, p.place, p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.row, p.place ORDER BY s.score DESC, s.vec_id)::INT AS rank
+      FROM p JOIN s ON p.row = s.row AND p.place <= 5 AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
