@@ -49,7 +49,7 @@ def test_clusters_prune(monkeypatch):
 
 
 def test_edges(spark):
-    rows = [(0, 1, [0.5, -0.5]), (1, 1, None), (2, None, [0.5, 0.5]), (3, 1, [1.0, None]), (4, 1, [0.5, -0.5]), (5, 2, [float("inf"), 0.0]), (6, 2, [0.25, -0.25]), (None, 2, [1.0, 1.0]), (7, 2, []), (8, 2, [0.25])]
+    rows = [(0, 1, [0.5, -0.5]), (1, 1, None), (2, None, [0.5, 0.5]), (3, 1, [1.0, None]), (4, 1, [0.5, -0.5]), (5, 2, [float("inf"), 0.0]), (6, 2, [0.25, -0.25]), (None, 2, [1.0, 1.0]), (7, 2, []), (8, 2, [0.5])]
     vectors = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, label int, embedding array<double>, row int, block int, asks int")
     usable = hard_negatives.labelled_vectors(vectors, "vec_id", "embedding", "label", 256)
     found = [tuple(r) for r in hard_negatives.mine(usable, F.col("vec_id") % 100 == 0).collect()]
