@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import encoding, hard_negatives, jaccard, katz, mixing, packing, pii, quality_model, quality_rules, simhash, substrings, token_counts, topk
+from tidegate.llm import alignment, encoding, hard_negatives, jaccard, katz, mixing, packing, pii, quality_model, quality_rules, simhash, substrings, token_counts, topk
 from tidegate.llm.common import table
 
 
@@ -68,6 +68,10 @@ def op12_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op13_arrow_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), encoding.vocabulary(), encoding.vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op")}
     return dict(sorted(found.items(), key=lambda item: int(item[0][2:].split("_")[0])))
