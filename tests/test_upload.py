@@ -83,7 +83,7 @@ class EveryThird:
 def test_user_splitter_and_measure(spark, sf_dir, monkeypatch):
     data, axis = weekly.modelled(spark, sf_dir)
     worst = lambda y, p: float(np.max(np.abs(y - p)))
-    found = evaluate.Evaluator(EveryThird(), evaluate.Mean(), ("ret",), {"worst": worst}).evaluate(data, axis, "d")
+    found = evaluate.Evaluator(evaluate.Named(EveryThird(), "every-third", "1"), evaluate.Mean(), ("ret",), {"worst": evaluate.Named(worst, "worst", "1")}).evaluate(data, axis, "d")
     assert found.coverage.first().asDict() == {"sample_coverage": 1.0, "fold_coverage": 1.0}
     value = {r["scope"]: r["value"] for r in found.scores.where("scope = 'overall'").collect()}
     assert value["overall"] == found.ledger.agg(F.max(F.abs(F.col("target") - F.col("prediction")))).first()[0]

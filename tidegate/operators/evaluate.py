@@ -1,15 +1,15 @@
 """Fold-local models and the out-of-sample ledger.
 
 Built-in models are aggregates: a fold's ridge needs the sums of its features' products only, so a row for
-each fold is solved and joined back. Any other estimator runs inside a
-grouped function, one fold at a time.
+each fold is solved and joined back. Steps of `mergeable` learn from partial states, so their folds have any size, too.
+Any other estimator runs inside a grouped function, one fold at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-from typing import Protocol
+from dataclasses import asdict, dataclass, field, is_dataclass
+from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidegate.errors import EvaluationError
 from tidegate.functions.risk import mse
 from tidegate.model import CombinatorialCV, digest
-from tidegate.operators import governance, metrics, splits
+from tidegate.operators import governance, mergeable, metrics, splits
 from tidegate.operators.paths import paths
 from tidegate.session import kept
 
@@ -39,6 +39,44 @@ class Ridge:
     alpha: float = 1.0
 
 
+@dataclass(frozen=True)
+class Named:
+    """A user's factory, function or splitter with the identity that evidence about it carries."""
+
+    made: Any
+    name: str
+    version: str
+    parameters: dict[str, Any] = field(default_factory=dict)
+
+    def __call__(self, *args: Any) -> Any:
+        return self.made(*args)
+
+    def plan(self, dataset: DataFrame, axis: DataFrame) -> DataFrame:
+        return self.made.plan(dataset, axis)
+
+    @property
+    def minimums(self) -> object:
+        return getattr(self.made, "minimums", None)
+
+
+def identity(thing: object) -> str:
+    """A digest that is the same in every process: of a specification's fields, a column's text, or a stated name and version.
+
+    What states none of these is refused, as its default text would hold a memory address.
+    """
+    if isinstance(thing, Named):
+        stated = {"name": thing.name, "version": thing.version, "parameters": thing.parameters}
+    elif isinstance(thing, Column):
+        stated = {"column": str(thing)}
+    elif is_dataclass(thing) and not isinstance(thing, type):
+        stated = {"type": type(thing).__qualname__, "version": getattr(thing, "version", "1"), "fields": asdict(thing)}
+    else:
+        stated = {"name": getattr(thing, "name", None), "version": getattr(thing, "version", None), "parameters": getattr(thing, "parameters", {})}
+    if not all(isinstance(stated.get(k, ""), str) and (k not in stated or stated[k]) for k in ("name", "version")):
+        raise EvaluationError(f"a {type(thing).__name__} needs a name and a version; wrap it in Named")
+    return digest(stated)
+
+
 class Estimator(Protocol):
     def fit(self, features: np.ndarray, target: np.ndarray) -> object: ...
 
@@ -204,15 +242,19 @@ def ledger_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy("session", "asset_id", F.coalesce("path_index", F.lit(-1)), F.coalesce("combination_index", F.lit(-1)), "fold_index")
 
 
-def scores(rows: DataFrame, measures: dict[str, Column | Callable[[np.ndarray, np.ndarray], float]]) -> DataFrame:
+def scores(rows: DataFrame, measures: dict[str, Column | mergeable.Measure | Callable[[np.ndarray, np.ndarray], float]]) -> DataFrame:
     """(metric, scope, key, value, n) of a ledger, overall, by fold and, where it has paths, by path.
 
-    A measure is an aggregate column over `target` and `prediction`, or a function of both as arrays. A function
-    needs a group whole, so groups of more than MOST_ROWS rows are refused; a failure of it is an error.
+    A measure is an aggregate column over `target` and `prediction`, a mergeable measure, or a function of both as
+    arrays. Only a function needs a group whole, so groups of more than MOST_ROWS rows are refused; a failure of it is
+    an error.
     """
     scopes = {"overall": F.lit(-1), "fold": F.col("fold_index"), "path": F.col("path_index")}
     out = None
-    for name, measure in measures.items():
+    if merged := {n: m for n, m in measures.items() if isinstance(m, mergeable.Measure)}:
+        keyed = rows.select("target", "prediction", *[k.cast("long").alias(f"_{s}") for s, k in scopes.items()])
+        out = mergeable.measured(keyed, merged, {s: f"_{s}" for s in scopes})
+    for name, measure in ((n, m) for n, m in measures.items() if n not in merged):
         for scope, key in scopes.items():
             keyed = rows.select(key.cast("long").alias("key"), "target", "prediction").where(F.col("key").isNotNull())
             if isinstance(measure, Column):
@@ -249,18 +291,21 @@ class Evaluator:
     """From a dataset to a complete ledger and its scores, or an error: nothing partial is returned."""
 
     splitter: object
-    model: Mean | Ridge | Callable[[], Estimator]
+    model: Mean | Ridge | mergeable.Estimator | Callable[[], Estimator]
     features: tuple[str, ...]
-    measures: dict[str, Column | Callable] = field(default_factory=lambda: {"mse": mse()})
-    transformers: tuple[Callable[[], Transformer], ...] = ()
+    measures: dict[str, Column | mergeable.Measure | Callable] = field(default_factory=lambda: {"mse": mse()})
+    transformers: tuple[mergeable.Transformer | Callable[[], Transformer], ...] = ()
     channel: str = "model-selection"
 
     def evaluate(self, dataset: DataFrame, axis: DataFrame, dataset_digest: str, snapshot: governance.PITSnapshot | None = None) -> Evaluation:
         """`dataset` has asset, session, axis_pos, info_start, info_end, target and the features, one row a sample.
 
         Rows that carry decision and availability times need a point-in-time snapshot. Folds must meet the splitter's
-        minimums, and every path of a combinatorial plan must test every sample once.
+        minimums, and every path of a combinatorial plan must test every sample once. Splitter, model, transformers and
+        measures need an identity, see `identity`. With transformers of `mergeable` the model must be one, or `Ridge`.
         """
+        spec, model, steps = identity(self.splitter), identity(self.model), [identity(t) for t in self.transformers]
+        run_id = digest([dataset_digest, spec, model, {n: identity(m) for n, m in self.measures.items()}, steps, self.channel])
         if "feature_available" in dataset.columns:
             governance.require_point_in_time(dataset, snapshot)
         decided = kept(splits.plan(dataset, axis, self.splitter), "folds")
@@ -269,11 +314,15 @@ class Evaluator:
         combinatorial = isinstance(self.splitter, CombinatorialCV)
         table = paths(dataset.sparkSession, self.splitter.choices, self.splitter.n_groups) if combinatorial else None
         assigned = splits.assignments(dataset, decided)
-        made = predict(assigned, list(self.features), self.model, self.transformers, ("asset", "session", "group"))
-        spec, model = digest(repr(self.splitter)), digest(repr(self.model))
-        run_id = digest([dataset_digest, spec, model, sorted(self.measures), len(self.transformers), self.channel])
-        identity = {"run_id": run_id, "dataset_digest": dataset_digest, "split_spec_digest": spec, "model_digest": model, "evidence_channel": self.channel}
-        rows = kept(ledger(made, table, **identity, pit_snapshot_digest=digest(snapshot) if snapshot else None), "ledger")
+        learner, keys = self.model, ("asset", "session", "group")
+        if isinstance(learner, Ridge) and self.transformers:
+            learner = mergeable.RidgeSums(learner.alpha)
+        if isinstance(learner, mergeable.Estimator):
+            made = mergeable.fit_predict(dataset, decided, assigned, list(self.features), (*self.transformers, learner), keys)
+        else:
+            made = predict(assigned, list(self.features), learner, self.transformers, keys)
+        stated = {"run_id": run_id, "dataset_digest": dataset_digest, "split_spec_digest": spec, "model_digest": model, "evidence_channel": self.channel}
+        rows = kept(ledger(made, table, **stated, transformer_spec_digests=steps, pit_snapshot_digest=digest(snapshot) if snapshot else None), "ledger")
         samples, folds = dataset.count(), decided.agg(F.count_distinct("fold")).first()[0]
         if rows.where(F.col("prediction").isNull() | F.isnan("prediction") | (F.abs("prediction") == float("inf"))).limit(1).count():
             raise EvaluationError("predictions are missing or not finite")

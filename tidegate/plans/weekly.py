@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.model import CombinatorialCV, Minimums, PurgedKFold, WalkForward, data_digest
-from tidegate.operators import evaluate, metrics, panel, splits
+from tidegate.operators import evaluate, mergeable, metrics, panel, splits
 from tidegate.plans.benchmarks import channel_benchmark, channel_folds, effectiveness
 from tidegate.operators.paths import path_table, paths
 from tidegate.session import kept
@@ -271,7 +271,7 @@ def _mean_absolute(target, prediction):
 
 def _evaluated(spark, sf_dir) -> evaluate.Evaluation:
     data, axis = modelled(spark, sf_dir)
-    judge = evaluate.Evaluator(CPCV, evaluate.Ridge(1.0), ("ret",), {"mse": metrics.mse(), "mae": _mean_absolute}, channel="cpcv-robustness")
+    judge = evaluate.Evaluator(CPCV, evaluate.Ridge(1.0), ("ret",), {"mse": metrics.mse(), "mae": evaluate.Named(_mean_absolute, "mean-absolute-error", "1")}, channel="cpcv-robustness")
     return judge.evaluate(data, axis, data_digest(data))
 
 
@@ -289,6 +289,15 @@ def evaluation_coverage(spark, sf_dir):
     return _evaluated(spark, sf_dir).coverage
 
 
+def mergeable_scores(spark, sf_dir):
+    """Returns clipped at quantiles and standardised fold by fold, ridge on them, and three mergeable or column measures."""
+    data, axis = modelled(spark, sf_dir)
+    measures = {"mse": metrics.mse(), "quantile-loss": mergeable.QuantileLoss(0.9), "concordance": mergeable.Concordance()}
+    steps = (mergeable.QuantileClip(0.05, 0.95), mergeable.Standardise())
+    judge = evaluate.Evaluator(KFOLD, evaluate.Ridge(1.0), ("ret",), measures, steps)
+    return judge.evaluate(data, axis, data_digest(data)).scores.withColumn("value", F.round("value", 8))
+
+
 def optimism_gap(spark, sf_dir):
     """How much smaller the error of each unsafe channel looks than that of its safe counterpart."""
     found = four_channel_benchmark(spark, sf_dir).agg(*[F.max(F.when(F.col("channel") == c, F.col("mse"))).alias(n) for c, n in (("unsafe-shuffled-kfold", "a"), ("purged-kfold", "b"), ("chronological-no-purge", "c"), ("causal-walk-forward", "d"))])
@@ -435,6 +444,18 @@ def _scores_sql() -> str:
     return EVALUATED + " UNION ALL ".join(f" SELECT '{m}' AS metric, '{s}' AS scope, {k}::BIGINT AS key, round({e}, 8) AS value, count(*) AS n FROM led GROUP BY 1, 2, 3" for m, e in measures for s, k in scopes)
 
 
+def _mergeable_sql() -> str:
+    clipped = """, qt AS (SELECT fold, quantile_disc(ret, 0.05) AS lo, quantile_disc(ret, 0.95) AS hi FROM d WHERE role = 'candidate' AND reason IS NULL GROUP BY fold),
+    dc AS (SELECT d.* REPLACE (least(greatest(ret, lo), hi) AS ret) FROM d JOIN qt ON d.fold = qt.fold)"""
+    ridge = _ridge_sql(1.0, "1").replace("FROM d ", "FROM dc ").replace("SELECT d.*", "SELECT dc.*").replace("ON d.fold", "ON dc.fold")
+    measures = (
+        ("mse", MSE), ("quantile-loss", "avg(greatest(0.9 * (target - prediction), -0.1 * (target - prediction)))"),
+        ("concordance", "2 * covar_pop(target, prediction) / (var_pop(target) + var_pop(prediction) + (avg(target) - avg(prediction)) * (avg(target) - avg(prediction)))"),
+    )
+    scopes = (("overall", "-1"), ("fold", "fold"))
+    return _decided("kfold", MODELLED) + clipped + ridge + " UNION ALL ".join(f" SELECT '{m}' AS metric, '{s}' AS scope, {k}::BIGINT AS key, round({e}, 8) AS value, count(*) AS n FROM r1 GROUP BY 1, 2, 3" for m, e in measures for s, k in scopes)
+
+
 HELD = ", h AS (SELECT session FROM (SELECT DISTINCT session FROM s) ORDER BY session DESC LIMIT 40), b AS (SELECT min(info_start) AS start, min(session) AS first_holdout FROM s WHERE session IN (SELECT session FROM h))"
 
 SQL = {
@@ -487,6 +508,7 @@ SQL = {
     "effectiveness_comparison": _effectiveness_sql(),
     "evaluation_ledger": EVALUATED + " SELECT session::VARCHAR || '::' || asset AS sample_id, session, asset AS asset_id, fold AS fold_index, fold AS combination_index, g AS group_index, path::BIGINT AS path_index, 'cpcv-robustness' AS evidence_channel, round(prediction + 0.0, 6) AS prediction FROM led",
     "evaluation_scores": _scores_sql(),
+    "mergeable_scores": _mergeable_sql(),
     "evaluation_coverage": EVALUATED + f" SELECT count(DISTINCT (asset, session)) / (SELECT count(*) FROM s) AS sample_coverage, count(DISTINCT fold) / {len(CPCV.choices)}.0::DOUBLE AS fold_coverage FROM led",
     "optimism_gap": f"WITH q AS ({_four_sql()}) SELECT round((SELECT mse FROM q WHERE channel = 'purged-kfold') - (SELECT mse FROM q WHERE channel = 'unsafe-shuffled-kfold'), 7) AS shuffled_gap, round((SELECT mse FROM q WHERE channel = 'causal-walk-forward') - (SELECT mse FROM q WHERE channel = 'chronological-no-purge'), 7) AS chronological_gap",
 }
