@@ -1,4 +1,4 @@
-"""Models by name, boosted trees fitted by Spark, and what happens where a model's library is absent."""
+"""Models by name, boosted trees fitted by Spark ML, and what happens where a model's library is absent."""
 
 from __future__ import annotations
 
@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.errors import EvaluationError
+from tidegate.operators.boosting import LeafwiseTrees
 from tidegate.operators.evaluate import Mean, Ridge
+from tidegate.operators.mergeable import SequenceModel
 from tidegate.session import shared_path
 
 
@@ -49,6 +51,8 @@ class BoostedTrees:
 class LightGBM:
     """An estimator on the library `lightgbm`, one fold in one task; made only where that library is there."""
 
+    name, version = "lightgbm", "1"
+
     def fit(self, features: np.ndarray, target: np.ndarray) -> LightGBM:
         from lightgbm import LGBMRegressor
 
@@ -64,6 +68,8 @@ FAMILIES: dict[str, tuple[object, str | None]] = {
     "mean": (Mean(), None),
     "ridge": (Ridge(), None),
     "boosted-trees": (BoostedTrees(), None),
+    "leafwise-trees": (LeafwiseTrees(), None),
+    "sequence": (SequenceModel(), None),
     "lightgbm": (LightGBM, "lightgbm"),
 }
 

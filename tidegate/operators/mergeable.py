@@ -1,7 +1,7 @@
 """Transformers and estimators that learn from sums of partial states, so that no fold is ever in one task.
 
 A step learns in rounds. In each, tasks turn the rows they hold into one partial state for each fold, states of a fold
-are merged in two levels, and what is merged advances the fold's knowledge, an array of bounded size. A sample is one
+are merged in two levels, and what is merged advances the fold's knowledge, whose size is bounded. A sample is one
 row with the folds that train on it, so it is read once a round for all of them, not copied for each. Later steps see
 rows as earlier ones transform them. Rounds that need a part of the rows only, as mini-batches do, read that part.
 """
@@ -414,7 +414,7 @@ def learn(dataset: DataFrame, decided: DataFrame, features: list[str], steps: tu
                 rows = tables[step.parts] if step.part(turn) is None else tables[step.parts].where(F.col("part") == step.part(turn))
                 states = _round(rows, steps, out.known, {f: known[f] for f in folds if f in known}, folds, len(features), turn)
                 # a small fold may have no rows in a part; it stays as it was
-                known |= {f: np.asarray(step.advance(known.get(f), s, width, turn)) for f, s in states.items()}
+                known |= {f: step.advance(known.get(f), s, width, turn) for f, s in states.items()}
         if isinstance(step, Transformer):
             width = step.transform(next(iter(known.values())), np.zeros((1, width))).shape[1] if known else width
         out.known.append(known)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.errors import DatasetError
 from tidegate.functions.risk import sharpe
 from tidegate.model import CombinatorialCV, PurgedKFold, WalkForward
-from tidegate.operators import evaluate, metrics, splits, strategy
+from tidegate.operators import evaluate, mergeable, metrics, splits, strategy
 from tidegate.operators.paths import paths
 from tidegate.session import kept
 
@@ -33,21 +33,39 @@ def channel_folds(dataset: DataFrame, axis: DataFrame, kfold: PurgedKFold, cpcv:
     return found
 
 
-def channel_benchmark(dataset: DataFrame, folds: dict[str, DataFrame], features: list[str], alphas: tuple[float, ...] = (1.0,)) -> DataFrame:
-    """(channel, alpha, mse, n, overlap, purged, embargoed, retained_min): every channel's folds fitted in one job.
-
-    The decided folds of all channels are one table first: a row for each fold and distinct interval.
-    """
+def _decided(folds: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, Column]:
+    """All channels' decided folds as one table, a row for each fold and distinct interval; their shape; the channel of a fold."""
     names = F.array(*[F.lit(name) for name in folds])
     channel = names[F.floor(F.col("fold") / CHANNEL_FOLDS).cast("int")]
     decided = kept(reduce(DataFrame.unionByName, [d.withColumn("fold", F.col("fold") + k * CHANNEL_FOLDS) for k, d in enumerate(folds.values())]), "channel-folds")
     shape = splits.summary(decided).join(splits.retained_overlap(decided), "fold").groupBy(channel.alias("channel")).agg(
         F.sum("overlap").alias("overlap"), F.sum("purged").alias("purged"), F.sum("embargoed").alias("embargoed"), F.min("retained").alias("retained_min")
     )
+    return decided, shape, channel
+
+
+def channel_benchmark(dataset: DataFrame, folds: dict[str, DataFrame], features: list[str], alphas: tuple[float, ...] = (1.0,)) -> DataFrame:
+    """(channel, alpha, mse, n, overlap, purged, embargoed, retained_min): every channel's folds fitted in one job.
+
+    The decided folds of all channels are one table first: a row for each fold and distinct interval.
+    """
+    decided, shape, channel = _decided(folds)
     scored = evaluate.ridge_predictions(splits.assignments(dataset, decided), features, *alphas).withColumn("channel", channel)
     return scored.groupBy("channel", "alpha").agg(metrics.mse().alias("mse"), F.count("*").alias("n")).join(F.broadcast(shape), "channel")  # a row for each channel
 
 
+def family_benchmark(dataset: DataFrame, folds: dict[str, DataFrame], features: list[str], models: dict[str, mergeable.Estimator]) -> DataFrame:
+    """(channel, model, mse, n, overlap, purged, embargoed, retained_min): every model on every channel's folds.
+
+    A model learns all folds of all channels together: a sample is read once a round, whatever the number of folds.
+    """
+    decided, shape, channel = _decided(folds)
+    assigned = splits.assignments(dataset, decided)
+    made = [mergeable.fit_predict(dataset, decided, assigned, features, (model,)).withColumn("model", F.lit(name)) for name, model in models.items()]
+    scored = reduce(DataFrame.unionByName, made).withColumn("channel", channel)
+    return scored.groupBy("channel", "model").agg(metrics.mse().alias("mse"), F.count("*").alias("n")).join(F.broadcast(shape), "channel")  # a row for each channel
+
+
 def leakage_decision(benchmark: DataFrame) -> dict[str, str]:
     """Whether safe channels are free of overlap, canaries show it, and the embargo removed anything."""
     rows = {r["channel"]: r for r in benchmark.dropDuplicates(["channel"]).collect()}  # a row for each channel

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate.model import CombinatorialCV, Minimums, PurgedKFold, WalkForward, data_digest
 from tidegate.operators import evaluate, mergeable, metrics, panel, splits
-from tidegate.plans.benchmarks import channel_benchmark, channel_folds, effectiveness
+from tidegate.operators.boosting import LeafwiseTrees
+from tidegate.plans.benchmarks import channel_benchmark, channel_folds, effectiveness, family_benchmark
 from tidegate.operators.paths import path_table, paths
 from tidegate.session import kept
 
@@ -259,6 +260,22 @@ def six_channel_benchmark(spark, sf_dir):
     return found.withColumn("mse", F.round("mse", 8))
 
 
+def lagged(data: DataFrame, lags: int) -> tuple[DataFrame, list[str]]:
+    """Samples with the returns of the `lags` sessions up to each, oldest first; those with a gap in them go."""
+    own = Window.partitionBy("asset").orderBy("axis_pos")
+    names = [f"lag{k}" for k in range(lags - 1, -1, -1)]
+    found = data.withColumns({f"lag{k}": F.when(F.lag("axis_pos", k).over(own) == F.col("axis_pos") - k, F.lag("ret", k).over(own)) for k in range(lags)})
+    return kept(found.dropna(subset=names), "lagged"), names
+
+
+def six_channel_families(spark, sf_dir):
+    """A line, trees and a recurrent network over the same lags, each in two unsafe and four safe ways to split."""
+    data, axis = modelled(spark, sf_dir)
+    data, names = lagged(data, LOOKBACK)
+    models = {"ridge": mergeable.RidgeSums(1.0), "leafwise-trees": LeafwiseTrees(trees=8, leaves=7, depth=3), "sequence": mergeable.SequenceModel(epochs=2)}
+    return family_benchmark(data, channel_folds(data, axis, KFOLD, CPCV, WALK, embargo=KFOLD.embargo), names, models).withColumn("mse", F.round("mse", 8))
+
+
 def effectiveness_comparison(spark, sf_dir):
     """Three channels scored on their own samples and on those that walk-forward scored, path by path."""
     data, axis = modelled(spark, sf_dir)
@@ -521,4 +538,4 @@ DATES = {
     "session_spearman_ic": ("session",),
     "evaluation_ledger": ("session",),
 }
-QUERIES = {n: f for n, f in globals().items() if n in {*SQL, "cpcv_paths"}}
+QUERIES = {n: f for n, f in globals().items() if n in {*SQL, "cpcv_paths", "six_channel_families"}}
