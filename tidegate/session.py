@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tidegate.errors import SourceError
 
 
+#: Whether a query's shuffle files go when it ends, instead of when the driver's garbage collector finds them unused.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def session(app: str = "tidegate", **conf: str) -> SparkSession:
     """UTC, ANSI, adaptive execution; other settings by their names with dots written as double underscores."""
     builder = SparkSession.builder.appName(app)
@@ -36,9 +40,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the folder of spark.checkpoint.dir and read it again.
 
-    Plans that use a frame several times then hold a scan each time, and lost executors cost no recomputation.
+    Plans that use a frame several times then hold a scan each time, and lost executors cost no recomputation. The table
+    stands in for the job's shuffle files, so Spark is asked to remove those as soon as the job ends.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
