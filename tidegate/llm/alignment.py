@@ -16,6 +16,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from tidegate.llm.encoding import LONG_RUN
 #: Characters of a stretch, which Acero joins at once, and of a chunk, which shares one list of pairs.
 STRETCH, CHUNK = 1 << 20, 1 << 24
 #: Distinct words, and their characters, that a worker remembers before it forgets all of them.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 8_000_000
+REMEMBERED, REMEMBERED_CHARS = 300_000, 8_000_000
 
 CHUNKS = (
     "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, "
@@ -66,38 +67,66 @@ class Tokenizers:
         names = [self.pieces.id_to_piece(i) for i in range(self.pieces.vocab_size())]
         self.b_bytes = [bytes([int(n[3:5], 16)]) if self.pieces.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         self.parted = not any("▁" in n.lstrip("▁") for n in names)
-        self.a_sizes, self.b_sizes = (pa.array(list(map(len, x)), pa.int64()) for x in (self.a_bytes, self.b_bytes))
+        self.a_lengths, self.b_lengths = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_sizes, self.b_sizes = pa.array(self.a_lengths), pa.array(self.b_lengths)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.chars = 0
-        self.exact: list[bool] = []
+        self.inexact: set[int] = set()
         self.a, self.b = (array("i"), array("i", [0])), (array("i"), array("i", [0]))
 
     def parts(self, text: str) -> list[str]:
         return _BETWEEN.split(text) if self.parted else [text]
 
-    def number(self, part: str) -> int:
-        """The number of a part, whose ids are remembered under it."""
-        found = self.known.get(part)
-        if found is not None:
-            return found
+    def numbers(self, parts: list[str]) -> list[int]:
+        """The numbers of parts, whose ids are remembered under them."""
+        found = list(map(self.known.get, parts))
+        if None in found:
+            new = list(dict.fromkeys(p for p, n in zip(parts, found, strict=True) if n is None))
+            if not self._together(new):
+                for part in new:
+                    self._alone(part)
+            found = list(map(self.known.__getitem__, parts))
+        return found
+
+    def _alone(self, part: str) -> None:
         whole = " " + part
         a = self.slow.encode(whole, add_special_tokens=False).ids if len(part) >= LONG_RUN else self.fast(whole)
         b = self.pieces.encode(part, num_threads=1)
         for (ids, ends), new in ((self.a, a), (self.b, b)):
             ids.extend(new)
             ends.append(len(ids))
-        data = whole.encode()
-        self.exact.append(b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b)))
-        self.known[part] = found = len(self.known)
+        if not b"".join(map(self.a_bytes.__getitem__, a)) == whole.encode() == b"".join(map(self.b_bytes.__getitem__, b)):
+            self.inexact.add(len(self.known))
+        self.known[part] = len(self.known)
         self.chars += len(part)
-        return found
+
+    def _together(self, parts: list[str]) -> bool:
+        """Encode parts as one text, if both token lists spell it with an end at each part's; else nothing is done."""
+        if not self.parted or len(parts) < 2 or any(len(p) >= LONG_RUN or not p or p[0].isspace() or p[-1].isspace() for p in parts):
+            return False
+        text = " ".join(parts)
+        whole = (" " + text).encode()
+        places = np.cumsum([len(p.encode()) + 1 for p in parts])
+        found = []
+        for ids, table, sizes in ((self.fast(" " + text), self.a_bytes, self.a_lengths), (self.pieces.encode(text, num_threads=1), self.b_bytes, self.b_lengths)):
+            ends = np.cumsum(sizes[ids])
+            at = np.searchsorted(ends, places)
+            if b"".join(map(table.__getitem__, ids)) != whole or not np.array_equal(ends[at], places):
+                return False
+            found.append((ids, at + 1))
+        for (ids, ends), (new, at) in zip((self.a, self.b), found, strict=True):
+            ends.extend((at + len(ids)).tolist())
+            ids.extend(new)
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
+        self.chars += len(text)
+        return True
 
     def covers(self, numbers: list[int], text: str) -> bool:
         """Whether the bytes of both token lists are a space and the text."""
-        if all(map(self.exact.__getitem__, numbers)):
+        if not self.inexact or self.inexact.isdisjoint(numbers):
             return True
         joined = lambda side, table: b"".join(table[i] for n in numbers for i in side[0][side[1][n] : side[1][n + 1]])
         return joined(self.a, self.a_bytes) == (" " + text).encode() == joined(self.b, self.b_bytes)
@@ -186,9 +215,13 @@ class Chunk:
             self.align()  # numbers that wait go first
             self.pair.forget()
         parts = self.pair.parts(text)
-        numbers = list(map(self.pair.number, parts))
+        numbers = self.pair.numbers(parts)
         if not self.pair.covers(numbers, text):
             return
+        if self.waiting + len(text) + 1 < STRETCH:
+            self.waiting += len(text) + 1
+            self.units.append((doc, numbers))
+            return
         start = at = 0
         for at, part in enumerate(parts, 1):
             self.waiting += len(part) + 1
@@ -204,7 +237,7 @@ class Chunk:
         units, self.units, self.waiting = self.units, [], 0
         if units:
             pair, docs = self.pair, np.array([d for d, _ in units], np.int64)
-            numbers = pa.array(np.fromiter((n for _, x in units for n in x), np.int32))
+            numbers = pa.array(np.fromiter(chain.from_iterable(x for _, x in units), np.int32))
             unit = pa.array(np.repeat(np.arange(len(units)), [len(x) for _, x in units]))
             (a, of_a), (b, of_b) = (ends_of(lists.take(numbers), unit, sizes, name) for lists, sizes, name in zip(pair.lists(), (pair.a_sizes, pair.b_sizes), "ab", strict=True))
             links = overlaps(a, b)
