@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegate.session import kept
+
 #: A word: a run of characters other than space, tab, newline, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,32 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, as in tests, a new one.
-
-    A new one is of use on one machine only, so on a cluster an unset folder is refused.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="tidegate-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it again, so that later jobs start from the table.
 
     Tables stay until their reader has been used up, which only the caller knows; a cluster clears the folder of an
-    application when it ends. Spark deletes the shuffle files of a finished job only when the driver's garbage collector
-    finds them unused, which on a large heap may take hours; it is asked to look here, as the table stands in for them.
+    application when it ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return kept(df, name)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -210,12 +210,19 @@ def _document_sets(table: pa.Table, words: int) -> tuple[list[np.ndarray], list[
     return sets, marks, first
 
 
+def id_kind(docs: DataFrame) -> str:
+    """Ids are long; decimal ones, which can name more rows than 64 bits tell apart, stay as they are."""
+    kind = dict(docs.dtypes)["doc_id"]
+    return kind if kind.startswith("decimal") else "long"
+
+
 def document_sets(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
     """(doc_id, n_shingles, class, prefix, members) of every row; prefix and members where a partner is possible.
 
     `class` tells distinct sets apart and is null for empty ones; one row of a chunk carries a class's arrays.
     """
-    rows = chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", "text")
+    kind = id_kind(docs)
+    rows = chunked(docs.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", "text")
     buckets = partitions(docs.sparkSession)
 
     def frequencies(key: tuple, table: pa.Table) -> pa.Table:
@@ -250,7 +257,7 @@ def document_sets(docs: DataFrame, words: int, t: Threshold) -> DataFrame:
         )
 
     counted = answer(rows.groupBy("chunk").applyInArrow(frequencies, ASKED), [np.int32], add_counts)
-    schema = "doc_id long, n_shingles long, class decimal(38,0), prefix array<long>, members binary"
+    schema = f"doc_id {kind}, n_shingles long, class decimal(38,0), prefix array<long>, members binary"
     return rows.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(prefixes, schema)
 
 
