@@ -7,7 +7,7 @@ empty table for an empty one, treats a null text as its docstring says, and take
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.llm import encoding, jaccard, mixing, packing, pii, quality_rules
@@ -29,19 +29,19 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def with_places(docs: DataFrame) -> DataFrame:
     """COLUMNS and `row`, a number of its own for each row that stays the same in every job.
 
-    Rows of a file are numbered by file and place in it, however Spark packs files into partitions. Rows that come
-    from elsewhere are written down once with their numbers.
+    Rows of a file are numbered by a 64-bit hash of its path and their place in it, however Spark packs files into
+    partitions. Rows that come from elsewhere are written down once with their numbers.
     """
     try:
-        rows = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+        rows = docs.select(*COLUMNS, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
     except AnalysisException:  # not a scan of files
         return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-rows")
-    files = rows.select("file").distinct().select("file", F.row_number().over(Window.orderBy("file")).alias("number"))
-    return rows.join(files, "file").select(*COLUMNS, (F.col("number").cast("long") * (1 << 40) + F.col("place")).alias("row"))
+    place = F.col("file").cast("decimal(20,0)") * F.lit(1 << 40).cast("decimal(13,0)") + F.col("place").cast("decimal(13,0)")
+    return rows.select(*COLUMNS, place.cast("decimal(38,0)").alias("row"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first row of each group that five-word shingles link at 0.8 or more; rows without words all stay.
+    """Keep one row of each group that five-word shingles link at 0.8 or more; rows without words all stay.
 
     Rows are told apart by their place in the table, so null and repeated ids lose nothing.
     """
