@@ -17,7 +17,6 @@ from tidegate.operators import evaluate, forward, governance, holdout, metrics,
 from tidegate.plans.benchmarks import channel_benchmark, channel_folds, effectiveness, leakage_decision, strategy_report
 from tidegate.plans import weekly
 from tidegate.sources import arrays, files, frame, sinks
-from tidegate.streaming import forward as stream
 
 
 @pytest.fixture(scope="module")
@@ -258,15 +257,6 @@ def test_forward_ledger(spark):
         forward.require_integrity(made, done, "2025-01-03")
 
 
-def test_streams_settle_and_report_duplicates(spark, tmp_path):
-    made, done = ledger(spark, {(2, "A"): 0.1, (3, "A"): 0.2}, {(2, "A"): 0.3})
-    assert [(r["sample_id"], r["target"]) for r in stream.settle_stream(spark, made, done).collect()] == [("2A", 0.3)]
-    rows = made.union(made.where("sample_id = '2A'")).select("sample_id", "prediction_digest", "recorded_at", "label_available_at")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    claimed = stream.run_stream(stream.claims(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))), "claimed")
-    assert sorted(tuple(r)[::2] for r in claimed.collect()) == [("2A", "accepted"), ("2A", "duplicate"), ("3A", "accepted")]
-
-
 def test_channels_and_views(spark, sf_dir):
     data, axis = (x.cache() for x in weekly.modelled(spark, sf_dir))  # as a user would pass a table
     folds = channel_folds(data, axis, weekly.KFOLD, weekly.CPCV, weekly.WALK, embargo=8)

@@ -1,52 +1,145 @@
-"""The ledger's streams over several micro-batches, with rows in the wrong order."""
+"""The ledger's streams: rounds out of order, late rows, restarts, repeated batches, bounded state, and reports."""
 
+import os
 from datetime import date, datetime, timedelta
 
-from tidegate.streaming.forward import claims, outcomes, run_stream, settle_stream
+import pytest
+from pyspark.sql import functions as F
+
+from tidegate.operators import forward
+from tidegate.streaming.forward import PREDICTION, SETTLEMENT, LedgerStreams, prediction_fault, replay, shaped
 
 DAY = datetime(2024, 1, 1)
-PREDICTION = "sample_id string, prediction_digest string, decision_session date, label_available_at timestamp, recorded_at timestamp, prediction double"
-SETTLEMENT = "prediction_digest string, settled_at timestamp, target double"
 
 
-def made(name, day, digest=None):
-    at = DAY + timedelta(days=day)
-    return (name, digest or f"d-{name}", date(2024, 1, 1) + timedelta(days=day), at + timedelta(days=2), at, 0.5)
+def at(day):
+    return DAY + timedelta(days=day)
+
+
+def made(name, day, digest=None, value=0.5, asset="A"):
+    """A prediction of day `day` whose label is there two days later."""
+    return (name, digest or f"d-{name}", asset, (DAY + timedelta(days=day)).date(), at(day + 2), at(day), value)
+
+
+def done(name, day, target=1.0):
+    return (f"d-{name}", at(day), target)
+
+
+@pytest.fixture(autouse=True)
+def two_partitions(spark):
+    """State stores for each partition are what takes the time here."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def feed(spark, streams, name, schema, time, rows):
+    """Add rows to a side's source, and run ingestion and claims over what is new."""
+    source = f"{streams.root}/{name}/source"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    streams.ingest(name, spark.readStream.schema(schema).parquet(source), time)
+    return streams.claim(name, schema, "prediction_digest", time, prediction_fault("2024-01-01") if name == "predictions" else None)
+
+
+def both(spark, streams, predictions, settlements):
+    if predictions:
+        feed(spark, streams, "predictions", PREDICTION, "recorded_at", predictions)
+    if settlements:
+        feed(spark, streams, "settlements", SETTLEMENT, "settled_at", settlements)
+    return streams.settle()
+
+
+def said(streams):
+    return sorted((r["prediction_digest"], r["outcome"]) for r in streams.everything().collect())
 
 
-def one_file_each(spark, path, batches, schema):
-    for k, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+def test_rounds_out_of_order_lose_nothing_and_state_is_bounded(spark, tmp_path):
+    """Five rounds of predictions and settlements, some before their partner; what waits too long leaves, late rows are set aside."""
+    streams = LedgerStreams(spark, str(tmp_path), lateness_hours=48, keep_days=20)
+    held = []
+    for k in range(5):
+        day = 30 * k
+        predictions = [made(f"{k}{n}", day + n) for n in range(4)] + ([made("old", 1)] if k == 4 else []) + ([made("00", 61)] if k == 2 else [])
+        # the first settlement of a round comes a round after its prediction's, and another has no prediction
+        settlements = [done(f"{k}1", day + 3), done(f"{k}2", day + 2), done(f"{k}x", day + 4)]
+        query = both(spark, streams, predictions, settlements)
+        held.append(sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]))
+    both(spark, streams, [made("end", 400)], [done("finish", 400)])
+    found = said(streams)
+    for k in range(5):
+        assert (f"d-{k}1", "settled") in found and (f"d-{k}2", "settled-early") in found and (f"d-{k}x", "orphan-settlement") in found and (f"d-{k}3", "unsettled") in found
+    assert ("d-old", "late-prediction") in found and ("d-00", "unsettled") in found and found.count(("d-00", "unsettled")) == 2  # forgotten after twenty days, then taken again
+    assert len(found) == 5 * 5 + 2  # four predictions and a lone settlement a round, the late row and the key that came again
+    assert max(held) <= 16 and held[-1] <= held[1] + 4
 
 
-def test_old_rows_in_later_batches_are_settled(spark, tmp_path):
-    """The last pair is two months older than the others, and one settlement comes before its prediction."""
-    predictions = one_file_each(spark, tmp_path / "p", [[made("a", 60)], [made("b", 70)], [made("c", 1)], [made("e", 80)]], PREDICTION)
-    at = lambda n, d: (f"d-{n}", DAY + timedelta(days=d), 1.0)
-    settlements = one_file_each(spark, tmp_path / "s", [[at("a", 63)], [at("b", 73), at("e", 83)], [at("c", 4)], [at("a", 64), at("x", 5)]], SETTLEMENT)
-    found = run_stream(outcomes(predictions, settlements), "test").collect()
-    assert sorted((r["sample_id"], r["outcome"]) for r in found) == [("a", "duplicate-settlement"), ("a", "settled"), ("b", "settled"), ("c", "settled"), ("e", "settled")]
+def test_first_claims_duplicates_faults_and_a_restart(spark, tmp_path):
+    """Each claim once, also when another process goes on from the checkpoint, or the last batch runs again."""
+    first = LedgerStreams(spark, str(tmp_path), lateness_hours=240)
+    late_label = ("f", "d-f", "A", date(2024, 1, 5), at(4), at(5), 0.5)
+    feed(spark, first, "predictions", PREDICTION, "recorded_at", [made("a", 5), made("b", 6, "d-a"), late_label, made("n", 5, value=float("nan")), ("e", "d-e", "A", date(2023, 12, 31), at(9), at(5), 0.5)])
+    second = LedgerStreams(spark, str(tmp_path), lateness_hours=240)
+    feed(spark, second, "predictions", PREDICTION, "recorded_at", [made("c", 4, "d-a"), made("f", 7), made("g", 8)])
+    claimed = lambda: sorted((r["sample_id"], r["outcome"]) for r in spark.read.parquet(f"{tmp_path}/predictions/claimed").collect())
+    want = [("a", "accepted"), ("b", "duplicate"), ("c", "duplicate"), ("e", "before-forward-start"), ("f", "accepted"), ("f", "recorded-after-label"), ("g", "accepted"), ("n", "prediction-not-finite")]
+    assert claimed() == want
+    # the driver was lost before the last batch of ingestion was marked as done: it comes again and changes nothing
+    commits = f"{tmp_path}/predictions/checkpoint-split/commits"
+    last = max((n for n in os.listdir(commits) if n.isdigit()), key=int)
+    os.remove(f"{commits}/{last}")
+    if os.path.exists(f"{commits}/.{last}.crc"):
+        os.remove(f"{commits}/.{last}.crc")
+    feed(spark, second, "predictions", PREDICTION, "recorded_at", [made("h", 9)])
+    assert claimed() == sorted([*want, ("h", "accepted")])
+    assert spark.read.parquet(f"{tmp_path}/predictions/on-time").count() == 9
 
 
-def test_early_settlements_and_repeated_predictions_are_named(spark):
-    predictions = spark.createDataFrame([made("a", 1), made("b", 1), made("b2", 3, "d-b")], PREDICTION)
-    settlements = spark.createDataFrame([("d-a", DAY + timedelta(days=2), 1.0), ("d-b", DAY + timedelta(days=9), 2.0)], SETTLEMENT)
-    found = settle_stream(spark, predictions.coalesce(1), settlements.coalesce(1)).collect()
-    assert sorted((r["sample_id"], r["outcome"], r["target"]) for r in found if r["target"]) == [("a", "settled-early", 1.0), ("b", "settled", 2.0)]
-    assert [r["sample_id"] for r in found if r["outcome"] == "duplicate-prediction"] == ["b"]
+def test_report_after_every_batch(spark, tmp_path):
+    """Each report is what the batch report says of all rows so far; a batch that runs again changes nothing."""
+    streams = LedgerStreams(spark, str(tmp_path), lateness_hours=1000)
+    protocol = forward.ForwardProtocol("p", "2024-01-01", minimum_settled=4, minimum_sessions=2, minimum_assets=2)
+    rounds = [
+        ([made("a", 1, value=0.1), made("b", 1, value=0.3, asset="B")], [done("zz", 9)]),
+        ([made("c", 1, value=0.2, asset="C"), made("d", 2, value=0.4)], [done("a", 4, 0.1), done("b", 4, 0.2)]),
+        ([made("e", 2, value=0.1, asset="B")], [done("c", 5, 0.3), done("d", 6, 0.5), done("e", 6, 0.2)]),
+    ]
+    seen = [[], []]
+    reports = lambda: {r["batch"]: r for r in spark.read.parquet(f"{tmp_path}/report/reports").collect()}
+    names = ("predictions", "settled", "sessions", "assets", "status", "mse", "zero_mse", "mean_ic")
+    for predictions, settlements in rounds:
+        seen[0] += predictions
+        seen[1] += settlements
+        both(spark, streams, predictions, settlements)
+        streams.report(protocol)
+        found = reports()
+        last = found[max(found)]
+        want = forward.report(spark.createDataFrame(seen[0], PREDICTION), spark.createDataFrame(seen[1], SETTLEMENT), protocol).first()
+        assert [last[n] for n in names[:5]] == [want[n] for n in names[:5]]
+        assert all(last[n] == want[n] or abs(last[n] - want[n]) < 1e-12 for n in names[5:])
+    assert last["status"] == "READY_FOR_REVIEW" and last["settled"] == 5
+    before, commits = reports(), f"{tmp_path}/report/checkpoint-report/commits"
+    newest = max((n for n in os.listdir(commits) if n.isdigit()), key=int)
+    for name in (newest, f".{newest}.crc"):
+        if os.path.exists(f"{commits}/{name}"):
+            os.remove(f"{commits}/{name}")
+    os.remove(f"{tmp_path}/report/reports/batch={int(newest):09d}/_SUCCESS")  # and its report was not finished
+    streams.report(protocol)
+    assert reports() == before
 
 
-def test_what_waits_too_long_leaves_with_a_word(spark, tmp_path):
-    predictions = one_file_each(spark, tmp_path / "p", [[made("a", 1)], [made("z", 2)], [made("y", 2)]], PREDICTION)
-    settlements = one_file_each(spark, tmp_path / "s", [[("d-x", DAY, 1.0)]], SETTLEMENT)
-    found = run_stream(outcomes(predictions, settlements, keep_days=1e-9), "test").collect()
-    assert {(r["prediction_digest"], r["outcome"]) for r in found} >= {("d-a", "unsettled"), ("d-x", "orphan-settlement")}
+def test_replay_names_every_row(spark):
+    """Tables with early, repeated, lone and timeless rows: each leaves with an outcome."""
+    predictions = spark.createDataFrame([made("a", 1), made("b", 1), made("b2", 3, "d-b"), made("z", 2), ("t", "d-t", "A", None, None, None, 0.5)], PREDICTION)
+    settlements = spark.createDataFrame([done("a", 2), done("b", 9, 2.0), done("b", 10), done("x", 3), ("d-y", None, 1.0)], SETTLEMENT)
+    found = replay(predictions.drop("asset"), settlements, rounds=2).everything().collect()
+    assert sorted((r["prediction_digest"], r["outcome"]) for r in found) == [
+        ("d-a", "settled-early"), ("d-b", "duplicate-prediction"), ("d-b", "duplicate-settlement"), ("d-b", "settled"), ("d-t", "late-prediction"), ("d-x", "orphan-settlement"), ("d-y", "late-settlement"), ("d-z", "unsettled"),
+    ]
+    assert [r["target"] for r in found if r["outcome"] == "settled"] == [2.0] and {r["sample_id"] for r in found if r["outcome"] == "duplicate-prediction"} == {"b2"}
 
 
-def test_claims(spark, tmp_path):
-    late = ("s", "d4", date(2024, 1, 1), DAY, DAY + timedelta(days=1), 0.5)
-    batches = [[late, made("s", 3, "d1")], [made("s", 1, "d2"), made("t", 1, "d3")]]
-    found = run_stream(claims(one_file_each(spark, tmp_path / "p", batches, PREDICTION)), "test").collect()
-    outcome = {r["prediction_digest"]: r["outcome"] for r in found}
-    assert outcome["d4"] == "late" and outcome["d3"] == "accepted" and sorted([outcome["d1"], outcome["d2"]]) == ["accepted", "duplicate"]
+def test_empty_tables(spark):
+    none = lambda schema: spark.createDataFrame([], schema)
+    assert replay(none(PREDICTION), none(SETTLEMENT), rounds=1).everything().collect() == []
+    assert shaped(none("a int"), SETTLEMENT).where(F.lit(True)).columns == ["prediction_digest", "settled_at", "target"]

@@ -94,9 +94,13 @@ def report(predictions: DataFrame, settlements: DataFrame, protocol: ForwardProt
         F.avg(F.col("target") * F.col("target")).alias("zero_mse"),
     )
     ic = session_ic(pairs.withColumn("all", F.lit(1)), ["all"], least=2).agg(F.avg("ic").alias("mean_ic"))
-    row = made.join(F.broadcast(done)).join(F.broadcast(ic))  # one row each
+    return with_status(made.join(F.broadcast(done)).join(F.broadcast(ic)), protocol)  # one row each
+
+
+def with_status(row: DataFrame, protocol: ForwardProtocol) -> DataFrame:
+    """One row of a report with `status`, by the protocol's minimums."""
     enough = (F.col("settled") >= protocol.minimum_settled) & (F.col("sessions") >= protocol.minimum_sessions)
-    if named:
+    if "assets" in row.columns:
         enough &= F.col("assets") >= protocol.minimum_assets
     good = F.coalesce(F.col("mean_ic") >= protocol.minimum_ic, F.lit(False))
     if protocol.require_mse:

@@ -13,7 +13,7 @@ from tidegate.plans.weekly import BASE, MODELLED, modelled, read
 from tidegate.session import kept, shared_path
 from tidegate.sources.files import Limits, read_upload
 from tidegate.sources.upload import load_upload
-from tidegate.streaming.forward import settle_stream
+from tidegate.streaming.forward import replay
 
 FORWARD_START = "2024-01-03"
 PROTOCOL = forward.ForwardProtocol("events", FORWARD_START, minimum_settled=50, minimum_sessions=3)
@@ -154,8 +154,8 @@ def forward_report(spark, sf_dir):
 
 
 def forward_stream_join(spark, sf_dir):
-    """What becomes of every settlement whose prediction exists, from two streams over the ledger's tables."""
-    found = settle_stream(spark, *_ledger(spark, sf_dir)).where("outcome in ('settled', 'settled-early')")
+    """What becomes of every prediction and settlement, from two streams over the ledger's tables, in rounds of event time."""
+    found = replay(*_ledger(spark, sf_dir)).everything()
     return found.select(F.col("sample_id").cast("long").alias("sample_id"), "prediction_digest", "decision_session", "prediction", "target", "outcome")
 
 
@@ -188,7 +188,9 @@ SQL = {
     "csv_bounded_scan": "SELECT o_orderpriority, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
     "governed_upload": f"WITH {BASE}{MODELLED} SELECT count(*) AS observations, 2::BIGINT AS features, 2 * count(*) AS availability_cells, 2::BIGINT AS max_lookback_sessions, count(DISTINCT asset) AS assets, min(pos) AS first_pos, max(pos) AS last_pos, round(sum(target), 6) AS target_sum FROM s",
     "forward_settled_pairs": f"WITH {LEDGER_SQL} SELECT sample_id, prediction_digest, decision_session, prediction, target FROM pr",
-    "forward_stream_join": f"WITH {LEDGER_SQL} SELECT sample_id, v.prediction_digest, decision_session, prediction, b.target, CASE WHEN settled_at >= label_available_at AND settled_at > recorded_at THEN 'settled' ELSE 'settled-early' END AS outcome FROM v JOIN b ON v.prediction_digest = b.prediction_digest",
+    "forward_stream_join": f"""WITH {LEDGER_SQL} SELECT sample_id, coalesce(v.prediction_digest, b.prediction_digest) AS prediction_digest, decision_session, prediction, b.target,
+      CASE WHEN v.prediction_digest IS NULL THEN 'orphan-settlement' WHEN b.prediction_digest IS NULL THEN 'unsettled' WHEN settled_at >= label_available_at AND settled_at > recorded_at THEN 'settled' ELSE 'settled-early' END AS outcome
+      FROM v FULL JOIN b ON v.prediction_digest = b.prediction_digest""",
     "forward_integrity": f"""WITH {LEDGER_SQL} SELECT 'before-forward-start' AS rule, count(*) AS violations FROM v WHERE decision_session < DATE '{FORWARD_START}' HAVING count(*) > 0
       UNION ALL SELECT 'repeated-sample', count(*) FROM (SELECT 1 FROM v GROUP BY sample_id HAVING count(*) > 1) UNION ALL SELECT 'repeated-settlement', count(*) FROM (SELECT 1 FROM b GROUP BY prediction_digest HAVING count(*) > 1)
       UNION ALL SELECT 'orphan-settlement', count(*) FROM b WHERE prediction_digest NOT IN (SELECT prediction_digest FROM v) UNION ALL SELECT 'settled-early', count(*) FROM v JOIN b ON v.prediction_digest = b.prediction_digest WHERE settled_at < label_available_at OR settled_at <= recorded_at""",
