@@ -1,10 +1,11 @@
-"""python -m tidegate.cli: queries and strategy reports as one line of JSON; exit code 2 on refusal."""
+"""python -m tidegate.cli: queries, uploads and reports as one line of JSON; exit code 2 on refusal."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+from typing import NoReturn
 
 from tidegate.errors import RequestError, TidegateError
 from tidegate.session import session
@@ -57,9 +58,70 @@ def _forward(spark, args) -> dict:
     return {**found, "report": store.report(protocol).first().asDict()}
 
 
+def _request(spark, args) -> dict:
+    from tidegate import runs
+
+    return runs.run(spark, runs.read_request(args.request))
+
+
+def _upload(spark, args) -> dict:
+    from tidegate import runs
+
+    options = {k: v for k, v in vars(args).items() if v is not None and k not in ("run", "action", "data", "manifest", "mapping", "seconds")}
+    document = {"schema_version": "1", "action": args.action, "data_path": args.data, "manifest_path": args.manifest, "mapping_path": args.mapping, "options": options, "timeout_seconds": args.seconds}
+    return runs.run(spark, runs.checked(document))
+
+
+def _schema(_, args) -> dict:
+    from tidegate import runs
+
+    return {"schema": runs.schema(args.kind)}
+
+
+def _example(_, args) -> dict:
+    from tidegate import runs
+
+    return {"files": runs.export(runs.example(args.name), args.output_dir)}
+
+
+class JsonParser(argparse.ArgumentParser):
+    """Refuses arguments as it refuses anything else: by one line of JSON and exit code 2."""
+
+    def error(self, message: str) -> NoReturn:
+        print(json.dumps({"status": "error", "error": "RequestError", "message": "the arguments are invalid"}, sort_keys=True))
+        raise SystemExit(2)
+
+
+def _upload_parsers(actions) -> None:
+    from tidegate.runs import ACTIONS, CEILINGS, SECONDS, EvaluationPlan
+
+    for action in ACTIONS:
+        parser = actions.add_parser(action, help=f"{action} an upload of one data file, its manifest and its mapping")
+        for name in ("data", "manifest", "mapping"):
+            parser.add_argument(f"--{name}", required=True)
+        parser.add_argument("--seconds", type=int, default=SECONDS)
+        for name in CEILINGS:
+            parser.add_argument(f"--{name.replace('_', '-')}", type=int)
+        if action == "evaluate":
+            for name, value in vars(EvaluationPlan()).items():
+                parser.add_argument(f"--{name.replace('_', '-')}", type=type(value))
+        parser.set_defaults(run=_upload, action=action)
+
+
 def main(argv: list[str] | None = None) -> int:
-    parser = argparse.ArgumentParser(prog="tidegate")
-    actions = parser.add_subparsers(required=True)
+    parser = JsonParser(prog="tidegate")
+    actions = parser.add_subparsers(required=True, parser_class=JsonParser)
+    _upload_parsers(actions)
+    request = actions.add_parser("run", help="a request in a JSON file: audit or evaluate, with limits and a time limit")
+    request.add_argument("--request", required=True)
+    request.set_defaults(run=_request)
+    schema = actions.add_parser("schema", help="the JSON schema of a document")
+    schema.add_argument("--kind", choices=["request", "manifest", "mapping"], required=True)
+    schema.set_defaults(run=_schema, local=True)
+    example = actions.add_parser("example", help="the files of a small upload, in a new folder")
+    example.add_argument("--name", choices=["level", "change", "leak"], required=True)
+    example.add_argument("--output-dir", required=True)
+    example.set_defaults(run=_example, local=True)
     strategy = actions.add_parser("strategy", help="momentum candidates on an .npz panel, or on 'demo'")
     strategy.add_argument("data")
     strategy.add_argument("--cost", type=float, default=0.0)
@@ -77,7 +139,7 @@ def main(argv: list[str] | None = None) -> int:
     forward.set_defaults(run=_forward)
     args = parser.parse_args(argv)
     try:
-        found = {"status": "ok", **args.run(session(), args)}
+        found = {"status": "ok", **args.run(None if hasattr(args, "local") else session(), args)}
     except TidegateError as error:
         found = {"status": "error", "error": type(error).__name__, "message": str(error)}
     print(json.dumps(found, sort_keys=True, default=str))

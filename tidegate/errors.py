@@ -47,3 +47,11 @@ class LedgerError(TidegateError):
 
 class RequestError(TidegateError):
     """A request has unknown keys or values out of range."""
+
+
+class SinkError(TidegateError):
+    """An output is there already or cannot be written."""
+
+
+class RunTimeout(TidegateError):
+    """A run took longer than it may."""

@@ -79,13 +79,13 @@ def leakage_decision(benchmark: DataFrame) -> dict[str, str]:
     }
 
 
-def effectiveness(dataset: DataFrame, axis: DataFrame, kfold: PurgedKFold, cpcv: CombinatorialCV, walk: WalkForward, features: list[str], clean: DataFrame | None = None, periods: float = 252.0) -> DataFrame:
+def effectiveness(dataset: DataFrame, axis: DataFrame, kfold: PurgedKFold, cpcv: CombinatorialCV, walk: WalkForward, features: list[str], clean: DataFrame | None = None, periods: float = 252.0, alpha: float = 1.0) -> DataFrame:
     """(channel, view, path, n, mse, ic, sharpe) for three channels and the views native, common and roll-clean.
 
     The common view keeps the samples that walk-forward scored; roll-clean those of `clean` (asset, session).
     """
     spark, n = dataset.sparkSession, cpcv.n_groups
-    ridge = lambda spec: evaluate.ridge_predictions(splits.assignments(dataset, kept(splits.plan(dataset, axis, spec), "plan")), features)
+    ridge = lambda spec: evaluate.ridge_predictions(splits.assignments(dataset, kept(splits.plan(dataset, axis, spec), "plan")), features, alpha)
     columns = ["path", "asset", "session", "target", "prediction"]
     one = F.lit(0).cast("long")
     rows = {

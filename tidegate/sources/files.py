@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import json
+from collections.abc import Mapping
 from dataclasses import dataclass
 from hashlib import sha256
 from pathlib import Path
@@ -30,16 +31,32 @@ class Limits:
     json_bytes: int = 2**20
 
 
-def json_document(path: str, keys: set[str], limits: Limits = Limits()) -> dict[str, Any]:
-    """A JSON object with exactly these keys and schema_version "1"."""
-    file = Path(path)
-    if not file.is_file() or file.stat().st_size > limits.json_bytes:
-        raise LimitError("the document is missing or too large")
-    try:
-        found = json.loads(file.read_text("utf-8"))
-    except ValueError as error:
-        raise RequestError("the document is not JSON") from error
-    if not isinstance(found, dict) or set(found) != keys | {"schema_version"} or found["schema_version"] != "1":
+def json_document(source: str | Mapping[str, Any], keys: set[str], limits: Limits = Limits(), spark: SparkSession | None = None) -> Mapping[str, Any]:
+    """A JSON object with exactly these keys and schema_version "1", from a path or as it is.
+
+    With a session the path may be on any file system that Spark knows, else it is on this machine.
+    """
+    found: Any = source
+    if isinstance(source, str):
+        missing = LimitError("the document is missing or too large")
+        if spark is None:
+            file = Path(source)
+            if not file.is_file() or file.stat().st_size > limits.json_bytes:
+                raise missing
+            text = file.read_bytes()
+        else:
+            try:
+                size = _bytes(spark, source)
+            except SourceError as error:
+                raise missing from error
+            if size > limits.json_bytes:
+                raise missing
+            text = bytes(spark.read.format("binaryFile").load(source).select("content").first()[0])
+        try:
+            found = json.loads(text.decode("utf-8"))
+        except ValueError as error:
+            raise RequestError("the document is not JSON") from error
+    if not isinstance(found, Mapping) or set(found) != keys | {"schema_version"} or found["schema_version"] != "1":
         raise RequestError("the document's keys or version are not the declared ones")
     return found
 
@@ -53,43 +70,66 @@ def _named(columns: list[str], schema: StructType, limits: Limits) -> None:
         raise SourceError(f"{len(missing)} declared columns are missing")
 
 
-def _bytes(spark: SparkSession, path: str) -> int:
-    """Size of a file, or of a folder of part files, on any file system that Spark knows."""
+def _place(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """A path's file system and the path on it, for any file system that Spark knows."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(place):
         raise SourceError("no such file")
+    return files, place
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    """Size of a file, or of a folder of part files."""
+    files, place = _place(spark, path)
     return int(files.getContentSummary(place).getLength())
 
 
+def _headers(spark: SparkSession, path: str) -> list[list[str]]:
+    """The distinct first lines of a CSV file or of a folder's part files, as columns."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "place").alias("header")).select("header").distinct()
+    return [next(csv.reader([r[0]]), []) for r in first.limit(2).collect()]
+
+
+def _uncompressed(spark: SparkSession, path: str) -> int:
+    """Bytes of a Parquet file's or folder's row groups before compression, from the footers alone."""
+    files, place = _place(spark, path)
+    jvm, conf, total = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for status in files.listStatus(place):
+        name = status.getPath().getName()
+        if status.isFile() and not name.startswith(("_", ".")):
+            footer = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromStatus(status, conf))
+            try:
+                total += sum(int(b.getTotalByteSize()) for b in footer.getRowGroups())
+            finally:
+                footer.close()
+    return total
+
+
 def _csv(spark: SparkSession, path: str, schema: StructType, limits: Limits) -> DataFrame:
-    """The declared columns of a CSV file, parsed once into a table whose rows are then counted."""
-    first = spark.read.text(path).limit(1).collect()
-    header = next(csv.reader([first[0][0]]), []) if first else []
-    _named(header, schema, limits)
+    """The declared columns of a CSV file, parsed once into a table; no row beyond the limit is parsed.
+
+    The part files of a folder must agree on names and their order: Spark reads them all by one header.
+    """
+    headers = _headers(spark, path) or [[]]
+    if len(headers) > 1:
+        raise SourceError("the files' headers differ")
+    _named(headers[0], schema, limits)
     kinds = {f.name: f.dataType.simpleString() for f in schema}
-    whole = ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in header)
-    rows = spark.read.schema(whole).option("header", True).option("mode", "FAILFAST").csv(path)
-    table = kept(rows.select(*[f"`{f.name}`" for f in schema]), "upload")  # the file's size is bounded already
+    whole = ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in headers[0])
+    rows = spark.read.schema(whole).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+    table = kept(rows.select(*[f"`{f.name}`" for f in schema]).limit(limits.rows + 1), "upload")
     if table.count() > limits.rows:
         raise LimitError("too many rows")
     return table
 
 
 def _parquet(spark: SparkSession, path: str, schema: StructType, limits: Limits) -> DataFrame:
-    """The declared columns of a Parquet file; names and sizes come from footers, before any row is read.
-
-    The uncompressed size is known where the driver can open the file itself; elsewhere rows and names are checked.
-    """
+    """The declared columns of a Parquet file; names, sizes and row counts come from footers, before any row is read."""
     rows = spark.read.parquet(path)
     _named(rows.columns, schema, limits)
-    if Path(path).is_file():
-        import pyarrow.parquet as pq
-
-        footer = pq.ParquetFile(path).metadata
-        if sum(footer.row_group(i).total_byte_size for i in range(footer.num_row_groups)) > limits.uncompressed_bytes:
-            raise LimitError("the table is too large")
-    if rows.count() > limits.rows:  # from footers
+    if _uncompressed(spark, path) > limits.uncompressed_bytes or rows.count() > limits.rows:
         raise LimitError("the table is too large")
     return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,17 +26,6 @@ def create_exclusive(spark: SparkSession, path: str, payload: Any) -> None:
         out.close()
 
 
-def create_local(path: str, payload: Any) -> None:
-    """The same on the driver's own disk."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    try:
-        handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o644)
-    except FileExistsError as error:
-        raise LedgerError("already claimed") from error
-    with os.fdopen(handle, "w") as out:
-        out.write(json.dumps(payload, sort_keys=True, separators=(",", ":"), allow_nan=False, default=str))
-
-
 ROW_COLUMNS = frozenset({"sample_id", "target", "prediction", "features", "asset", "asset_id"})
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType, T
 
 from tidegate.errors import GovernanceError, LimitError, RequestError
 from tidegate.operators import governance
+from tidegate.session import kept
 from tidegate.sources.files import Limits, json_document, read_upload
 
 # fixed values: the keys of the two documents and of their parts
@@ -37,14 +38,6 @@ class Upload:
     file_bytes: int
 
 
-def _document(source: str | Mapping[str, Any], keys: set[str], limits: Limits) -> Mapping[str, Any]:
-    if isinstance(source, str):
-        return json_document(source, keys, limits)
-    if set(source) != keys | {"schema_version"} or source["schema_version"] != "1":
-        raise RequestError("the document's keys or version are not the declared ones")
-    return source
-
-
 def manifest_of(document: Mapping[str, Any], limits: Limits) -> governance.FeatureManifest:
     rows = document["features"]
     if not isinstance(rows, list) or not rows:
@@ -65,7 +58,7 @@ def load_upload(spark: SparkSession, data_path: str, manifest: str | Mapping[str
 
     The mapped features must be the manifest's, by name and in order. Documents are paths or what they hold.
     """
-    about, places = _document(manifest, MANIFEST_KEYS, limits), _document(mapping, MAPPING_KEYS, limits)
+    about, places = json_document(manifest, MANIFEST_KEYS, limits, spark), json_document(mapping, MAPPING_KEYS, limits, spark)
     described = manifest_of(about, limits)
     features, available, snapshot = places["feature_columns"], places["availability_columns"], places["pit_snapshot"]
     if not isinstance(snapshot, Mapping) or set(snapshot) != SNAPSHOT_KEYS:
@@ -80,6 +73,7 @@ def load_upload(spark: SparkSession, data_path: str, manifest: str | Mapping[str
     rows, size = read_upload(spark, data_path, StructType([StructField(n, k) for n, k in kinds.items()]), limits, with_size=True)
     axis = spark.createDataFrame([(str(s), k) for k, s in enumerate(places["session_axis"])], "session string, axis_pos long").withColumn("session", F.col("session").cast("timestamp_ntz"))
     col = lambda name: F.col(f"`{name}`")
+    # positions are written down once: a scan that is read again may be packed otherwise
     dataset = rows.select(
         F.monotonically_increasing_id().alias("position"),
         col(texts[0]).alias("sample_id"),
@@ -89,6 +83,7 @@ def load_upload(spark: SparkSession, data_path: str, manifest: str | Mapping[str
         F.array(*map(col, features)).alias("features"),
         col(places["target_column"]).alias("target"),
     )
+    dataset = kept(dataset, "upload-rows")
     governance.require_valid(dataset, axis, len(features))
     receipt = governance.govern(dataset, described, governance.PITSnapshot(**snapshot))
     return Upload(dataset.join(F.broadcast(axis), "session"), axis, receipt, size)  # at most a session for each row of a bounded file
