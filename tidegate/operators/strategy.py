@@ -147,6 +147,26 @@ def grouped(returns: DataFrame, groups: int) -> DataFrame:
     return returns.join(F.broadcast(rows), "t")  # one row for each session
 
 
+def cells(returns: DataFrame, *keys: str) -> DataFrame:
+    """(cand_idx, keys, n, shift, gap, square): what the Sharpe ratio of any union of cells needs, a row for each cell.
+
+    A cell's mean is `shift + gap`, with the candidate's overall mean as the shift, and `square` sums the squares of
+    its deviations from the cell's mean. Splits, folds and windows combine cells, so no return row is copied for them.
+    """
+    made = returns.groupBy("cand_idx", *keys).agg(F.count("net").alias("n"), F.avg("net").alias("mean"), (F.var_pop("net") * F.count("net")).alias("square"))
+    own = Window.partitionBy("cand_idx")
+    shift = F.sum(F.col("n") * F.col("mean")).over(own) / F.sum("n").over(own)
+    return made.withColumn("shift", shift).select("cand_idx", *keys, "n", "shift", (F.col("mean") - F.col("shift")).alias("gap"), "square")
+
+
+def cells_sharpe(periods: float, where: Column | None = None) -> Column:
+    """`risk.sharpe` over a group of cells, or over those that `where` holds for."""
+    of = lambda c: F.sum(c if where is None else F.when(where, c))
+    n, total, square = of(F.col("n")), of(F.col("n") * F.col("gap")), of(F.col("square") + F.col("n") * F.col("gap") * F.col("gap"))
+    deviation = F.sqrt(F.greatest(square - total * total / n, F.lit(0.0)) / F.nullif(n - 1, F.lit(0)))
+    return (F.first("shift") + total / n) / F.greatest(F.coalesce(deviation, F.lit(0.0)), F.lit(1e-12)) * F.lit(sqrt(periods))
+
+
 def cscv_splits(spark: SparkSession, groups: int) -> DataFrame:
     """(split, group, side): every choice of half the groups as in-sample; split is the sum of 2 ** group of these."""
     rows = [(sum(1 << g for g in chosen), g, "in" if g in chosen else "out") for chosen in combinations(range(groups), groups // 2) for g in range(groups)]
@@ -158,10 +178,8 @@ def cscv(returns: DataFrame, groups: int, periods: float) -> DataFrame:
 
     `rank` is the winner's mean-tie rank among all candidates out of sample, `logit` that of rank / (n + 1).
     """
-    rows = grouped(returns, groups).join(F.broadcast(cscv_splits(returns.sparkSession, groups)), "group")
-    scored = rows.groupBy("split", "cand_idx").agg(
-        *[(F.avg(v) / F.greatest(F.coalesce(F.stddev_samp(v), F.lit(0.0)), F.lit(1e-12)) * sqrt(periods)).alias(f"{s}_exact") for s, v in (("in", F.when(F.col("side") == "in", F.col("net"))), ("out", F.when(F.col("side") == "out", F.col("net"))))]
-    )
+    split = cells(grouped(returns, groups), "group").join(F.broadcast(cscv_splits(returns.sparkSession, groups)), "group")
+    scored = split.groupBy("split", "cand_idx").agg(*[cells_sharpe(periods, F.col("side") == s).alias(f"{s}_exact") for s in ("in", "out")])
     scored = scored.select("split", "cand_idx", F.round("in_exact", 10).alias("in_sharpe"), F.round("out_exact", 10).alias("out_sharpe"))
     across, level = Window.partitionBy("split"), Window.partitionBy("split", "out_sharpe")
     ranked = scored.withColumn("rank", F.rank().over(across.orderBy("out_sharpe")) - 1 + (F.count("*").over(level) + 1) / 2).withColumn("n", F.count("*").over(across))
@@ -235,12 +253,14 @@ def combinatorial_selection(returns: DataFrame, n_groups: int, chosen: int, emba
     spark = returns.sparkSession
     rows = grouped(returns, n_groups)
     roles = strategy_roles(spark, n_groups, chosen)
+    # the groups after which a row comes too soon
     ends = rows.groupBy("group").agg(F.max("t").alias("end"))
-    held = ends.join(F.broadcast(roles.where("is_test")), "group").select("fold", F.explode(F.sequence(F.col("end") + 1, F.col("end") + F.lit(max(embargo, 1)))).alias("t")).distinct()
-    train = rows.join(F.broadcast(roles.where("not is_test").drop("is_test")), "group")
-    if embargo:
-        train = train.join(F.broadcast(held), ["fold", "t"], "left_anti")
-    winners = best(train.groupBy("fold", "cand_idx").agg(sharpe("net", periods).alias("score")), ["fold"]).select("fold", "cand_idx")
+    soon = ends.select(F.col("group").alias("after"), F.explode(F.sequence(F.col("end") + 1, F.col("end") + F.lit(max(embargo, 1)))).alias("t")).groupBy("t").agg(F.array_sort(F.collect_set("after")).alias("after"))
+    marked = rows.join(F.broadcast(soon), "t", "left") if embargo else rows.withColumn("after", F.lit(None).cast("array<long>"))  # embargoed sessions only
+    tests = roles.groupBy("fold").agg(F.collect_list(F.when(F.col("is_test"), F.col("group"))).alias("tests"))
+    folds = roles.where("not is_test").join(tests, "fold").select("fold", "group", "tests")  # at most max_combinations folds
+    train = cells(marked, "group", "after").join(F.broadcast(folds), "group").where(~F.coalesce(F.arrays_overlap("after", "tests"), F.lit(False)))
+    winners = best(train.groupBy("fold", "cand_idx").agg(cells_sharpe(periods).alias("score")), ["fold"]).select("fold", "cand_idx")
     table = spark.createDataFrame(path_table(list(combinations(range(n_groups), chosen)), n_groups), "fold long, group long, path long")
     earned = rows.join(F.broadcast(table.join(winners, "fold")), ["group", "cand_idx"]).select("path", "t", "net", "turnover")
     return candidate_metrics(earned, periods, ("path",)).join(earned.groupBy("path").agg(F.count("*").alias("n")), "path")
@@ -252,10 +272,10 @@ def walk_forward_selection(returns: DataFrame, minimum_train: int, windows: int,
     The selected candidate is the best on all rows before the window, the hindsight one the best in it.
     """
     later = returns.where(F.col("t") >= minimum_train).select("t").distinct().withColumn("window", F.ntile(windows).over(Window.orderBy("t")).cast("long") - 1)
-    # every row trains the windows after its own, all of them before the first one: numbers, no join by range
-    numbered = returns.join(F.broadcast(later), "t", "left")
-    train = numbered.withColumn("window", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(windows - 1).cast("long")), lambda w: w > F.coalesce("window", F.lit(-1)))))
-    picked = best(train.groupBy("window", "cand_idx").agg(sharpe("net", periods).alias("score")), ["window"]).select("window", F.col("cand_idx").alias("selected"))
+    # every cell trains the windows after its own, rows before the first window all of them
+    numbered = cells(returns.join(F.broadcast(later), "t", "left").withColumn("own", F.coalesce("window", F.lit(-1).cast("long"))), "own")
+    train = numbered.withColumn("window", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(windows - 1).cast("long")), lambda w: w > F.col("own"))))
+    picked = best(train.groupBy("window", "cand_idx").agg(cells_sharpe(periods).alias("score")), ["window"]).select("window", F.col("cand_idx").alias("selected"))
     inside = returns.join(F.broadcast(later), "t").groupBy("window", "cand_idx").agg(sharpe("net", periods).alias("score"))
     top = best(inside, ["window"]).select("window", F.col("cand_idx").alias("hindsight"), F.col("score").alias("hindsight_sharpe"))
     own = inside.join(picked.withColumnRenamed("selected", "cand_idx"), ["window", "cand_idx"]).select("window", F.col("cand_idx").alias("selected"), F.col("score").alias("selected_sharpe"))
