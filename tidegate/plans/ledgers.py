@@ -11,6 +11,7 @@ from tidegate.operators import forward, governance, panel, rolls, splits
 from tidegate.plans.tracks import dense_panel
 from tidegate.plans.weekly import BASE, MODELLED, modelled, read
 from tidegate.session import kept, shared_path
+from tidegate.sources import ledger_files
 from tidegate.sources.files import Limits, read_upload
 from tidegate.sources.upload import load_upload
 from tidegate.streaming.forward import replay
@@ -153,6 +154,30 @@ def forward_report(spark, sf_dir):
     return found.withColumns({n: F.round(F.col(n) + 0.0, 6) for n in ("mse", "zero_mse", "mean_ic")})
 
 
+def ledger_file_faults(spark, sf_dir):
+    """The ledger written as lines of JSON, some of them spoilt on the way, and what reading both folders says of each."""
+    made, done = _ledger(spark, sf_dir)
+    text = lambda c: F.col(c).cast("string")
+    rows = made.select(
+        text("sample_id").alias("sample_id"), F.lit("all").alias("asset"), "decision_session", "label_end_session", "label_available_at", "prediction", F.lit("-").alias("feature_snapshot_digest"),
+        F.lit("-").alias("protocol_digest"), "recorded_at", F.col("sample_id").alias("number"), (F.hour("recorded_at") == 3).alias("changed"),
+    )
+    rows = rows.withColumn("prediction_digest", ledger_files.recorded_digest()).withColumn("prediction", F.when(F.col("changed"), F.col("prediction") + 1).otherwise(F.col("prediction")))
+    settled = done.select("prediction_digest", "target", F.lit("-").alias("target_source_digest"), F.lit("-").alias("protocol_digest"), "settled_at", F.hour("settled_at").alias("number"))
+    settled = settled.withColumn("target", F.when(F.col("number") != 5, F.col("target")))
+    line = ledger_files.document("predictions")
+    lines = {
+        "predictions": rows.select(F.when(F.col("number") % 10 == 0, F.concat(F.lit("{"), line)).otherwise(line).alias("value")),
+        "settlements": settled.select(F.when(F.col("number") == 7, ledger_files.document("settlements", F.lit(1).alias("more"))).otherwise(ledger_files.document("settlements")).alias("value")),
+    }
+    found = []
+    for kind, texts in lines.items():
+        path = shared_path(spark, f"ledger-{kind}")
+        texts.write.text(path)
+        found.append(ledger_files.fault_counts(ledger_files.read(spark, path, kind, whole=False)).select(F.lit(kind).alias("kind"), "fault", "rows"))
+    return found[0].union(found[1])
+
+
 def forward_stream_join(spark, sf_dir):
     """What becomes of every prediction and settlement, from two streams over the ledger's tables, in rounds of event time."""
     found = replay(*_ledger(spark, sf_dir)).everything()
@@ -191,6 +216,8 @@ SQL = {
     "forward_stream_join": f"""WITH {LEDGER_SQL} SELECT sample_id, coalesce(v.prediction_digest, b.prediction_digest) AS prediction_digest, decision_session, prediction, b.target,
       CASE WHEN v.prediction_digest IS NULL THEN 'orphan-settlement' WHEN b.prediction_digest IS NULL THEN 'unsettled' WHEN settled_at >= label_available_at AND settled_at > recorded_at THEN 'settled' ELSE 'settled-early' END AS outcome
       FROM v FULL JOIN b ON v.prediction_digest = b.prediction_digest""",
+    "ledger_file_faults": f"""WITH {LEDGER_SQL} SELECT 'predictions' AS kind, CASE WHEN sample_id % 10 = 0 THEN 'malformed' WHEN prediction IS NULL THEN 'missing-value' WHEN hour(recorded_at) = 3 THEN 'altered' ELSE 'none' END AS fault, count(*) AS rows FROM v GROUP BY 1, 2
+      UNION ALL SELECT 'settlements', CASE WHEN hour(settled_at) = 7 THEN 'unknown-key' WHEN hour(settled_at) = 5 OR target IS NULL THEN 'missing-value' ELSE 'none' END, count(*) FROM b GROUP BY 1, 2""",
     "forward_integrity": f"""WITH {LEDGER_SQL} SELECT 'before-forward-start' AS rule, count(*) AS violations FROM v WHERE decision_session < DATE '{FORWARD_START}' HAVING count(*) > 0
       UNION ALL SELECT 'repeated-sample', count(*) FROM (SELECT 1 FROM v GROUP BY sample_id HAVING count(*) > 1) UNION ALL SELECT 'repeated-settlement', count(*) FROM (SELECT 1 FROM b GROUP BY prediction_digest HAVING count(*) > 1)
       UNION ALL SELECT 'orphan-settlement', count(*) FROM b WHERE prediction_digest NOT IN (SELECT prediction_digest FROM v) UNION ALL SELECT 'settled-early', count(*) FROM v JOIN b ON v.prediction_digest = b.prediction_digest WHERE settled_at < label_available_at OR settled_at <= recorded_at""",
