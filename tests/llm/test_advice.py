@@ -2,6 +2,8 @@
 
 import tracemalloc
 
+import re
+
 import numpy as np
 import pytest
 
@@ -68,6 +70,57 @@ def test_written_out_addresses_in_every_form(address):
     assert (5, len(text), "email") in pii.loose_spans(text, [])
 
 
+@pytest.mark.parametrize("address", ["a" * 90 + " [at] foo.com", "jane [at] a.b.c.d.e.f.g.h.i.com", "jane [at] " + "d" * 80 + ".com", "j" * 40_000 + "[at]x.de"])
+def test_written_out_addresses_of_any_length_are_whole(address):
+    assert pii.loose_spans(f"mail {address} now", []) == [(5, 5 + len(address), "email")]
+
+
+def plain_failed(text):
+    """Failing matches near to what passes, by the plain patterns and in plain words, where no passing one is."""
+    taken, found = [(s, e) for s, e, _ in pii.strict_spans(text)], []
+    for m in re.finditer(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        parts = m[0].split(".")
+        if max(map(len, parts)) < 4 and max(map(int, parts)) > 255:
+            found.append((m.start(), 1, m.end(), "ip"))
+    for m in re.finditer(r"[0-9]([ -]?[0-9])+", text):
+        digits = [int(c) for c in m[0] if c.isdigit()][::-1]
+        luhn = sum(d if k % 2 == 0 else sum(map(int, str(2 * d))) for k, d in enumerate(digits)) % 10 == 0
+        if len(digits) in (13, 20) or (14 <= len(digits) <= 19 and not luhn):
+            found.append((m.start(), 2, m.end(), "card"))
+    for m in re.finditer(r"\+[0-9][ ().0-9-]+[0-9]", text):
+        if sum(c.isdigit() for c in m[0]) in (7, 8, 9, 16, 17):
+            found.append((m.start(), 3, m.end(), "phone"))
+    out = []
+    for s, _, e, kind in sorted(found):
+        if all(e <= a or s >= b for a, b in taken):
+            taken.append((s, e))
+            out.append((s, e, kind))
+    return out
+
+
+def test_failed_matches_are_candidates():
+    draw = np.random.default_rng(9)
+    found = 0
+    for _ in range(3000):
+        pieces = ["1.2.3.4", "999.1.1.1", "4111 1111 1111 1111", "4111 1111 1111 1112", "+1 555 12", "+1 (743) 555-3824", "+123", "12", ".", " ", "-", "7086638319846192", "1234.5.6.7", "x", "+49 (30) 1234-5678 90 12 34"]
+        text = "".join(draw.choice(pieces, draw.integers(1, 7)))
+        mine = [s for s in pii.loose_spans(text, pii.strict_spans(text))]
+        if not any(p.search(text) for p in (pii._NATIONAL, pii._DOTTED_CARD)):
+            assert mine == plain_failed(text), text
+            found += len(mine)
+    assert found > 500
+
+
+def test_the_classifier_refuses_look_alikes(spark):
+    """Card-like numbers that fail their sum are candidates that the votes make negatives: none is added, cards stay."""
+    draw = np.random.default_rng(2)
+    number = lambda ok: next(n for n in iter(lambda: "4" + "".join(map(str, draw.integers(0, 10, 15))), None) if pii.luhn(n) == ok)
+    texts = [f"pay by card {number(True)} today" if k % 2 else f"part {number(False)} of stock" for k in range(120)]
+    rows = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(r["n_card"] == k % 2 and r["n_added"] == 0 for k, r in rows.items())
+    assert sum(len(pii.loose_spans(t, pii.strict_spans(t))) for t in texts) == 60
+
+
 def test_counts_beyond_32_bits():
     counts, totals = keyed.add_counts(np.array([0, 0, 1]), [np.array([2**31 - 1, 2**31 - 1, 3], np.int32)])
     assert counts[0].tolist() == [2**32 - 2, 2**32 - 2, 3] and totals[0] == 2**32 + 1

@@ -174,10 +174,10 @@ def test_reliabilities_find_the_bad_labeller():
     for _ in range(4000):
         truth = draw.random() < 0.5
         vote = lambda p: "+" if (draw.random() < p) == truth else "-"  # noqa: B023, E731
-        counts["phone:" + vote(0.9) + vote(0.9) + vote(0.55) + vote(0.9) + "0"] += 1
+        counts["phone:" + vote(0.9) + vote(0.9) + vote(0.55) + vote(0.9) + "00"] += 1
     _, table, post = pii.reliabilities(counts)
     assert table[0][1][2] > 0.8 > table[2][1][2] and table[2][1][2] < 0.65
-    assert post["phone:++-+0"] > 0.9 > 0.1 > post["phone:--+-0"]
+    assert post["phone:++-+00"] > 0.9 > 0.1 > post["phone:--+-00"]
 
 
 def brute_components(texts, words, part, whole):

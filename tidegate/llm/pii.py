@@ -1,8 +1,8 @@
 """Personal data by weak supervision.
 
-Candidate spans come from strict patterns and from looser ones (written-out addresses, numbers without a
-country code, other notations). Labelling functions - pattern, gazetteer, context, shape and placeholder -
-vote on every candidate. Expectation-maximisation over the counts of all vote patterns in the corpus estimates
+Candidate spans come from strict patterns and from looser ones: written-out addresses, numbers without a
+country code, other notations, and matches that fail the strict checks (sums, lengths, octets). Labelling functions -
+pattern, check, gazetteer, context, shape and placeholder - vote on every candidate. Expectation-maximisation over the counts of all vote patterns in the corpus estimates
 each labeller's reliability. Its posteriors are the soft labels of a logistic span classifier, which sees the
 span itself and the words around it, never the votes, and decides on the loose candidates. Strict spans always
 stay.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidegate.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-LABELLERS = ("pattern", "gazetteer", "context", "shape", "placeholder")
+LABELLERS = ("pattern", "check", "gazetteer", "context", "shape", "placeholder")
 #: Hashed features of a span, and candidates that the span classifier is fitted on at most.
 FEATURE_BUCKETS, SAMPLE_SPANS = 1024, 20_000
 
@@ -38,7 +38,7 @@ _DIGIT = re.compile(r"[0-9]")
 # looser notations
 _SIGN = r"[\[({] ?at ?[\])}]"
 _AT_SIGN = re.compile(_SIGN, re.I)
-_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?" + _SIGN + r" ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[({] ?dot ?[\])}] ?)[A-Za-z0-9-]{1,63}){1,5}", re.I)
+_AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?" + _SIGN + r" ?[A-Za-z0-9-]++(?:(?:\.| ?[\[({] ?dot ?[\])}] ?)[A-Za-z0-9-]++)++", re.I)
 _NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 _IP6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _DOTTED_CARD = re.compile(r"(?<![0-9.])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9.])")
@@ -88,8 +88,27 @@ def strict_spans(text: str) -> list[Span]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def failed_spans(text: str) -> list[Span]:
+    """Matches of the strict patterns that fail their check and are near enough to what passes to be a slip or a look-alike."""
+    spans = [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(p) <= 3 for p in m[0].split(".")) and any(int(p) > 255 for p in m[0].split("."))]
+    for m in _CARD.finditer(text):
+        digits = m[0].replace(" ", "").replace("-", "")
+        if len(digits) in (13, 20) or 14 <= len(digits) <= 19 and not luhn(digits):
+            spans.append((*m.span(), "card"))
+    return spans + [(*m.span(), "phone") for m in _PHONE.finditer(text) if len(_DIGIT.findall(m[0])) in (7, 8, 9, 16, 17)]
+
+
+def passes(value: str, kind: str, digits: str) -> str:
+    """The vote of what a value of its kind must satisfy, whatever its notation; 0 where that says nothing."""
+    if kind == "card":
+        return "+" if 14 <= len(digits) <= 19 and luhn(digits) else "-"
+    if kind == "ip":
+        return "+" if ":" in value or all(int(p.lstrip("0")[:4] or 0) <= 255 for p in value.split(".")) else "-"
+    return "0" if kind == "email" else "+" if 10 <= len(digits) <= 15 else "-"
+
+
 def loose_spans(text: str, strict: list[Span]) -> list[Span]:
-    """Candidates in other notations, left to right, that touch neither strict spans nor each other."""
+    """Candidates in other notations and failed matches, left to right, that touch neither strict spans nor each other."""
     found: list[Span] = []
     if _AT_SIGN.search(text):
         found += [(*m.span(), "email") for m in _AT.finditer(text)]
@@ -98,6 +117,7 @@ def loose_spans(text: str, strict: list[Span]) -> list[Span]:
         found += [(*m.span(), "card") for m in _DOTTED_CARD.finditer(text)]
         if text.count(":") >= 7:
             found += [(*m.span(), "ip") for m in _IP6.finditer(text)]
+        found += failed_spans(text)
     taken, out = sorted((s, e) for s, e, _ in strict), []
     for s, e, kind in sorted(found, key=lambda x: (x[0], KINDS.index(x[2]))):
         if all(e <= a or s >= b for a, b in taken):
@@ -123,7 +143,7 @@ def votes(text: str, span: Span, is_strict: bool) -> str:
     near = any(w in CUES[kind] for w in before[-4:])
     whole = (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum())
     dull = len(set(digits)) == 1 and len(digits) > 3 or digits in ("1234567890", "0123456789") or "noreply" in value.lower()
-    signs = ("+" if is_strict else "-", "+" if known else "-", "+" if near else "0", "+" if whole else "-", "-" if dull else "0")
+    signs = ("+" if is_strict else "-", passes(value, kind, digits), "+" if known else "-", "+" if near else "0", "+" if whole else "-", "-" if dull else "0")
     return f"{kind}:" + "".join(signs)
 
 
@@ -171,7 +191,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def vote_counts(found: DataFrame) -> dict[str, int]:
-    """How often each vote pattern occurs in the corpus: at most 4 * 3 ** 5 rows."""
+    """How often each vote pattern occurs in the corpus: at most 4 * 3 ** 6 rows."""
     rows = found.select(F.explode(F.concat("strict", "loose")).alias("s")).groupBy("s.votes").count().collect()
     return {r[0]: r[1] for r in rows}
 
