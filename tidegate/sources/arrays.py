@@ -2,38 +2,14 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegate.errors import LimitError, SourceError
+from tidegate.sources import npz
 from tidegate.sources.files import Limits
 
-PANEL = ("sessions", "asset_ids", "signal_prices", "tradable_returns")
-RETURNS = ("sessions", "candidate_ids", "gross_returns", "net_returns", "turnover")
-
-
-def _load(path: str, members: tuple[str, ...], limits: Limits) -> dict[str, np.ndarray]:
-    file = Path(path)
-    if not file.is_file() or file.suffix != ".npz":
-        raise SourceError("an .npz file is needed")
-    if file.stat().st_size > limits.file_bytes:
-        raise LimitError("the archive is too large")
-    with np.load(file, allow_pickle=False) as archive:
-        if set(archive.files) != set(members):
-            raise SourceError("the archive's members are not the declared ones")
-        found = {m: archive[m] for m in members}
-    ids = found[members[1]]
-    if ids.dtype.kind != "U" or len(set(ids.tolist())) != len(ids):
-        raise SourceError("ids must be distinct strings")
-    shape = (len(found["sessions"]), len(ids))
-    if any(found[m].shape != shape or not np.isfinite(found[m]).all() for m in members[2:]):
-        raise SourceError("arrays must be finite and of sessions by ids")
-    return found
-
-
 def _long(spark: SparkSession, found: dict[str, np.ndarray], names: dict[str, str], index: str, label: str) -> DataFrame:
     sessions, ids = found["sessions"], next(v for k, v in found.items() if k.endswith("_ids"))
     t, i = np.meshgrid(np.arange(len(sessions)), np.arange(len(ids)), indexing="ij")
@@ -41,14 +17,22 @@ def _long(spark: SparkSession, found: dict[str, np.ndarray], names: dict[str, st
     return spark.createDataFrame(pd.DataFrame(columns | {new: found[old].ravel() for old, new in names.items()}))
 
 
+def _archive(spark: SparkSession, path: str, kind: str, limits: Limits) -> DataFrame:
+    """Headers and ids are checked here; executors read the values, and refuse those that are not finite."""
+    npz.check(path, kind, limits)
+    npz.register(spark)
+    rows = spark.read.format("npz").option("kind", kind).option("file_bytes", limits.file_bytes).load(path)
+    return rows.withColumn("session", F.col("session").cast("timestamp"))
+
+
 def read_panel(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
-    """(t, session, asset_idx, asset, price, ret) of an archive of PANEL members, which one file bounds."""
-    return _long(spark, _load(path, PANEL, limits), {"signal_prices": "price", "tradable_returns": "ret"}, "asset_idx", "asset")
+    """(t, session, asset_idx, asset, price, ret) of an archive of sessions, asset_ids, signal_prices and tradable_returns."""
+    return _archive(spark, path, "panel", limits)
 
 
 def read_returns(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
-    """(t, session, cand_idx, candidate_id, gross, net, turnover) of an archive of RETURNS members."""
-    return _long(spark, _load(path, RETURNS, limits), {"gross_returns": "gross", "net_returns": "net", "turnover": "turnover"}, "cand_idx", "candidate_id")
+    """(t, session, cand_idx, candidate_id, gross, net, turnover) of an archive of such members."""
+    return _archive(spark, path, "returns", limits)
 
 
 #: Fixed values of the published example, whose figures a test reproduces: seed, sessions, deviation of a day's
