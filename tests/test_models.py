@@ -219,17 +219,23 @@ def test_holdout_is_used_once(spark, tmp_path):
         return spark.createDataFrame([(f"{first}-{i}", d, d, d, 1.0, float(v)) for i, (d, v) in enumerate(zip(days, values))], "sample_id string, session date, info_start date, info_end date, x double, target double")
 
     train, held = rows([0, 0, 1, 1], 1), rows([0, 1], 2)
-    protocol = holdout.HoldoutProtocol("p", "m", "d")
-    assert holdout.evaluate_once(train, held, protocol, str(tmp_path), ["x"], Mean)["score"] == 0.25
-    with pytest.raises(HoldoutError):
-        holdout.evaluate_once(train, held, protocol, str(tmp_path), ["x"], Mean)
-    failing = holdout.HoldoutProtocol("q", "m", "d")
+    mean, broken = evaluate.Named(Mean, "mean", "1"), evaluate.Named(Broken, "broken", "1")
+    protocol = holdout.HoldoutProtocol.freeze("p", train, held, mean)
+    for other in (holdout.HoldoutProtocol("p", "m", protocol.dataset_digest), holdout.HoldoutProtocol("p", protocol.model_digest, "d")):
+        with pytest.raises(HoldoutError, match="the protocol's"):
+            holdout.evaluate_once(train, held, other, str(tmp_path), ["x"], mean)
+    with pytest.raises(HoldoutError, match="samples"):  # one target was changed since
+        holdout.evaluate_once(train, held.replace(1.0, 2.0, "target"), protocol, str(tmp_path), ["x"], mean)
+    assert holdout.evaluate_once(train, held, protocol, str(tmp_path), ["x"], mean)["score"] == 0.25
+    with pytest.raises(HoldoutError, match="used"):
+        holdout.evaluate_once(train, held, protocol, str(tmp_path), ["x"], mean)
+    failing = holdout.HoldoutProtocol.freeze("q", train, held, broken)
     with pytest.raises(EvaluationError):
-        holdout.evaluate_once(train, held, failing, str(tmp_path), ["x"], Broken)
+        holdout.evaluate_once(train, held, failing, str(tmp_path), ["x"], broken)
     with pytest.raises(HoldoutError, match="used"):
-        holdout.evaluate_once(train, held, failing, str(tmp_path), ["x"], Mean)
+        holdout.evaluate_once(train, held, failing, str(tmp_path), ["x"], broken)
     with pytest.raises(HoldoutError, match="reaches"):
-        holdout.evaluate_once(held, train, protocol, str(tmp_path), ["x"], Mean)
+        holdout.evaluate_once(held, train, protocol, str(tmp_path), ["x"], mean)
     with pytest.raises(LedgerError):
         sinks.write_report(train, str(tmp_path / "r"))
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tidegate.errors import HoldoutError, LedgerError, TidegateError
 from tidegate.functions.risk import mse
-from tidegate.model import digest
-from tidegate.operators.evaluate import predict
+from tidegate.model import data_digest, digest
+from tidegate.operators.evaluate import identity, predict
 from tidegate.sources.sinks import create_exclusive
 
 
@@ -21,6 +21,11 @@ class HoldoutProtocol:
     model_digest: str
     dataset_digest: str
 
+    @classmethod
+    def freeze(cls, protocol_id: str, train: DataFrame, held: DataFrame, model: object) -> HoldoutProtocol:
+        """The protocol of these very samples and this very model."""
+        return cls(protocol_id, identity(model), digest([data_digest(train), data_digest(held)]))
+
 
 def boundary(train: DataFrame, held: DataFrame) -> dict[str, object]:
     """What must not cross: sessions, information and sample ids."""
@@ -30,15 +35,21 @@ def boundary(train: DataFrame, held: DataFrame) -> dict[str, object]:
     return {"sessions_apart": last["session"] < first["session"], "information_apart": last["info"] < first["info"], "shared_ids": shared}
 
 
-def evaluate_once(train: DataFrame, held: DataFrame, protocol: HoldoutProtocol, store: str, features: list[str], estimator: Callable, score=mse) -> dict[str, object]:
+def evaluate_once(train: DataFrame, held: DataFrame, protocol: HoldoutProtocol, store: str, features: list[str], estimator: Callable, score=mse, predictions: str | None = None) -> dict[str, object]:
     """Fit on `train`, score `held` once and keep a receipt of counts, digests and the score.
 
     The claim is a file that only one attempt can create, written before any fit; a failed attempt is spent too.
-    `estimator` may be `Mean()` or `Ridge()`, which are aggregates and take training data of any size.
+    Before that, samples and model must be those that the protocol was frozen for. `estimator` may be `Mean()` or
+    `Ridge()`, which are aggregates and take training data of any size. With `predictions` they are kept in that folder.
     """
     found = boundary(train, held)
     if not found["sessions_apart"] or not found["information_apart"] or found["shared_ids"]:
         raise HoldoutError("training reaches into the holdout")
+    now = HoldoutProtocol.freeze(protocol.protocol_id, train, held, estimator)
+    if now.model_digest != protocol.model_digest:
+        raise HoldoutError("the model is not the protocol's")
+    if now.dataset_digest != protocol.dataset_digest:
+        raise HoldoutError("the samples are not the protocol's")
     key, spark = digest(protocol), train.sparkSession
     try:
         create_exclusive(spark, f"{store}/claims/{key}.json", {"protocol": key})
@@ -48,6 +59,9 @@ def evaluate_once(train: DataFrame, held: DataFrame, protocol: HoldoutProtocol,
     try:
         rows = train.withColumn("role", F.lit("train")).unionByName(held.withColumn("role", F.lit("test"))).withColumn("fold", F.lit(0).cast("long"))
         done = predict(rows, features, estimator, keys=("sample_id",))
+        if predictions:
+            done.select("sample_id", "target", "prediction").write.parquet(predictions)
+            done = spark.read.parquet(predictions)
         value, n = done.agg(score().alias("score"), F.count("*").alias("n")).first()
         receipt |= {"status": "scored", "score": value, "samples": n}
         return receipt

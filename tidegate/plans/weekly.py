@@ -10,7 +10,8 @@ from tidegate.operators import evaluate, mergeable, metrics, panel, splits
 from tidegate.operators.boosting import LeafwiseTrees
 from tidegate.plans.benchmarks import channel_benchmark, channel_folds, effectiveness, family_benchmark
 from tidegate.operators.paths import path_table, paths
-from tidegate.session import kept
+from tidegate.plans import release
+from tidegate.session import kept, shared_path
 
 LOOKBACK, HORIZON = 4, 2
 KFOLD = PurgedKFold(5, embargo=8)
@@ -306,6 +307,19 @@ def evaluation_coverage(spark, sf_dir):
     return _evaluated(spark, sf_dir).coverage
 
 
+def release_gate(spark, sf_dir):
+    """Development, frozen choice, one attempt at the last 40 sessions, and its diagnostics."""
+    data, axis = modelled(spark, sf_dir)
+    development, held = release.parts(data.withColumn("sample_id", F.concat_ws("::", "asset", "session")), 40)
+    gate = release.Gate(shared_path(spark, "release"), {"mean": evaluate.Mean(), "ridge-1": evaluate.Ridge(1.0), "ridge-100": evaluate.Ridge(100.0)}, ["ret"], WALK, PERIODS)
+    scored = gate.develop(development, axis)["scores"]
+    selected = gate.choose(development)["selected"]
+    gate.attempt(development, held)
+    found = gate.diagnose(held)
+    numbers = [F.round(F.lit(float(found[n])) + 0.0, 6).alias(n) for n in ("mse", "cross_sectional_ic", "diagnostic_sharpe")] + [F.lit(found[n]).cast("long").alias(n) for n in ("observations", "sessions", "ic_sessions")]
+    return held.limit(1).select(F.lit(selected).alias("selected"), F.round(F.lit(scored[selected]), 8).alias("development_mse"), *numbers)  # one row
+
+
 def mergeable_scores(spark, sf_dir):
     """Returns clipped at quantiles and standardised fold by fold, ridge on them, and three mergeable or column measures."""
     data, axis = modelled(spark, sf_dir)
@@ -473,6 +487,22 @@ def _mergeable_sql() -> str:
     return _decided("kfold", MODELLED) + clipped + ridge + " UNION ALL ".join(f" SELECT '{m}' AS metric, '{s}' AS scope, {k}::BIGINT AS key, round({e}, 8) AS value, count(*) AS n FROM r1 GROUP BY 1, 2, 3" for m, e in measures for s, k in scopes)
 
 
+def _release_sql() -> str:
+    base = """, m AS (SELECT * FROM s0 WHERE ret IS NOT NULL AND target IS NOT NULL), h AS (SELECT session FROM (SELECT DISTINCT session FROM m) ORDER BY session DESC LIMIT 40),
+      b AS (SELECT min(info_start) AS start FROM m WHERE session IN (SELECT session FROM h)), s AS (SELECT m.* FROM m, b WHERE info_end < b.start)"""
+    body = f"WITH {BASE}{base}{_walk_sql(WALK)}{_decided_sql(gap=WALK.gap, causal=True)}"
+    body += ", c0 AS (SELECT fold, avg(target) AS prediction FROM d WHERE role = 'candidate' AND reason IS NULL GROUP BY fold), r0 AS (SELECT d.*, c0.prediction FROM d JOIN c0 ON d.fold = c0.fold WHERE role = 'test')"
+    body += _ridge_sql(1.0, "1") + _ridge_sql(100.0, "100")
+    names = (("mean", "0"), ("ridge-1", "1"), ("ridge-100", "100"))
+    body += ", ov AS (" + " UNION ALL ".join(f"SELECT '{n}' AS model, {k} AS place, {MSE} AS mse FROM r{t}" for k, (n, t) in enumerate(names)) + "), sel AS (SELECT model, mse FROM ov ORDER BY mse, place LIMIT 1)"
+    body += """, f AS (SELECT avg(target) AS my, avg(ret) AS mx, count(*) AS n, sqrt(avg(ret * ret) - avg(ret) * avg(ret)) AS sd, avg(ret * target) - avg(ret) * avg(target) AS cxy FROM s),
+      q AS (SELECT 0 AS all_rows, m.session, m.target, CASE sel.model WHEN 'mean' THEN my WHEN 'ridge-1' THEN my + (n * cxy / sd) / (n + 1.0) * (ret - mx) / sd ELSE my + (n * cxy / sd) / (n + 100.0) * (ret - mx) / sd END AS prediction
+            FROM m, f, sel WHERE m.session IN (SELECT session FROM h))"""
+    body += _financial_sql("all_rows", "q")
+    return body + f""" SELECT sel.model AS selected, round(sel.mse, 8) AS development_mse, round(fm.mse, 6) AS mse, round(coalesce(ic, 0.0) + 0.0, 6) AS cross_sectional_ic, round(coalesce(sharpe, 0.0) + 0.0, 6) AS diagnostic_sharpe, fm.n AS observations,
+      (SELECT count(DISTINCT session) FROM q) AS sessions, (SELECT count(*) FROM ses WHERE n >= 3 AND ic IS NOT NULL) AS ic_sessions FROM fm, sel"""
+
+
 HELD = ", h AS (SELECT session FROM (SELECT DISTINCT session FROM s) ORDER BY session DESC LIMIT 40), b AS (SELECT min(info_start) AS start, min(session) AS first_holdout FROM s WHERE session IN (SELECT session FROM h))"
 
 SQL = {
@@ -526,6 +556,7 @@ SQL = {
     "evaluation_ledger": EVALUATED + " SELECT session::VARCHAR || '::' || asset AS sample_id, session, asset AS asset_id, fold AS fold_index, fold AS combination_index, g AS group_index, path::BIGINT AS path_index, 'cpcv-robustness' AS evidence_channel, round(prediction + 0.0, 6) AS prediction FROM led",
     "evaluation_scores": _scores_sql(),
     "mergeable_scores": _mergeable_sql(),
+    "release_gate": _release_sql(),
     "evaluation_coverage": EVALUATED + f" SELECT count(DISTINCT (asset, session)) / (SELECT count(*) FROM s) AS sample_coverage, count(DISTINCT fold) / {len(CPCV.choices)}.0::DOUBLE AS fold_coverage FROM led",
     "optimism_gap": f"WITH q AS ({_four_sql()}) SELECT round((SELECT mse FROM q WHERE channel = 'purged-kfold') - (SELECT mse FROM q WHERE channel = 'unsafe-shuffled-kfold'), 7) AS shuffled_gap, round((SELECT mse FROM q WHERE channel = 'causal-walk-forward') - (SELECT mse FROM q WHERE channel = 'chronological-no-purge'), 7) AS chronological_gap",
 }
