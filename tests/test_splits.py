@@ -8,10 +8,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from math import comb
 
-from tidegate.errors import InvalidFoldError, SplitError
+from tidegate.errors import EvaluationError, InvalidFoldError, SplitError
 from tidegate.model import CombinatorialCV, Minimums, PurgedKFold, WalkForward
-from tidegate.operators import panel, splits
+from tidegate.operators import metrics, panel, splits
 from tidegate.operators.paths import path_table
+from tidegate.plans import weekly
 
 
 def day(n):
@@ -116,3 +117,24 @@ def test_no_range_join_in_the_purge(spark):
     frame, axis = dataset(spark, [2, 3, 6, 8, 9, 10])
     text = splits.with_overlap(splits.intervals(frame).join(splits.kfold_roles(frame, PurgedKFold(3)), "axis_pos"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_seeded_shuffle_is_numpys(spark, sf_dir):
+    """Each fold tests the sessions that a permutation of their numbers, cut into even chunks, gives it."""
+    data, _ = weekly.modelled(spark, sf_dir)
+    sessions = [r[0] for r in data.select("session").distinct().orderBy("session").collect()]
+    roles = splits.shuffled_roles(data, 5, seed=11).where("role = 'test'").collect()
+    for fold, chunk in enumerate(np.array_split(np.random.default_rng(11).permutation(len(sessions)), 5)):
+        assert {r["session"] for r in roles if r["fold"] == fold} == {sessions[k] for k in chunk}
+    assert splits.shuffled_roles(data, 5).columns == splits.shuffled_roles(data, 5, seed=1).columns
+
+
+def test_rankings_need_the_same_models(spark):
+    scores = lambda *rows: spark.createDataFrame(rows, "model string, regime long, mse double")
+    good = scores(("a", 0, 1.0), ("b", 0, 2.0), ("a", 1, 2.0), ("b", 1, 1.0), ("c", 0, 3.0), ("c", 1, 3.0))
+    assert [r["model"] for r in metrics.model_summary(metrics.model_ranks(metrics.require_same_models(good))).collect()] == ["a", "b", "c"]
+    for bad in (scores(("a", 0, 1.0), ("b", 0, 2.0), ("a", 1, 2.0)), scores(("a", 0, 1.0), ("a", 0, 1.0), ("b", 0, 1.0), ("a", 1, 1.0), ("b", 1, 1.0))):
+        with pytest.raises(EvaluationError, match="same models"):
+            metrics.require_same_models(bad)
+    with pytest.raises(EvaluationError, match="two regimes"):
+        metrics.require_same_models(scores(("a", 0, 1.0), ("b", 0, 1.0)))

@@ -110,5 +110,17 @@ def rank_stability(ranks: DataFrame) -> DataFrame:
 
 
 def model_summary(ranks: DataFrame) -> DataFrame:
-    """Per model: median and worst rank and how often it comes first."""
-    return ranks.groupBy("model").agg(F.median("rank_in_regime").alias("median_rank"), F.max("rank_in_regime").alias("worst_rank"), F.count_if(F.col("rank_in_regime") == 1).alias("first_places"))
+    """Per model: median and worst rank and how often it comes first, the best median, then worst rank, then name first."""
+    found = ranks.groupBy("model").agg(F.median("rank_in_regime").alias("median_rank"), F.max("rank_in_regime").alias("worst_rank"), F.count_if(F.col("rank_in_regime") == 1).alias("first_places"))
+    return found.orderBy("median_rank", "worst_rank", "model")
+
+
+def require_same_models(scores: DataFrame) -> DataFrame:
+    """`scores` (model, regime, ...), if every regime has the same models, each once, and there are two of both at least."""
+    seen = scores.groupBy("regime").agg(F.count("*").alias("rows"), F.sort_array(F.collect_set("model")).alias("models"))
+    found = seen.agg(F.count("*").alias("regimes"), F.count_distinct("models").alias("sets"), F.max(F.col("rows") - F.size("models")).alias("repeats"), F.min(F.size("models")).alias("models")).first()
+    if found["sets"] > 1 or found["repeats"]:
+        raise EvaluationError("the regimes do not have the same models, each once")
+    if found["regimes"] < 2 or found["models"] < 2:
+        raise EvaluationError("a ranking needs two regimes and two models at least")
+    return scores

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,9 +69,17 @@ def walk_forward_roles(dataset: DataFrame, spec: WalkForward) -> DataFrame:
     )
 
 
-def shuffled_roles(dataset: DataFrame, n_splits: int, order: list[str] | None = None) -> DataFrame:
-    """Unsafe on purpose: sessions are dealt to folds in the order of a hash, and nothing is excluded."""
+def shuffled_roles(dataset: DataFrame, n_splits: int, order: list[str] | None = None, seed: int | None = None) -> DataFrame:
+    """Unsafe on purpose: sessions are dealt to folds in the order of a hash, and nothing is excluded.
+
+    With a seed the order is NumPy's permutation of the sessions in use, as a shuffled split on one machine has it.
+    """
     sessions = dataset.select("axis_pos", "session").distinct()
+    if seed is not None:
+        places = active_sessions(dataset, 1).select("axis_pos", "place")
+        drawn = np.random.default_rng(seed).permutation(places.count())
+        order, turns = ["_turn"], dataset.sparkSession.createDataFrame([(int(place), turn) for turn, place in enumerate(drawn)], "place long, _turn long")
+        sessions = sessions.join(places.join(F.broadcast(turns), "place").drop("place"), "axis_pos")  # a row for each session
     by = Window.orderBy(*([F.md5(F.date_format("session", "yyyy-MM-dd"))] if order is None else [F.col(c) for c in order]))
     dealt = sessions.withColumn("group", F.ntile(n_splits).over(by).cast("long") - 1)
     folds = _folds(dataset.sparkSession, [(f, (f,)) for f in range(n_splits)], n_splits)
