@@ -122,7 +122,8 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
 
     Learns from the rows outside `held_out`. Letters A to Z are lower-cased; tokens are words and one end, so a
     null or empty text has one token. Rows repeated are counted and scored as often as they occur. An empty
-    table gives no rows; without training rows every token is unknown, with probability one.
+    table gives no rows; without training rows every token is unknown, with probability one. Texts of any length are
+    scored whole; columns beside doc_id, text and those that `held_out` reads are ignored, whatever their names.
     """
     buckets = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"))

@@ -16,7 +16,11 @@ BLOCK = 1024
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """One row (n_tokens) per document; a null or empty text has 0 tokens."""
+    """One row (n_tokens) per document; a null or empty text has 0 tokens.
+
+    Texts of any length are encoded whole, repeated rows each give a row, an empty table gives none, and columns beside
+    text are ignored, whatever their names.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(vocabulary)
