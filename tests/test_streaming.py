@@ -95,6 +95,32 @@ def test_first_claims_duplicates_faults_and_a_restart(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/predictions/on-time").count() == 9
 
 
+def test_claims_share_state_by_buckets(spark, tmp_path):
+    """Three hundred keys are a few rows of state; each still has its own first row, and is forgotten at its own time."""
+    streams = LedgerStreams(spark, str(tmp_path), keep_days=20, buckets=3)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"  # a bucket comes in parts
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "7")
+    try:
+        keys = [done(str(n), n / 50) for n in range(300)]
+        ties = [done("tie", 1, 2.0), done("tie", 1, 1.0), done("100", 1.5, 7.0), done("20", 5, 7.0)]
+        query = feed(spark, streams, "settlements", SETTLEMENT, "settled_at", [*ties[:1], *keys, *ties[1:]])
+        assert sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"]) <= 2 * 3  # keys and a timer for each bucket
+        feed(spark, streams, "settlements", SETTLEMENT, "settled_at", [done("far", 22)])  # what was taken on the first day is forgotten
+        nobody = [(None, at(22.2), 3.0), (None, at(22.1), 4.0)]
+        query = feed(spark, streams, "settlements", SETTLEMENT, "settled_at", [done("0", 22.5, 8.0), done("49", 22.5, 8.0), done("51", 22.5, 8.0), done("299", 22.5, 8.0), *nobody])
+    finally:
+        spark.conf.set(setting, before)
+    rows = spark.read.parquet(f"{tmp_path}/settlements/claimed").collect()
+    assert len(rows) == 300 + 4 + 1 + 6
+    said_of = lambda key: sorted((r["target"], r["outcome"]) for r in rows if r["prediction_digest"] == key)
+    assert said_of("d-tie") == [(1.0, "accepted"), (2.0, "duplicate")]
+    assert said_of("d-100") == [(1.0, "duplicate"), (7.0, "accepted")] and said_of("d-20") == [(1.0, "accepted"), (7.0, "duplicate")]
+    assert all(said_of(k) == [(1.0, "accepted"), (8.0, "accepted")] for k in ("d-0", "d-49")) and all(said_of(k) == [(1.0, "accepted"), (8.0, "duplicate")] for k in ("d-51", "d-299"))
+    assert said_of(None) == [(3.0, "duplicate"), (4.0, "accepted")]
+    assert sum(r["outcome"] == "accepted" for r in rows) == 300 + 1 + 1 + 2 + 1
+
+
 def test_report_after_every_batch(spark, tmp_path):
     """Each report is what the batch report says of all rows so far; a batch that runs again changes nothing."""
     streams = LedgerStreams(spark, str(tmp_path), lateness_hours=1000)

@@ -1,7 +1,7 @@
 """The forward ledger as a chain of restartable streams over event time; the table of each stage is the next one's source.
 
 1. `split_late` sets rows behind the watermark aside in a table of their own, so that no later stage drops any.
-2. `claims` keeps the first row of each key in RocksDB until a timer of event time ends, and labels later ones.
+2. `claims` keeps the keys that rows took in RocksDB, by buckets, until a timer of event time ends, and labels later rows.
 3. `outcomes` joins accepted predictions with accepted settlements inside a range of time, from both sides.
 4. `report_stage` keeps per-session sums up to date batch by batch, and writes the ledger's report after each.
 
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from tidegate.operators.forward import ForwardProtocol, with_status
 from tidegate.operators.metrics import session_ic
@@ -27,6 +27,8 @@ from tidegate.session import shared_path
 
 #: How far a row may lie behind the newest of earlier batches, and how long a key or an unmatched row is remembered.
 LATENESS_HOURS, KEEP_DAYS = 24, 400
+#: Groups of keys in the state of claims: more for long-lived state and small batches, fewer for large ones.
+BUCKETS = 1 << 16
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 PREDICTION = "sample_id string, prediction_digest string, asset string, decision_session date, label_available_at timestamp, recorded_at timestamp, prediction double"
@@ -95,37 +97,64 @@ def split_late(rows: DataFrame, time: str, root: str, lateness_hours: float = LA
 class FirstOfKey(StatefulProcessor):
     """Labels the first row of a key `accepted`, the others `duplicate`, until a timer ends `keep` after the first.
 
-    A row with a `fault` is labelled by it and takes nothing.
+    A group is a bucket of keys and its state holds those taken, so that a call and its messages to the store serve many
+    rows. `claims_key` is a row's key and `claims_until` the time, in milliseconds, when a key that it takes is free again;
+    a bucket's timer is that of its earliest. A row with a `fault` is labelled by it and takes nothing.
     """
 
-    def __init__(self, time: str, keep_days: float) -> None:
-        self.time, self.keep = time, keep_days * 86_400_000
+    def __init__(self, time: str) -> None:
+        self.time = time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.taken = handle.getValueState("taken", StructType([StructField("taken", BooleanType())]))
+        self.taken = handle.getValueState("taken", StructType([StructField("keys", ArrayType(StringType())), StructField("until", ArrayType(LongType()))]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        """Of several new rows the earliest is the first; one row is held back, whatever their number."""
-        taken, held = self.taken.exists(), None
+        """Of several new rows of a key the earliest is the first; one row for each new key is held back, whatever their number."""
+        keys, until = self.taken.get() or ((), ())
+        known, held = set(keys), None
         for part in rows:
-            bad, part = part[part["fault"].notna()], part[part["fault"].isna()]
-            if len(bad):
-                yield bad.assign(outcome=bad["fault"])
-            if not taken and len(part):
-                part = part if held is None else pd.concat([held, part])
-                if len(part) > 1:  # ties go by the rows' own text
-                    part = part.assign(_text=part.astype(str).agg("|".join, axis=1)).sort_values([self.time, "_text"]).drop(columns="_text")
-                held, part = part.iloc[:1], part.iloc[1:]
+            bad = part["fault"].notna()
+            yield from self._said(part[bad], part["fault"][bad])
+            part = part[~bad]
+            old = part["claims_key"].isin(known)
+            yield from self._said(part[old], "duplicate")
+            part = part[~old]
             if len(part):
-                yield part.assign(outcome="duplicate")
+                part = self._in_order(part if held is None else pd.concat([held, part]))
+                again = part.duplicated("claims_key")
+                yield from self._said(part[again], "duplicate")
+                held = part[~again]
         if held is not None:
-            self.taken.update((True,))
-            self.handle.registerTimer(int(held[self.time].iloc[0].timestamp() * 1000 + self.keep))
-            yield held.assign(outcome="accepted")
+            ends = held["claims_until"].astype("int64").tolist()
+            self.taken.update(([*keys, *held["claims_key"]], [*until, *ends]))
+            if not until or min(ends) < min(until):
+                self.handle.registerTimer(min(ends))
+            yield from self._said(held, "accepted")
+
+    def _in_order(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """By time; ties of a key go by the rows' own text."""
+        tied = rows.duplicated(["claims_key", self.time], keep=False)
+        if not tied.any():
+            return rows.sort_values(self.time)
+        text = ["|".join(map(str, r)) if t else "" for t, r in zip(tied, rows.itertuples(index=False))]
+        return rows.assign(_text=text).sort_values([self.time, "_text"]).drop(columns="_text")
+
+    @staticmethod
+    def _said(rows: pd.DataFrame, outcome: Any) -> Iterator[pd.DataFrame]:
+        if len(rows):
+            yield rows.assign(outcome=outcome).drop(columns=["claims_bucket", "claims_key", "claims_until"])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.taken.clear()
+        """Spark's timers end once the watermark has passed them."""
+        keys, until = self.taken.get() or ((), ())
+        left = [(k, u) for k, u in zip(keys, until) if u >= timerValues.getCurrentWatermarkInMs()]
+        if left:
+            keys, until = zip(*left)
+            self.taken.update((list(keys), list(until)))
+            self.handle.registerTimer(min(until))
+        else:
+            self.taken.clear()
         yield from ()
 
     def close(self) -> None:
@@ -139,15 +168,18 @@ def prediction_fault(forward_start: str | None = None) -> Column:
     return fault if forward_start is None else fault.when(F.col("decision_session") < F.lit(forward_start).cast("date"), "before-forward-start")
 
 
-def claims(rows: DataFrame, key: str, time: str, lateness_hours: float = LATENESS_HOURS, keep_days: float = KEEP_DAYS, fault: Column | None = None) -> DataFrame:
+def claims(rows: DataFrame, key: str, time: str, lateness_hours: float = LATENESS_HOURS, keep_days: float = KEEP_DAYS, fault: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The rows of a stream of on-time rows with `outcome`: accepted, duplicate where the key was taken before, or the `fault`.
 
-    A key is forgotten once the watermark is `keep_days` past the row that took it. Null keys are one key.
+    A key is forgotten once the watermark is `keep_days` past the row that took it. Null keys are one key. A batch reads and
+    writes the state of the `buckets` of keys that it touches; their number stays as long as the checkpoint.
     """
     rows = rows.withColumn("fault", F.lit(None).cast("string") if fault is None else fault)
     kinds = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes)
     marked = rows.withWatermark(time, f"{round(lateness_hours * 3600)} seconds")
-    return marked.groupBy(key).transformWithStateInPandas(FirstOfKey(time, keep_days), f"{kinds}, outcome string", "Append", "eventTime").drop("fault")
+    named = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    dealt = marked.withColumn("claims_key", named).withColumn("claims_until", F.unix_millis(time) + round(keep_days * 86_400_000)).withColumn("claims_bucket", F.pmod(F.xxhash64("claims_key"), F.lit(buckets)))
+    return dealt.groupBy("claims_bucket").transformWithStateInPandas(FirstOfKey(time), f"{kinds}, outcome string", "Append", "eventTime").drop("fault")
 
 
 def outcomes(predictions: DataFrame, settlements: DataFrame, lateness_hours: float = LATENESS_HOURS, keep_days: float = KEEP_DAYS) -> DataFrame:
@@ -222,6 +254,7 @@ class LedgerStreams:
     root: str
     lateness_hours: float = LATENESS_HOURS
     keep_days: float = KEEP_DAYS
+    buckets: int = BUCKETS
 
     def _table(self, schema: str, *names: str) -> DataFrame:
         """A stage's table as a stream. Each trigger takes all batches that are there: half a batch would move the watermark past the rest."""
@@ -252,7 +285,7 @@ class LedgerStreams:
 
     def claim(self, name: str, schema: str, key: str, time: str, fault: Column | None = None, forever: bool = False) -> StreamingQuery:
         source = self._table(f"{schema}, batch string", name, "on-time").drop("batch")
-        return self._start(self._to_table(claims(source, key, time, self.lateness_hours, self.keep_days, fault), name, "claimed"), forever)
+        return self._start(self._to_table(claims(source, key, time, self.lateness_hours, self.keep_days, fault, self.buckets), name, "claimed"), forever)
 
     def accepted(self, name: str, schema: str) -> DataFrame:
         return self._table(f"{schema}, outcome string", name, "claimed").where("outcome = 'accepted'").drop("outcome")
@@ -281,7 +314,9 @@ class LedgerStreams:
 
 
 #: Rows of a replayed table for each partition of state, which lasts as long as its checkpoint.
-ROWS_A_PARTITION = 20_000
+ROWS_A_PARTITION = 200_000
+#: Rows of the larger replayed table for each bucket of keys.
+ROWS_A_BUCKET = 500
 #: How the digests of rows begin that only move the watermarks of a replay to its end.
 CLOSING = "closing-"
 
@@ -298,9 +333,9 @@ def replay(predictions: DataFrame, settlements: DataFrame, lateness_hours: float
     come in the first round, and are late.
     """
     spark = predictions.sparkSession
-    streams = LedgerStreams(spark, shared_path(spark, "ledger-streams"), lateness_hours, keep_days)
     sides = (("predictions", shaped(predictions, PREDICTION), PREDICTION, "recorded_at"), ("settlements", shaped(settlements, SETTLEMENT), SETTLEMENT, "settled_at"))
     spans = [rows.agg(F.min(time), F.max(time), F.count("*")).first() for _, rows, _, time in sides]
+    streams = LedgerStreams(spark, shared_path(spark, "ledger-streams"), lateness_hours, keep_days, 1 + max(s[2] for s in spans) // ROWS_A_BUCKET)
     first, last = min((s[0] for s in spans if s[0]), default=datetime(2000, 1, 1)), max((s[1] for s in spans if s[1]), default=datetime(2000, 1, 1))
     end = last + timedelta(days=2 * keep_days + 1, hours=2 * lateness_hours)
     cuts = [first + (last - first) * (k + 1) / rounds for k in range(rounds - 1)]
